@@ -5,6 +5,10 @@ from __future__ import annotations
 from importlib import import_module
 
 MODULES = [
+    "op2_pii",
+    "op5_quality",
+    "op6_decontaminate",
+    "op7_source_mix",
     "op9_simhash_dedup",
 ]
 
