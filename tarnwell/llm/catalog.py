@@ -5,11 +5,16 @@ from __future__ import annotations
 from importlib import import_module
 
 MODULES = [
+    "op1_fingerprints",
     "op2_pii",
+    "op3_substring_dedup",
+    "op4_licenses",
     "op5_quality",
     "op6_decontaminate",
     "op7_source_mix",
+    "op8_url_filter",
     "op9_simhash_dedup",
+    "op10_masked_lm",
 ]
 
 
