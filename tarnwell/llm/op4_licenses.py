@@ -65,12 +65,13 @@ def gated(low: Column) -> Column:
 
 
 def frequencies(docs: DataFrame) -> dict[str, float]:
-    """Weight ln((n + 1) / (files with the word + 1)) of each template word among the files that are looked at, over all
-    documents; at most len(VOCABULARY) + 1 rows reach the driver."""
-    low = docs.select(lower(F.col("text")).alias("low")).filter(gated(F.col("low")))
-    found = low.select(F.explode(F.array_intersect(words(F.col("low")), F.array(*map(F.lit, VOCABULARY)))).alias("w"))
+    """Weight ln((n + 1) / (documents with the word + 1)) of each template word over all documents; at most
+    len(VOCABULARY) + 1 rows reach the driver."""
+    low = docs.select(lower(F.col("text")).alias("low"))
+    held = F.array_intersect(F.split(F.col("low"), BETWEEN), F.array(*map(F.lit, VOCABULARY)))
+    found = low.select(F.explode(F.concat(held, F.array(F.lit("")))).alias("w"))  # the empty word counts the documents
     counts = {r.w: r.n for r in found.groupBy("w").agg(F.count("*").alias("n")).collect()}
-    n = docs.count()
+    n = counts.pop("", 0)
     return {w: math.log((n + 1) / (counts.get(w, 0) + 1)) + 0.01 for w in VOCABULARY}
 
 
