@@ -10,7 +10,11 @@ from pyspark.sql import functions as F
 
 from tarnwell.functions import text as T
 
-STOP_WORDS = "a an and are as at be been being but by can could did do does for from had has have he her his how i in is it its me my of on or our she should so that the their them there these they this those to was we were what when where which who why will with would you your".split()
+#: fixed values
+STOP_WORDS = (
+    "a about an and any are as at be been but by can could did do does for from had has have how i if in into is it its me my of on "
+    "or our should so some such than that the their them then there these they this to was we were what when where which who why will with would you your"
+).split()
 BROADCAST = 100_000
 
 

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tarnwell.streaming.stateful import advance
+
 
 def rollup(events: DataFrame, *by: str, value: str = "value") -> DataFrame:
     """Counts and sums by the given columns and all their prefixes; exact on the whole."""
@@ -54,23 +58,20 @@ def breakers(events: DataFrame, signal: str, at: str, event_id: str, failed: str
     """signal, event_id, state after each event: consecutive failures open a breaker; after the cool-down it is half
     open, where a success closes it and a failure opens it anew. One signal's events are one ordered state machine."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["at", "id"])
-        state, fails, since, out = "closed", 0, 0.0, []
-        for t, bad in zip(pdf["at"], pdf["bad"]):
-            if state == "open" and t - since >= cooldown:
-                state = "halfOpen"
-            if bad:
-                fails += 1
-                if state == "halfOpen" or (state == "closed" and fails >= threshold):
-                    state, since = "open", t
-            elif state != "open":
-                state, fails = "closed", 0
-            out.append(state)
-        return pd.DataFrame({"signal": pdf["signal"], "event_id": pdf["id"], "state": out})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state = None, ("closed", 0, 0.0)
+        for batch in batches:
+            names, ids, times, bads = (batch.column(i).to_pylist() for i in range(4))
+            modes = []
+            for name, t, bad in zip(names, times, bads):
+                state = advance(state if name == now else ("closed", 0, 0.0), t, bad, threshold, cooldown)
+                now = name
+                modes.append(state[0])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(modes, pa.string())], names=["signal", "event_id", "state"])
 
     rows = events.select(F.col(signal).cast("string").alias("signal"), F.col(event_id).cast("long").alias("id"), (F.unix_micros(F.col(at).cast("timestamp")) / F.lit(1e6)).alias("at"), F.col(failed).cast("boolean").alias("bad"))
-    return rows.groupBy("signal").applyInPandas(run, "signal string, event_id long, state string")
+    # sorted rows pass by with one state: no signal's events are held together
+    return rows.repartition("signal").sortWithinPartitions("signal", "at", "id").mapInArrow(run, "signal string, event_id long, state string")
 
 
 def sessions(events: DataFrame, key: str, at: str, order: str, gap_seconds: float) -> DataFrame:

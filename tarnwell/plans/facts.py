@@ -11,7 +11,13 @@ from tarnwell.plans._registry import registry, table, toks
 QUERIES, query = registry()
 
 _NOW = "timestamp '2024-01-31 00:00:00'"
-NOW = F.lit("2024-01-31 00:00:00").cast("timestamp_ntz")
+
+
+def now():
+    """The queries' present; a function, as columns need a session."""
+    return F.lit("2024-01-31 00:00:00").cast("timestamp_ntz")
+
+
 _FACTS = f"""
 f0 as (
   select lpad(event_id::varchar, 12, '0') as id, user_id::varchar as thread_id, 'user' as subject, event_type as predicate, event_type || ' ' || value::decimal(18, 2)::varchar || ' ' || props as text,
@@ -42,7 +48,7 @@ def _facts(s, d):
 
 @query(f"with {_FACTS} select id, thread_id, predicate, text from live where confidence >= 0.6 and origin in ('userStated', 'assistantStated', 'toolOutput')")
 def facts_live(s, d):
-    return M.query(_facts(s, d), NOW, least_confidence=0.6, least_origin="toolOutput").select("id", "thread_id", "predicate", "text")
+    return M.query(_facts(s, d), now(), least_confidence=0.6, least_origin="toolOutput").select("id", "thread_id", "predicate", "text")
 
 
 @query(f"with {_FACTS}, i as (select thread_id, unnest(generate_series(timestamp '2024-01-05', timestamp '2024-01-25', interval 5 day)) as at from (select distinct thread_id from facts)) select i.thread_id, at, count(*) as facts, min(id) as first_id from i join facts f on f.thread_id = i.thread_id and valid_from <= at and (valid_until is null or valid_until > at) and (expires_at is null or expires_at > at) group by all")
@@ -85,7 +91,7 @@ select id, thread_id, round(case when r1 > r0 then (r - r0) / (r1 - r0) else 0 e
 )
 def salience(s, d):
     f = _facts(s, d)
-    return M.salience(f.filter(M.is_live(NOW)), NOW, ["thread_id"]).select("id", "thread_id", F.round("salience", 6).alias("salience"))
+    return M.salience(f.filter(M.is_live(now())), now(), ["thread_id"]).select("id", "thread_id", F.round("salience", 6).alias("salience"))
 
 
 @query(
@@ -95,12 +101,12 @@ select id, case when coalesce(expires_at <= {_NOW}, false) or (list_contains(tag
 from a where coalesce(expires_at <= {_NOW}, false) or (list_contains(tags, 'ephemeral') and age >= 3) or (origin = 'derived' and age >= 5) or confidence * pow(0.5, age / 4.0) < 0.2"""
 )
 def forget_sweep(s, d):
-    return M.sweep(_facts(s, d), NOW, {"ephemeral": 3}, idle_days=5, half_life_days=4)
+    return M.sweep(_facts(s, d), now(), {"ephemeral": 3}, idle_days=5, half_life_days=4)
 
 
 def _candidates(s, d):
     """A claim for every (user, type): the live fact's slot again, later or earlier, with other words or the same id."""
-    f = _facts(s, d).filter(M.is_live(NOW))
+    f = _facts(s, d).filter(M.is_live(now()))
     n = F.col("id").cast("bigint")
     fid = F.when(n % 7 == 0, F.col("id")).otherwise(F.concat(F.lit("c"), "id"))
     start = F.when(n % 3 == 0, F.col("valid_from") + F.expr("interval 1 hour")).when(n % 3 == 1, F.col("valid_from")).otherwise(F.col("valid_from") - F.expr("interval 1 hour"))
@@ -132,7 +138,7 @@ decided as (
 
 @query(f"with {_DECIDED} select id, operation, rationale from decided")
 def reconcile(s, d):
-    return M.reconcile(_candidates(s, d), _facts(s, d), NOW).select("id", "operation", "rationale")
+    return M.reconcile(_candidates(s, d), _facts(s, d), now()).select("id", "operation", "rationale")
 
 
 @query(
@@ -145,7 +151,7 @@ from facts left join ended on facts.id = ended.id"""
 )
 def reconcile_apply(s, d):
     f, c = _facts(s, d), _candidates(s, d)
-    after = M.apply_decisions(f, c, M.reconcile(c, f, NOW), NOW)
+    after = M.apply_decisions(f, c, M.reconcile(c, f, now()), now())
     return after.agg(F.count("*").alias("facts"), F.count_if(F.col("invalidated_at").isNull()).alias("open_facts"), F.sum("access_count").alias("touches"))
 
 
@@ -189,4 +195,4 @@ select thread_id, count(*) as lines, md5(string_agg(line, chr(10) order by n)) a
 )
 def core_block(s, d):
     f = _facts(s, d)
-    return M.core_block(f.filter(M.is_live(NOW)), 100).select("thread_id", F.size(F.split("block", "\n")).cast("long").alias("lines"), F.md5("block").alias("digest"))
+    return M.core_block(f.filter(M.is_live(now())), 100).select("thread_id", F.size(F.split("block", "\n")).cast("long").alias("lines"), F.md5("block").alias("digest"))
