@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnwell.llm._common import table
+from tarnwell.llm._common import materialise, table
 
 NAME = "op8_url_filter"
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
@@ -63,6 +63,7 @@ def _strength(level: DataFrame, parent: str) -> float:
 def reputation(outcomes: DataFrame) -> DataFrame:
     """host, n, bad, mean, low (the posterior bound) from outcomes (host, bad)."""
     hosts = outcomes.filter("host is not null and bad is not null").groupBy("host").agg(F.count("*").alias("n"), F.sum("bad").alias("bad"))
+    hosts = materialise(hosts, "host-outcomes")  # each level reads it: pages are read once
     hosts = hosts.withColumn("domain", _labels(F.col("host"), 2)).withColumn("suffix", _labels(F.col("host"), 1))
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
@@ -92,7 +93,7 @@ def rule_columns(host_: Column, path_: Column, rules=RULES) -> tuple[Column, Col
 def judged(pages: DataFrame, outcomes: DataFrame, rules=RULES, bound: float = BOUND) -> DataFrame:
     """page_id, host, path, rule, verdict for each row of pages."""
     rows = pages.select("page_id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
-    bad = reputation(outcomes).filter(F.col("low") > bound).select("host", F.lit(True).alias("_bad"))
+    bad = materialise(reputation(outcomes).filter(F.col("low") > bound).select("host", F.lit(True).alias("_bad")), "bad-hosts")
     if bad.limit(BROADCAST + 1).count() <= BROADCAST:
         bad = F.broadcast(bad)
     rule, verdict = rule_columns(F.col("host"), F.col("path"), rules)
