@@ -98,10 +98,13 @@ def template_score(hits: Column, rare: list[tuple[str, int, float]]) -> Column:
             out = F.when(h["x"] == word, h["i"] - at).otherwise(out)
         return out
 
+    def found(s: Column, word: str, at: int) -> Column:
+        return F.exists(hits, lambda h: (h["x"] == word) & (F.abs(h["i"] - s - at) <= SLACK))
+
     def score(s: Column) -> Column:
         out = F.lit(0.0)
         for word, at, weight in rare:
-            out = out + F.when(F.exists(hits, lambda h, word=word, at=at: (h["x"] == word) & (F.abs(h["i"] - s - at) <= SLACK)), weight).otherwise(0.0)
+            out = out + F.when(found(s, word, at), weight).otherwise(0.0)
         return out / total
 
     starts = F.array_distinct(F.filter(F.transform(hits, start), lambda s: s.isNotNull()))
@@ -132,8 +135,8 @@ def scan(docs: DataFrame, weights: dict[str, float]) -> DataFrame:
             return F.array(*out)
 
         found = let(placed, lambda hits: let(body, lambda text: judge(hits, text)))
-        base = [let(body, lambda text, p=p: F.when(text.contains(f" {p} "), _places(w, p)).otherwise(F.array().cast("array<int>"))) for p, _ in PHRASES]
-        return F.struct(F.size(w).alias("n"), F.array(*base).alias("base"), found.alias("found"))
+        base = let(body, lambda text: F.array(*[F.when(text.contains(f" {p} "), _places(w, p)).otherwise(F.array().cast("array<int>")) for p, _ in PHRASES]))
+        return F.struct(F.size(w).alias("n"), base.alias("base"), found.alias("found"))
 
     far = F.struct(F.lit(0).alias("n"), F.array(*[F.array().cast("array<int>")] * len(PHRASES)).alias("base"), F.array().cast("array<struct<label:string,score:double>>").alias("found"))
     low = docs.select(F.col("doc_id").cast("long").alias("doc_id"), lower(F.col("text")).alias("low"))
