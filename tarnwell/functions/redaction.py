@@ -36,6 +36,9 @@ def redact_with_names(c: Column, rules=COMMON, limit: int = LIMIT) -> Column:
         new = redact_one(s["text"], pattern, replacement, limit)
         return F.struct(new.alias("text"), F.when(new != s["text"], F.concat(s["applied"], F.array(F.lit(name)))).otherwise(s["applied"]).alias("applied"))
 
+    def step(s: Column, rule) -> Column:
+        return F.element_at(F.transform(F.array(s), lambda x: after(x, rule)), 1)
+
     for rule in rules:
-        state = F.element_at(F.transform(F.array(state), lambda s, rule=rule: after(s, rule)), 1)
+        state = step(state, rule)
     return state

@@ -73,7 +73,7 @@ def truncate_utf8(c: Column, limit: int) -> Column:
 
 def sentences(c: Column) -> Column:
     """Stretches between full stops, exclamation and question marks and line ends, trimmed, empty ones left out."""
-    return F.filter(F.transform(F.split(c, r"[.!?\n\r\x{85}\x{2028}\x{2029}]"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(c, r"[.!?\n\r\x{85}\x{2028}\x{2029}]"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
 
 
 def content_id(*parts: Column) -> Column:

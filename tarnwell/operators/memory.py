@@ -236,6 +236,31 @@ def upsert(facts: DataFrame, new: DataFrame) -> DataFrame:
     return facts.join(small(one.select("id")), "id", "left_anti").select(*facts.columns).unionByName(one.select(*facts.columns))
 
 
+def touch(facts: DataFrame, ids: DataFrame, now: Column) -> DataFrame:
+    """Facts with the named ones read now: once each, however often they are named."""
+    named = small(ids.select("id").distinct().withColumn("_hit", F.lit(True)))
+    when = now.cast(facts.schema["last_accessed_at"].dataType)
+    got = facts.join(named, "id", "left")
+    return got.withColumn("last_accessed_at", F.when(F.col("_hit"), F.greatest("last_accessed_at", when)).otherwise(F.col("last_accessed_at"))).withColumn("access_count", F.col("access_count") + F.when(F.col("_hit"), 1).otherwise(0)).select(*facts.columns)
+
+
+def invalidate(facts: DataFrame, ids: DataFrame, now: Column, until: Column | None = None) -> DataFrame:
+    """Facts with the named open ones closed now; the end of their validity is set only if it is given."""
+    got = facts.join(small(ids.select("id").distinct().withColumn("_hit", F.lit(True))), "id", "left")
+    hit = F.col("_hit") & F.col("invalidated_at").isNull()
+    if until is not None:
+        got = got.withColumn("valid_until", F.when(hit, until.cast(facts.schema["valid_until"].dataType)).otherwise(F.col("valid_until")))
+    return got.withColumn("invalidated_at", F.when(hit, now.cast(facts.schema["invalidated_at"].dataType)).otherwise(F.col("invalidated_at"))).select(*facts.columns)
+
+
+def similar(facts: DataFrame, claims: DataFrame, now: Column, limit: int = 5) -> DataFrame:
+    """claim, id, score, rank: live facts of the claim's thread by similarity of text; claims (claim, thread_id, text)."""
+    live = facts.filter(is_live(now)).select("id", "thread_id", "text")
+    score = weighted_jaccard(claims, live, "claim", "id", "text", ["thread_id"])
+    w = W.partitionBy("claim").orderBy(F.desc("score"), "id")
+    return score.withColumn("rank", F.row_number().over(w)).filter((F.col("score") > 0) & (F.col("rank") <= limit)).select("claim", "id", "score", "rank")
+
+
 # --- conversations
 
 

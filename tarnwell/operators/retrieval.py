@@ -182,7 +182,7 @@ def content_terms(c: Column) -> Column:
 def term_coverage(query: Column, sources: Column, least: int = 1, wanted: float = 1.0) -> Column:
     """Whether an array of source texts covers the query's content terms, the share covered and the terms missing."""
     terms = content_terms(query)
-    seen = F.array_distinct(F.flatten(F.transform(sources, T.tokens)))
+    seen = F.array_distinct(F.flatten(F.transform(sources, lambda x: T.tokens(x))))
     missing = F.when(F.size(sources) < least, terms).otherwise(F.array_except(terms, seen))
     share = F.when(F.size(terms) == 0, 1.0).otherwise(1 - F.size(missing) / F.size(terms))
     return F.struct((share >= wanted).alias("sufficient"), F.round(share, 9).alias("coverage"), missing.alias("missing"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tarnwell.plans import evaluation, facts, lexical, traces, verification
+from tarnwell.plans import assembly, evaluation, facts, lexical, streams, structures, traces, verification
 
-MODULES = [lexical, verification, facts, evaluation, traces]
+MODULES = [lexical, verification, facts, evaluation, traces, structures, assembly, streams]
 
 
 def queries() -> dict:

@@ -51,12 +51,12 @@ def facts_live(s, d):
     return M.query(_facts(s, d), now(), least_confidence=0.6, least_origin="toolOutput").select("id", "thread_id", "predicate", "text")
 
 
-@query(f"with {_FACTS}, i as (select thread_id, unnest(generate_series(timestamp '2024-01-05', timestamp '2024-01-25', interval 5 day)) as at from (select distinct thread_id from facts)) select i.thread_id, at, count(*) as facts, min(id) as first_id from i join facts f on f.thread_id = i.thread_id and valid_from <= at and (valid_until is null or valid_until > at) and (expires_at is null or expires_at > at) group by all")
+@query(f"with {_FACTS}, i as (select thread_id, unnest(generate_series(timestamp '2024-01-05', timestamp '2024-01-25', interval 5 day)) as instant from (select distinct thread_id from facts)) select i.thread_id, instant, count(*) as facts, min(id) as first_id from i join facts f on f.thread_id = i.thread_id and valid_from <= instant and (valid_until is null or valid_until > instant) and (expires_at is null or expires_at > instant) group by all")
 def facts_as_of(s, d):
     """Facts valid at five instants for every thread: an interval join inside the thread."""
     f = _facts(s, d)
-    at = F.explode(F.expr("sequence(timestamp_ntz'2024-01-05', timestamp_ntz'2024-01-25', interval 5 days)")).alias("at")
-    return M.valid_at_instants(f, f.select("thread_id").distinct().select("thread_id", at), "at", ["thread_id"]).groupBy("thread_id", "at").agg(F.count("*").alias("facts"), F.min("id").alias("first_id"))
+    at = F.explode(F.expr("sequence(timestamp_ntz'2024-01-05', timestamp_ntz'2024-01-25', interval 5 days)")).alias("instant")
+    return M.valid_at_instants(f, f.select("thread_id").distinct().select("thread_id", at), "instant", ["thread_id"]).groupBy("thread_id", "instant").agg(F.count("*").alias("facts"), F.min("id").alias("first_id"))
 
 
 @query("with p as (select user_id, ts as at, event_id from events where event_type = 'purchase'), c as (select user_id, ts, value from events where event_type = 'click') select p.user_id, p.at, p.event_id, c.value from p asof left join c on p.user_id = c.user_id and p.at >= c.ts")

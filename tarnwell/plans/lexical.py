@@ -130,7 +130,7 @@ f as (select *, list_filter(list_distinct(q), lambda t: list_contains(d, t)) as
 pos as (select query_id, doc_id, found, term, i from (select query_id, doc_id, found, unnest(d) as term, generate_subscripts(d, 1) as i from f) where list_contains(found, term)),
 spans as (
   select a.query_id, a.doc_id, a.i, b.term, max(b.i) as last from pos a join pos b on a.query_id = b.query_id and a.doc_id = b.doc_id and b.i <= a.i group by all),
-ends as (select query_id, doc_id, i, count(*) as seen, i - min(last) + 1 as width from spans group by all),
+ends as (select query_id, doc_id, i, count(*) as seen, i - min(last) + 1 as width from spans group by query_id, doc_id, i),
 best as (select query_id, doc_id, min(width) as width from ends join f using (query_id, doc_id) where seen = len(found) group by all),
 s as (
   select query_id, doc_id, before, case when len(found) = 0 then 0::double else round(len(found)::double / len(list_distinct(q)) + 0.35::double * len(found) / (case when len(found) = 1 then 1 else width end)

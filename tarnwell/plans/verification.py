@@ -92,13 +92,13 @@ def order_sum_check(s, d):
 
 
 @query(
-    """with x as (select l_orderkey, list(l_shipdate order by l_linenumber) as a from lineitem group by l_orderkey),
-f as (select l_orderkey, list_filter(generate_series(1, len(a) - 1), lambda i: a[i + 1] < a[i])[1] as at from x)
-select l_orderkey, at::int as at, case when at is null then 'pass' else 'repair' end as verdict from f"""
+    """with x as (select l_orderkey, list(l_shipdate order by l_linenumber, l_shipdate) as a from lineitem group by l_orderkey),
+f as (select l_orderkey, list_filter(generate_series(1, len(a) - 1), lambda i: a[i + 1] < a[i])[1] as broken_at from x)
+select l_orderkey, broken_at::int as broken_at, case when broken_at is null then 'pass' else 'repair' end as verdict from f"""
 )
 def monotonic_check(s, d):
     rows = table(s, d, "lineitem").groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_shipdate"))), lambda x: x["l_shipdate"]).alias("a"))
-    return rows.select("l_orderkey", C.first_break(F.col("a")).alias("at"), C.monotonic(F.col("a"))["type"].alias("verdict"))
+    return rows.select("l_orderkey", C.first_break(F.col("a")).alias("broken_at"), C.monotonic(F.col("a"))["type"].alias("verdict"))
 
 
 @query("select doc_id, (contains(lower(text), 'the')::int + contains(lower(text), 'que')::int)::int as found, case when contains(lower(text), 'the') and contains(lower(text), 'que') then 'pass' else 'repair' end as all_of, case when contains(lower(text), 'the') or contains(lower(text), 'que') then 'pass' else 'repair' end as any_of from documents")
