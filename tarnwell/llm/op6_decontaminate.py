@@ -35,8 +35,8 @@ ENDS = ".!?"
 
 
 def raw_words(text: Column) -> Column:
-    """Words with the signs that end sentences still on them; the first and the last may be empty."""
-    return F.split(text, BETWEEN)
+    """Words with the signs that end sentences still on them; pieces of such signs alone are no words."""
+    return F.filter(F.split(text, BETWEEN), lambda x: F.btrim(x, F.lit(ENDS)) != "")
 
 
 def words(raw: Column) -> Column:
@@ -74,8 +74,8 @@ def _windows(tokens: Column, size: int) -> Column:
 
 
 def _items(benchmark: DataFrame) -> DataFrame:
-    """item_id, raw (without empty words), canon, n, w (the window's length) of usable items."""
-    read = benchmark.filter("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.filter(raw_words(F.col("text")), lambda x: F.btrim(x, F.lit(ENDS)) != "").alias("raw")).distinct()
+    """item_id, raw, canon, n, w (the window's length) of usable items."""
+    read = benchmark.filter("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), raw_words(F.col("text")).alias("raw")).distinct()
     read = read.withColumn("canon", canonical(F.col("raw"))).withColumn("n", F.size("raw")).filter(F.col("n") >= SHORTEST)
     return read.withColumn("w", F.least("n", F.lit(WINDOW)))
 
