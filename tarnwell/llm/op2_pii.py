@@ -326,6 +326,11 @@ def _holds(kind: str, span: str) -> bool:
     return 7 <= len(digits) <= 15 and not re.fullmatch(r"[0-9]+", span)
 
 
+def _alone(text: str, s: int, t: int) -> bool:
+    """Whether no letter or digit touches the span's ends from outside."""
+    return not (text[s - 1 : s].isalnum() and text[s].isalnum()) and not (text[t : t + 1].isalnum() and text[t - 1].isalnum())
+
+
 def find(texts: list[str | None], weights: tuple[np.ndarray, np.ndarray]) -> list[tuple[dict, dict]]:
     """For each text the patterns' spans and those that the CRF adds, by kind."""
     emission, step = weights
@@ -362,7 +367,7 @@ def find(texts: list[str | None], weights: tuple[np.ndarray, np.ndarray]) -> lis
                     while e < size and row[e] == inside:
                         e += 1
                     s, t = tokens[j][0], tokens[e - 1][1]
-                    if _holds(kind, texts[n][s:t]) and not taken(n, s, t):
+                    if _alone(texts[n], s, t) and _holds(kind, texts[n][s:t]) and not taken(n, s, t):
                         added[n][kind].append((s, t))
                     j = e
                 else:
