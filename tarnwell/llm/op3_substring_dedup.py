@@ -1,8 +1,9 @@
 """Exact removal of word passages that an earlier document has, by level-wise doubling of window lengths.
 
 Level one looks at windows of `SHORT` words, thinned without loss: only those with the smallest hash in some
-`WINDOW`-word window are kept, so equal long windows keep equal short ones. Short windows found in one document alone
-are dropped; long windows (twice as long, and the odd word) are made only where all their kept short windows survive.
+`WINDOW`-word window are kept. Equal long windows have equal smallest short ones, kept in each of their documents,
+whatever stands around them. Short windows found in one document alone are dropped; long windows (twice as long, and
+the odd word) are made only where their smallest short window survives.
 Long windows are grouped by a 128-bit hash; one that starts in a document with a smaller doc_id covers words that go.
 `repeats` carries the doubling on (26, 52, ... words) until no candidate survives, and returns the longest passages.
 
@@ -81,17 +82,17 @@ def slide(x: np.ndarray, width: int, of: Callable) -> np.ndarray:
     return x
 
 
-def kept_shorts(words: np.ndarray, doc: np.ndarray, window: int, short: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of the short window at each place, and whether it is kept there."""
+def kept_shorts(words: np.ndarray, doc: np.ndarray, window: int, short: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash of the short window at each place, whether it is kept there, and the smallest one of each long window."""
     g = gram_hashes(words, short, _MULS[1])
     span = window - short + 1
     if len(words) < window:
-        return g, np.zeros(len(g), bool)
+        return g, np.zeros(len(g), bool), np.zeros(0, np.uint64)
     low = slide(g, span, np.minimum)
     low = np.where(doc[: len(low)] == doc[window - 1 :], low, np.uint64(0))  # windows lie in one document
     pad = np.zeros(span - 1, np.uint64)
     high = slide(np.concatenate([pad, low, pad]), span, np.maximum)
-    return g, (g == high) & (high > 0)
+    return g, (g == high) & (high > 0), low
 
 
 def _shorts(docs: DataFrame, window: int, short: int) -> DataFrame:
@@ -102,7 +103,7 @@ def _shorts(docs: DataFrame, window: int, short: int) -> DataFrame:
             ids, texts = batch.column(0).to_numpy(zero_copy_only=False), binary(batch.column(1))
             for a, b in chunks([len(t) for t in texts], CHUNK):
                 words, doc = word_hashes(texts[a:b])
-                g, keep = kept_shorts(words, doc, window, short)
+                g, keep, _ = kept_shorts(words, doc, window, short)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[a:b][doc[: len(g)][keep]], pa.int64()), pa.array(g[keep].view(np.int64))], names=["doc_id", "h"])
 
     return docs.mapInArrow(run, "doc_id long, h long")
@@ -118,7 +119,7 @@ def _plain(docs: DataFrame) -> DataFrame:
 
 
 def windows(docs: DataFrame, window: int = WINDOW, short: int = SHORT) -> DataFrame:
-    """doc_id, row (hash of the text), pos, h1, h2: the windows whose short windows all occur in other documents."""
+    """doc_id, row (hash of the text), pos, h1, h2: the windows whose smallest short window other documents have too."""
     named = _plain(docs).filter("doc_id is not null and text is not null")
     alive = materialise(_shared(_shorts(named, window, short), "h").select("h"), "short-windows")
     release(docs.sparkSession)
@@ -134,11 +135,8 @@ def windows(docs: DataFrame, window: int = WINDOW, short: int = SHORT) -> DataFr
                 words, doc = word_hashes([text])
                 if len(words) < window:
                     continue
-                g, keep = kept_shorts(words, doc, window, short)
-                bad = keep & ~np.isin(g.view(np.int64), alive_[i].values.to_numpy(zero_copy_only=False))
-                sums = np.concatenate([[0], np.cumsum(bad)])
-                span = window - short + 1
-                pos = np.flatnonzero(sums[span:] == sums[:-span])
+                _, _, low = kept_shorts(words, doc, window, short)
+                pos = np.flatnonzero(np.isin(low.view(np.int64), alive_[i].values.to_numpy(zero_copy_only=False)))
                 if not len(pos):
                     continue
                 h1, h2 = (gram_hashes(words, window, m)[pos].view(np.int64) for m in _MULS[:2])
