@@ -1,11 +1,11 @@
 """Licence scan by a positional rare-token index, with DataFrame functions only.
 
 The templates' words get inverse document frequencies from all documents. Each template is looked up by its `RARE`
-words of highest frequency weight: their places in a file, less their places in the template, give possible starts; a
-start's score is the weight of the rare words found there, `SLACK` words aside, over the weight of all. A template
-labels a file if its best start reaches `REACH` and the file holds the template's key phrases. Fixed phrases label a
-file wherever they stand. Only files with one of the `KEYS`, of which every template and phrase has one, are looked at
-closely; all others just have their words counted.
+words of highest frequency weight, words that no document has left out: their places in a file, less their places in
+the template, give possible starts; a start's score is the weight of the rare words found there, `SLACK` words aside,
+over the weight of all. A template labels a file if its best start reaches `REACH` and the file holds the template's
+key phrases. Fixed phrases label a file wherever they stand. Only files with one of the `KEYS`, of which every template
+and phrase has one, are looked at closely; all others just have their words counted.
 
 Defined cases: null and empty texts have no words, no labels and score 0; repeated rows give equal rows; null doc_ids
 are kept; an empty table gives an empty result; other columns are ignored.
@@ -46,6 +46,7 @@ TEMPLATES = [
     ("as-is", "the software is provided as is without warranty of any kind express or implied", ["without warranty of any kind"]),
     ("reserved", "copyright c all rights reserved no part may be reproduced without permission", ["all rights reserved"]),
 ]
+_FOUND = "array<struct<label:string,score:double>>"
 VOCABULARY = sorted({w for _, words, _ in TEMPLATES for w in words.split()})
 
 
@@ -65,14 +66,14 @@ def gated(low: Column) -> Column:
 
 
 def frequencies(docs: DataFrame) -> dict[str, float]:
-    """Weight ln((n + 1) / (documents with the word + 1)) of each template word over all documents; at most
-    len(VOCABULARY) + 1 rows reach the driver."""
+    """Weight ln((n + 1) / (documents with the word + 1)) of each template word that some document has, over all
+    documents; at most len(VOCABULARY) + 1 rows reach the driver."""
     low = docs.select(lower(F.col("text")).alias("low"))
     held = F.array_intersect(F.split(F.col("low"), BETWEEN), F.array(*map(F.lit, VOCABULARY)))
     found = low.select(F.explode(F.concat(held, F.array(F.lit("")))).alias("w"))  # the empty word counts the documents
     counts = {r.w: r.n for r in found.groupBy("w").agg(F.count("*").alias("n")).collect()}
     n = counts.pop("", 0)
-    return {w: math.log((n + 1) / (counts.get(w, 0) + 1)) + 0.01 for w in VOCABULARY}
+    return {w: math.log((n + 1) / (c + 1)) + 0.01 for w, c in counts.items()}
 
 
 def _places(w: Column, phrase: str) -> Column:
@@ -117,8 +118,9 @@ def scan(docs: DataFrame, weights: dict[str, float]) -> DataFrame:
     for label, notice, phrases in TEMPLATES:
         tokens = notice.split()
         first = {w: tokens.index(w) for w in dict.fromkeys(tokens)}
-        best = sorted(first, key=lambda w: (-weights[w], w))[:RARE]
-        rare.append((label, [(w, first[w], weights[w]) for w in best], phrases))
+        best = sorted(first.keys() & weights.keys(), key=lambda w: (-weights[w], w))[:RARE]
+        if best:  # a template whose words no document has needs no look-up
+            rare.append((label, [(w, first[w], weights[w]) for w in best], phrases))
     looked = sorted({w for _, r, _ in rare for w, *_ in r})
 
     def close(w: Column) -> Column:
@@ -132,13 +134,13 @@ def scan(docs: DataFrame, weights: dict[str, float]) -> DataFrame:
                 for p in phrases:
                     keyed = keyed & text.contains(f" {p} ")
                 out.append(F.struct(F.lit(label).alias("label"), F.when(keyed, template_score(hits, r)).otherwise(0.0).alias("score")))
-            return F.array(*out)
+            return F.array(*out).cast(_FOUND)
 
         found = let(placed, lambda hits: let(body, lambda text: judge(hits, text)))
         base = let(body, lambda text: F.array(*[F.when(text.contains(f" {p} "), _places(w, p)).otherwise(F.array().cast("array<int>")) for p, _ in PHRASES]))
         return F.struct(F.size(w).alias("n"), base.alias("base"), found.alias("found"))
 
-    far = F.struct(F.lit(0).alias("n"), F.array(*[F.array().cast("array<int>")] * len(PHRASES)).alias("base"), F.array().cast("array<struct<label:string,score:double>>").alias("found"))
+    far = F.struct(F.lit(0).alias("n"), F.array(*[F.array().cast("array<int>")] * len(PHRASES)).alias("base"), F.array().cast(_FOUND).alias("found"))
     low = docs.select(F.col("doc_id").cast("long").alias("doc_id"), lower(F.col("text")).alias("low"))
     seen = low.select("doc_id", let(F.col("low"), lambda t: F.when(gated(t), let(words(t), close)).otherwise(far.withField("n", F.size(words(t))))).alias("s"))
     places = F.flatten("s.base")
