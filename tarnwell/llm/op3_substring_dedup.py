@@ -1,14 +1,16 @@
 """Exact removal of word passages that an earlier document has, by level-wise doubling of window lengths.
 
-Level one looks at windows of `SHORT` words, thinned without loss: only those with the smallest hash in some
-`WINDOW`-word window are kept. Equal long windows have equal smallest short ones, kept in each of their documents,
-whatever stands around them. Short windows found in one document alone are dropped; long windows (twice as long, and
-the odd word) are made only where their smallest short window survives.
-Long windows are grouped by a 128-bit hash; one that starts in a document with a smaller doc_id covers words that go.
+Texts that equal an earlier one lose everything and are set aside first. Level one looks at windows of `SHORT` words,
+thinned without loss: only those with the smallest hash in some `WINDOW`-word window are kept. Equal long windows have
+equal smallest short ones, kept in each of their documents, whatever stands around them. Short windows found in one
+document alone are dropped; long windows (twice as long, and the odd word) are made only where their smallest short
+window survives. Neighbouring long windows with the same smallest short one travel as one row, a run: equal runs are
+merged before their windows are compared, so copies of a passage meet as one row a task. A window is known by its
+short window's hash and its own, 128 bits. One that starts in a document with a smaller doc_id covers words that go.
 `repeats` carries the doubling on (26, 52, ... words) until no candidate survives, and returns the longest passages.
 
-Minimum and maximum doc_id of a window are pre-aggregated before the shuffle, so a passage shared by a third of all
-documents sends one row a task; the rows that meet them are joined, which Spark can split when a key is hot.
+Minimum and maximum doc_id of a window are pre-aggregated before every shuffle; the rows that meet them are joined,
+which Spark can split when a key is hot.
 
 Defined cases: null and empty texts have no words; rows with a null doc_id lose nothing and take nothing from others;
 rows that repeat a doc_id do not shadow each other; an empty table gives an empty result; other columns are ignored.
@@ -31,6 +33,7 @@ NAME = "op3_substring_dedup"
 WINDOW = 13
 SHORT = 6
 CHUNK = 1 << 20  # bytes of text hashed at once
+BROADCAST = 1_000_000  # hashes of texts
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -95,7 +98,27 @@ def kept_shorts(words: np.ndarray, doc: np.ndarray, window: int, short: int) ->
     return g, (g == high) & (high > 0), low
 
 
-def _shorts(docs: DataFrame, window: int, short: int) -> DataFrame:
+def _plain(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("row"), F.xxhash64(F.lit(1), "text").alias("row2"))
+
+
+def _small(df: DataFrame, rows: int = BROADCAST) -> DataFrame:
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def copies(docs: DataFrame) -> DataFrame:
+    """row, row2 (hashes of a text) and low: texts of two documents or more, with the smallest doc_id."""
+    named = _plain(docs).filter("doc_id is not null and text is not null")
+    return materialise(_shared(named.select("doc_id", "row", "row2"), "row", "row2"), "copies")
+
+
+def _fresh(docs: DataFrame, copied: DataFrame) -> DataFrame:
+    """doc_id, row, text of each text at its smallest doc_id."""
+    named = _plain(docs).filter("doc_id is not null and text is not null")
+    return named.join(_small(copied), ["row", "row2"], "left").filter("low is null or doc_id = low").select("doc_id", "row", "text")
+
+
+def _shorts(fresh: DataFrame, window: int, short: int) -> DataFrame:
     """doc_id, h: the kept short windows of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,7 +129,7 @@ def _shorts(docs: DataFrame, window: int, short: int) -> DataFrame:
                 g, keep, _ = kept_shorts(words, doc, window, short)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[a:b][doc[: len(g)][keep]], pa.int64()), pa.array(g[keep].view(np.int64))], names=["doc_id", "h"])
 
-    return docs.mapInArrow(run, "doc_id long, h long")
+    return fresh.select("doc_id", "text").mapInArrow(run, "doc_id long, h long")
 
 
 def _shared(rows: DataFrame, *keys: str) -> DataFrame:
@@ -114,50 +137,74 @@ def _shared(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select(*keys, "low")
 
 
-def _plain(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-
-
-def windows(docs: DataFrame, window: int = WINDOW, short: int = SHORT) -> DataFrame:
-    """doc_id, row (hash of the text), pos, h1, h2: the windows whose smallest short window other documents have too."""
-    named = _plain(docs).filter("doc_id is not null and text is not null")
-    alive = materialise(_shared(_shorts(named, window, short), "h").select("h"), "short-windows")
-    release(docs.sparkSession)
-    held = _shorts(named, window, short).join(alive, "h").groupBy("doc_id").agg(F.collect_set("h").alias("alive"))
-    held = materialise(held, "short-held")
-    release(docs.sparkSession)
+def runs_of(words: np.ndarray, doc: np.ndarray, alive: np.ndarray, window: int, short: int) -> tuple[np.ndarray, ...]:
+    """Of some texts' words the windows whose smallest short window is alive: their places and hashes, where each run of
+    them starts among these, and each run's short hash and own hash."""
+    _, _, low = kept_shorts(words, doc, window, short)
+    at = np.flatnonzero(np.isin(low.view(np.int64), alive) & (low > 0))
+    if not len(at):
+        none = np.zeros(0, np.int64)
+        return none, none, none, none, none
+    w, h, span = gram_hashes(words, window, _MULS[0])[at], low[at], window - short + 1
+    new = np.concatenate([[True], (np.diff(at) != 1) | (h[1:] != h[:-1])])
+    begun = np.flatnonzero(new)
+    nth = (np.arange(len(at)) - np.repeat(begun, np.diff(np.append(begun, len(at))))) % span  # a run is cut at `span` windows
+    starts = np.flatnonzero(nth == 0)
+    powers = np.cumprod(np.full(span, _MULS[1]), dtype=np.uint64)
+    return at, w.view(np.int64), starts, h[starts].view(np.int64), _mix(np.add.reduceat(w * powers[nth], starts)).view(np.int64)
+
+
+def occurrences(fresh: DataFrame, window: int = WINDOW, short: int = SHORT) -> DataFrame:
+    """doc_id, row (hash of the text), pos, h, ctx, ws: runs of windows whose smallest short window other documents have
+    too; h is its hash, ws are the windows' own ones and ctx theirs together."""
+    spark = fresh.sparkSession
+    shorts = materialise(_shorts(fresh, window, short), "short-windows")
+    alive = materialise(_shared(shorts, "h").select("h"), "short-alive")
+    release(spark)
+    held = materialise(shorts.join(alive, "h").groupBy("doc_id").agg(F.collect_set("h").alias("alive")), "short-held")
+    release(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, rows = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            texts, alive_ = binary(batch.column(2)), batch.column(3)
-            for i, text in enumerate(texts):
-                words, doc = word_hashes([text])
-                if len(words) < window:
-                    continue
-                _, _, low = kept_shorts(words, doc, window, short)
-                pos = np.flatnonzero(np.isin(low.view(np.int64), alive_[i].values.to_numpy(zero_copy_only=False)))
-                if not len(pos):
+            texts, lists = binary(batch.column(2)), batch.column(3)
+            for a, b in chunks([len(t) for t in texts], CHUNK):
+                words, doc = word_hashes(texts[a:b])
+                at, w, starts, h, ctx = runs_of(words, doc, np.unique(lists.slice(a, b - a).flatten().to_numpy(zero_copy_only=False)), window, short)
+                if not len(at):
                     continue
-                h1, h2 = (gram_hashes(words, window, m)[pos].view(np.int64) for m in _MULS[:2])
-                n = len(pos)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, ids[i])), pa.array(np.full(n, rows[i])), pa.array(pos.astype(np.int32)), pa.array(h1), pa.array(h2)], names=["doc_id", "row", "pos", "h1", "h2"])
-
-    some = named.select("doc_id", F.xxhash64("text").alias("row"), "text").join(held, "doc_id")
-    return some.select("doc_id", "row", "text", "alive").mapInArrow(run, "doc_id long, row long, pos int, h1 long, h2 long")
-
-
-def covered(docs: DataFrame, window: int = WINDOW, short: int = SHORT) -> DataFrame:
-    """doc_id, row, starts: where windows start that a document with a smaller doc_id has too."""
-    all_ = materialise(windows(docs, window, short), "windows")
-    release(docs.sparkSession)
-    late = all_.join(_shared(all_, "h1", "h2"), ["h1", "h2"]).filter("doc_id > low")
-    return late.groupBy("doc_id", "row").agg(F.collect_set("pos").alias("starts"))
+                of = doc[at[starts]]
+                pos = at[starts] - np.searchsorted(doc, of)
+                ws = pa.ListArray.from_arrays(pa.array(np.append(starts, len(at)), pa.int32()), pa.array(w))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[a:b][of]), pa.array(rows[a:b][of]), pa.array(pos.astype(np.int32)), pa.array(h), pa.array(ctx), ws], names=["doc_id", "row", "pos", "h", "ctx", "ws"])
+
+    return fresh.join(held, "doc_id").select("doc_id", "row", "text", "alive").mapInArrow(run, "doc_id long, row long, pos int, h long, ctx long, ws array<long>")
+
+
+def covered(docs: DataFrame, copied: DataFrame, window: int = WINDOW, short: int = SHORT) -> DataFrame:
+    """doc_id, row, starts: where windows start that a document with a smaller doc_id has too, copies set aside."""
+    spark = docs.sparkSession
+    found = materialise(occurrences(_fresh(docs, copied), window, short), "runs")
+    release(spark)
+    merged = materialise(found.groupBy("h", "ctx", "ws").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")), "runs-merged")
+    release(spark)
+    each = merged.select("h", "ctx", "least", "most", F.posexplode("ws").alias("i", "w"))
+    shared = each.groupBy("h", "w").agg(F.min("least").alias("low"), F.max("most").alias("high")).filter("low < high").select("h", "w", "low")
+    # a run whose every document is the window's first has nothing to lose
+    lows = each.join(shared, ["h", "w"]).filter("most > low").groupBy("h", "ctx").agg(F.collect_list(F.struct("i", "low")).alias("lows"))
+    lows = materialise(lows, "runs-low")
+    release(spark)
+    late = found.select("doc_id", "row", "pos", "h", "ctx").join(lows, ["h", "ctx"])
+    starts = F.transform(F.filter("lows", lambda x: x["low"] < F.col("doc_id")), lambda x: x["i"] + F.col("pos"))
+    return late.select("doc_id", "row", starts.alias("s")).filter(F.size("s") > 0).groupBy("doc_id", "row").agg(F.flatten(F.collect_list("s")).alias("starts"))
 
 
 def repeats(docs: DataFrame, window: int = WINDOW, short: int = SHORT) -> DataFrame:
-    """doc_id, row, pos, size: windows shared by documents at the largest doubled length at which each place still is."""
-    level, size, out = materialise(windows(docs, window, short), "windows"), window, None
+    """doc_id, row, pos, size: windows shared by documents, texts that equal an earlier one set aside, at the largest
+    doubled length at which each place still is."""
+    found = materialise(occurrences(_fresh(docs, copies(docs)), window, short), "runs")
+    level = found.select("doc_id", "row", "pos", F.col("h").alias("h1"), F.posexplode("ws").alias("i", "h2")).select("doc_id", "row", (F.col("pos") + F.col("i")).alias("pos"), "h1", "h2")
+    size, out = window, None
     while True:
         level = materialise(level.join(_shared(level, "h1", "h2").select("h1", "h2"), ["h1", "h2"]).select("doc_id", "row", "pos", "h1", "h2").distinct(), "repeats")
         if level.isEmpty():
@@ -185,14 +232,17 @@ def kept_words(text: bytes | None, starts: list[int] | None, window: int = WINDO
 
 def deduplicated(docs: DataFrame, window: int = WINDOW, short: int = SHORT, texts: bool = True) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and, with texts, kept (the words that stay, joined by spaces)."""
-    marks = materialise(covered(docs, window, short), "covered")
+    copied = copies(docs)
+    marks = materialise(covered(docs, copied, window, short), "covered")
     release(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, gone, sums, kept = [], [], [], []
-            for text, starts in zip(binary(batch.column(1)), batch.column(2).to_pylist()):
+            for text, starts, copy in zip(binary(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 words, total = kept_words(text, starts, window)
+                if copy and total >= window:
+                    words = []
                 joined = b" ".join(words)
                 n.append(total)
                 gone.append(total - len(words))
@@ -202,8 +252,9 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, short: int = SHORT, text
             columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sums, pa.string())]
             yield pa.RecordBatch.from_arrays([*columns, *([pa.array(kept, pa.string())] if texts else [])], names=["doc_id", "n_words", "n_removed", "kept_sha256", *["kept"] * texts])
 
-    rows = _plain(docs).withColumn("row", F.xxhash64("text")).join(marks, ["doc_id", "row"], "left")
-    return rows.select("doc_id", "text", "starts").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * texts)
+    rows = _plain(docs).join(_small(copied), ["row", "row2"], "left").withColumn("copy", F.col("doc_id") > F.col("low"))
+    rows = rows.join(marks, ["doc_id", "row"], "left")
+    return rows.select("doc_id", "text", "starts", "copy").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * texts)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
