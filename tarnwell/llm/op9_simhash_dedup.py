@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -51,14 +51,18 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long)."""
+    """doc_id, row (a hash of the text), fp (the 64 bits as a signed long)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.fromiter((fingerprint(t, shingle) for t in binary(batch.column(1))), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fps.view(np.int64))], names=["doc_id", "row", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _row(docs)).mapInArrow(run, "doc_id long, row long, fp long")
+
+
+def _row(docs: DataFrame) -> Column:
+    return F.xxhash64(F.coalesce(docs["text"], F.lit(""))).alias("row")
 
 
 def split_bits(mask: int, parts: int) -> list[int]:
@@ -211,14 +215,19 @@ def components(edges: DataFrame) -> DataFrame:
         before = state
 
 
-def classes(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """doc_id, fp, component_id for each row of docs."""
+def rooted(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, row, fp) of each row of docs, and (fp, root, component_id) of each fingerprint; a class has one root."""
     fps = materialise(fingerprints(docs, shingle), "simhash-fps")
     distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("rep"))
     joined = components(links(distinct, radius))
     member = distinct.join(joined.select(F.col("a").alias("fp"), F.col("b").alias("root")), "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     lowest = member.groupBy("root").agg(F.min("rep").alias("component_id"))
-    label = member.join(lowest, "root").select("fp", "component_id")
+    return fps, member.join(lowest, "root").select("fp", "root", "component_id")
+
+
+def classes(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """doc_id, fp, component_id for each row of docs."""
+    fps, label = rooted(docs, shingle, radius)
     return fps.join(label, "fp").select("doc_id", "fp", "component_id")
 
 
@@ -231,18 +240,12 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """The rows of docs that stand for their near-duplicate class: the smallest doc_id's, of its repeated rows that
-    with the smallest text. Rows with a null doc_id stay only where their class has no other row."""
-    got = classes(docs, shingle, radius)
-    label = got.filter("doc_id = component_id").select("doc_id").distinct()
-    w = W.partitionBy("doc_id").orderBy("text")
-    first = docs.join(label, "doc_id", "left_semi").withColumn("_row", F.row_number().over(w)).filter("_row = 1").drop("_row")
-    alone = docs.filter("doc_id is null")
-    if alone.isEmpty():
-        return first.select(*docs.columns)
-    w = W.partitionBy("_fp").orderBy("text")
-    free = got.filter("component_id is null").select(F.col("fp").alias("_fp")).distinct()
-    texts = fingerprints(alone.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("doc_id"), "text"), shingle).distinct()
-    kept = alone.withColumn("_t", F.xxhash64(F.coalesce("text", F.lit("")))).join(texts.select(F.col("doc_id").alias("_t"), F.col("fp").alias("_fp")), "_t").join(free, "_fp", "left_semi")
-    kept = kept.withColumn("_row", F.row_number().over(w)).filter("_row = 1")
-    return first.select(*docs.columns).unionByName(kept.select(*docs.columns))
+    """One row of docs for each near-duplicate class: its smallest doc_id's, null ones last; of equal ids that with the
+    smallest hash of its text, of repeated rows one."""
+    fps, label = rooted(docs, shingle, radius)
+    none, number = F.col("doc_id").isNull(), F.coalesce(F.col("doc_id").cast("long"), F.lit(0))
+    first = fps.join(label, "fp").groupBy("root").agg(F.min(F.struct(none.alias("_none"), number.alias("_id"), F.col("row").alias("_row"))).alias("m")).select("m.*")
+    keys = ["_none", "_id", "_row"]
+    named = docs.withColumns({"_none": none, "_id": number, "_row": _row(docs)})
+    kept = named.join(first, keys, "left_semi").withColumn("_nth", F.row_number().over(W.partitionBy(*keys).orderBy(F.lit(0))))
+    return kept.filter("_nth = 1").select(*docs.columns)
