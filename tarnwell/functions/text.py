@@ -95,3 +95,15 @@ def excerpt(c: Column, limit: int) -> Column:
     """The text on one line, cut at `limit` characters with an ellipsis."""
     line = F.regexp_replace(c, "\n", " ")
     return F.when(F.length(line) > limit, F.concat(F.left(line, F.lit(limit)), F.lit("…"))).otherwise(line)
+
+
+def key_values(pairs: list[tuple[str, Column]]) -> Column:
+    """k=v pairs on one line; white space in values becomes an underscore, as does an empty value."""
+    shown = [F.concat(F.lit(f"{k}="), F.when(F.coalesce(v.cast("string"), F.lit("")) == "", "_").otherwise(F.regexp_replace(v.cast("string"), r"\s+", "_"))) for k, v in pairs]
+    return F.concat_ws(" ", *shown)
+
+
+def first_line(c: Column, limit: int = 200) -> Column:
+    """The first line that is not blank, trimmed and cut; null if there is none. Takes a model's rewritten query."""
+    lines = F.filter(F.transform(F.split(c, r"\r?\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
+    return F.left(F.get(lines, F.lit(0)), F.lit(limit))

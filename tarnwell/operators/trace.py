@@ -96,3 +96,24 @@ def tool_outcome(requested: Column, allowed: Column, arguments: Column, output:
 
 def backoff(attempt: Column, initial: float = 0.5, factor: float = 2.0, most: float = 30.0) -> Column:
     return F.least(F.lit(initial) * F.pow(F.lit(factor), attempt - 1), F.lit(most))
+
+
+def trace_metrics(trace: DataFrame, key: str) -> DataFrame:
+    """Counts by tool or by verifier: events, failures, denials, each verdict, total time."""
+    of = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
+    kinds = [of(F.col("verdict_type") == v).alias(f"{v}_verdicts") for v in ("pass", "repair", "reject", "escalate")]
+    return trace.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("events"), of(~F.col("success")).alias("failed"), of(F.col("type") == "tool.denied").alias("denied"), *kinds, F.coalesce(F.sum("elapsed_ns"), F.lit(0)).alias("elapsed_ns"))
+
+
+def run_summary(trace: DataFrame) -> DataFrame:
+    """run, started, ended, success, turns, tool_calls, escalated of each run in a trace."""
+    of = lambda t: F.count_if(F.col("type") == t)
+    return trace.groupBy("run").agg(
+        F.min("ts").alias("started"), F.max("ts").alias("ended"), F.max(F.when(F.col("type") == "run.ended", F.col("success"))).alias("success"), of("model.started").alias("turns"),
+        of("tool.requested").alias("tool_calls"), (of("escalation") > 0).alias("escalated"), of("repair.scheduled").alias("repairs"), F.max(F.when(F.col("type") == "budget.exhausted", F.col("kind"))).alias("exhausted"),
+    )
+
+
+def temperature(step: Column, base: float = 0.3, rise: float = 0.25, most: float = 1.0) -> Column:
+    """Sampling temperature of each candidate, from 0."""
+    return F.least(F.lit(base) + F.lit(rise) * step, F.lit(most))

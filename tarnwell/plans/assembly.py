@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tarnwell.functions import text as T
 from tarnwell.operators import archive as A
+from tarnwell.operators import consolidation as K
 from tarnwell.operators import context as X
 from tarnwell.operators import extraction as E
 from tarnwell.operators import memory as M
@@ -151,3 +152,26 @@ def touch_invalidate(s, d):
 @query("select doc_id, greatest(1, octet_length(encode(text)) // 4)::bigint as tokens, substr(replace(text, chr(10), ' '), 1, 120) || case when length(text) > 120 then '…' else '' end as line from documents")
 def token_estimates(s, d):
     return table(s, d, "documents").select("doc_id", T.token_estimate(F.col("text")).alias("tokens"), T.excerpt(F.col("text"), 120).alias("line"))
+
+
+@query(
+    """with n as (select event_type as tool, case when event_id % 5 = 0 then 'tool.denied' else 'tool.completed' end as type, event_type <> 'error' as success, ['pass', 'repair', 'reject', 'escalate'][user_id % 4 + 1] as verdict, event_id * 10 as elapsed from events)
+select tool, count(*) as events, count(*) filter (not success) as failed, count(*) filter (type = 'tool.denied') as denied, count(*) filter (verdict = 'pass') as pass_verdicts, count(*) filter (verdict = 'repair') as repair_verdicts,
+  count(*) filter (verdict = 'reject') as reject_verdicts, count(*) filter (verdict = 'escalate') as escalate_verdicts, sum(elapsed)::bigint as elapsed_ns from n group by tool"""
+)
+def tool_metrics(s, d):
+    """Trace lines made of events, read and rolled up by tool."""
+    from tarnwell.operators import trace as TR
+
+    n = F.col("event_id")
+    verdict = F.element_at(F.array(*map(F.lit, ["pass", "repair", "reject", "escalate"])), (F.col("user_id") % 4 + 1).cast("int"))
+    line = F.to_json(F.struct(F.when(n % 5 == 0, "tool.denied").otherwise("tool.completed").alias("type"), F.lit("r").alias("run"), n.alias("ts"), F.col("event_type").alias("tool"), (F.col("event_type") != "error").alias("success"), F.struct(verdict.alias("type")).alias("verdict"), (n * 10).alias("elapsed_ns")))
+    return TR.trace_metrics(table(s, d, "events").select(*J.trace_columns(line)), "tool")
+
+
+@query()
+def consolidate_batch(s, d):
+    """The facts after one batch of turns; extraction has a twin in fact_spans, reconciliation in reconcile."""
+    m = _messages(s, d).withColumn("created_at", F.expr("timestamp_ntz'2024-01-30 00:00:00'"))
+    after, _ = K.consolidate(m, _facts(s, d), now())
+    return after.groupBy("predicate").agg(F.count("*").alias("facts"), F.count_if(F.col("invalidated_at").isNull()).alias("open_facts"))

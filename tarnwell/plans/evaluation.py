@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tarnwell.operators import evals as E
 from tarnwell.plans._registry import registry, table
-from tarnwell.plans.lexical import _DENSE, _bm25, _dense, _hits
+from tarnwell.plans.lexical import _DENSE, _bm25, _both, _dense
 
 QUERIES, query = registry()
 
@@ -58,11 +58,7 @@ select query_id, shared, round(shared::double / u, 6) as overlap, top_kept, max_
 )
 def rank_stability(s, d):
     """BM25 against the ranking by matched terms."""
-    from pyspark.sql import Window as W
-
-    all_ = _hits(s, d, 1 << 30)
-    other = all_.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("matched"), "doc_id"))).filter("rank <= 10")
-    out = E.rank_stability(all_.filter("rank <= 10"), other, "query_id", "doc_id")
+    out = E.rank_stability(*_both(s, d, 10), "query_id", "doc_id")
     return out.select("query_id", "shared", F.round("overlap", 6).alias("overlap"), "top_kept", "max_shift", F.round("tau", 6).alias("tau"))
 
 

@@ -30,6 +30,13 @@ def _queries(s, d):
     return table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
+def _both(s, d, limit):
+    """The best by BM25 and the best by matched terms; both rank the same scores, shuffled once."""
+    scores = R.bm25_scores(_queries(s, d), table(s, d, "documents").select("doc_id", "text"), "query_id", "doc_id", "text")
+    order = F.asc("doc_id")
+    return R.ranked(scores, "query_id", [F.desc("score"), order], limit), R.ranked(scores, "query_id", [F.desc("matched"), order], limit)
+
+
 def _hits(s, d, limit):
     return R.bm25(_queries(s, d), table(s, d, "documents").select("doc_id", "text"), "query_id", "doc_id", "text", limit)
 
@@ -114,11 +121,7 @@ fused as (select query_id, doc_id, round(sum(1 / (60.0::double + rank)), 9) as f
 @query(f"with {_FUSED}, f as (select *, row_number() over (partition by query_id order by fused desc, doc_id) as rank from fused) select query_id, rank, doc_id, round(fused, 6) as fused from f where rank <= 10")
 def rrf_hybrid(s, d):
     """BM25 fused with a ranking by the number of query terms found."""
-    from pyspark.sql import Window as W
-
-    scores = R.bm25(_queries(s, d), table(s, d, "documents").select("doc_id", "text"), "query_id", "doc_id", "text", 1 << 30)
-    second = scores.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("matched"), "doc_id"))).filter("rank <= 20")
-    return R.reciprocal_rank_fusion([scores.filter("rank <= 20"), second], "query_id", "doc_id", 10).select("query_id", "rank", "doc_id", F.round("fused", 6).alias("fused"))
+    return R.reciprocal_rank_fusion([*_both(s, d, 20)], "query_id", "doc_id", 10).select("query_id", "rank", "doc_id", F.round("fused", 6).alias("fused"))
 
 
 @query(

@@ -2,24 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnwell.plans._registry import registry
+from tarnwell.sources.cuts import new_folder
 from tarnwell.streaming import metrics, stateful
 
 QUERIES, query = registry()
 
 
-def _folder(spark: SparkSession) -> str:
-    """A new folder below the shared one that the session names; a temporary one only where it names none."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{sf_dir}/events.parquet"
     return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path}*")
@@ -28,7 +22,7 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
     """The table that a stream has written when its sources are exhausted. Complete mode keeps a result in memory, so it
     is for bounded ones; append mode writes Parquet."""
-    spark, at = stream.sparkSession, _folder(stream.sparkSession)
+    spark, at = stream.sparkSession, new_folder(stream.sparkSession, "stream")
     start = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{at}/state")
     if mode == "complete":
         name = f"drained_{uuid.uuid4().hex}"
