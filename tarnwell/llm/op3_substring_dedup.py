@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnwell.llm._common import binary, chunks, materialise, release, table
+from tarnwell.llm._common import binary, chunks, discard, materialise, release, table
 
 NAME = "op3_substring_dedup"
 WINDOW = 13
@@ -162,6 +162,7 @@ def occurrences(fresh: DataFrame, window: int = WINDOW, short: int = SHORT) -> D
     alive = materialise(_shared(shorts, "h").select("h"), "short-alive")
     release(spark)
     held = materialise(shorts.join(alive, "h").groupBy("doc_id").agg(F.collect_set("h").alias("alive")), "short-held")
+    discard(shorts, alive)
     release(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,14 +179,17 @@ def occurrences(fresh: DataFrame, window: int = WINDOW, short: int = SHORT) -> D
                 ws = pa.ListArray.from_arrays(pa.array(np.append(starts, len(at)), pa.int32()), pa.array(w))
                 yield pa.RecordBatch.from_arrays([pa.array(ids[a:b][of]), pa.array(rows[a:b][of]), pa.array(pos.astype(np.int32)), pa.array(h), pa.array(ctx), ws], names=["doc_id", "row", "pos", "h", "ctx", "ws"])
 
-    return fresh.join(held, "doc_id").select("doc_id", "row", "text", "alive").mapInArrow(run, "doc_id long, row long, pos int, h long, ctx long, ws array<long>")
+    found = fresh.join(held, "doc_id").select("doc_id", "row", "text", "alive").mapInArrow(run, "doc_id long, row long, pos int, h long, ctx long, ws array<long>")
+    found = materialise(found, "runs")
+    discard(held)
+    release(spark)
+    return found
 
 
 def covered(docs: DataFrame, copied: DataFrame, window: int = WINDOW, short: int = SHORT) -> DataFrame:
     """doc_id, row, starts: where windows start that a document with a smaller doc_id has too, copies set aside."""
     spark = docs.sparkSession
-    found = materialise(occurrences(_fresh(docs, copied), window, short), "runs")
-    release(spark)
+    found = occurrences(_fresh(docs, copied), window, short)
     merged = materialise(found.groupBy("h", "ctx", "ws").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")), "runs-merged")
     release(spark)
     each = merged.select("h", "ctx", "least", "most", F.posexplode("ws").alias("i", "w"))
@@ -193,16 +197,21 @@ def covered(docs: DataFrame, copied: DataFrame, window: int = WINDOW, short: int
     # a run whose every document is the window's first has nothing to lose
     lows = each.join(shared, ["h", "w"]).filter("most > low").groupBy("h", "ctx").agg(F.collect_list(F.struct("i", "low")).alias("lows"))
     lows = materialise(lows, "runs-low")
+    discard(merged)
     release(spark)
     late = found.select("doc_id", "row", "pos", "h", "ctx").join(lows, ["h", "ctx"])
     starts = F.transform(F.filter("lows", lambda x: x["low"] < F.col("doc_id")), lambda x: x["i"] + F.col("pos"))
-    return late.select("doc_id", "row", starts.alias("s")).filter(F.size("s") > 0).groupBy("doc_id", "row").agg(F.flatten(F.collect_list("s")).alias("starts"))
+    marks = late.select("doc_id", "row", starts.alias("s")).filter(F.size("s") > 0).groupBy("doc_id", "row").agg(F.flatten(F.collect_list("s")).alias("starts"))
+    marks = materialise(marks, "covered")
+    discard(found, lows)
+    release(spark)
+    return marks
 
 
 def repeats(docs: DataFrame, window: int = WINDOW, short: int = SHORT) -> DataFrame:
     """doc_id, row, pos, size: windows shared by documents, texts that equal an earlier one set aside, at the largest
     doubled length at which each place still is."""
-    found = materialise(occurrences(_fresh(docs, copies(docs)), window, short), "runs")
+    found = occurrences(_fresh(docs, copies(docs)), window, short)
     level = found.select("doc_id", "row", "pos", F.col("h").alias("h1"), F.posexplode("ws").alias("i", "h2")).select("doc_id", "row", (F.col("pos") + F.col("i")).alias("pos"), "h1", "h2")
     size, out = window, None
     while True:
@@ -233,8 +242,7 @@ def kept_words(text: bytes | None, starts: list[int] | None, window: int = WINDO
 def deduplicated(docs: DataFrame, window: int = WINDOW, short: int = SHORT, texts: bool = True) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and, with texts, kept (the words that stay, joined by spaces)."""
     copied = copies(docs)
-    marks = materialise(covered(docs, copied, window, short), "covered")
-    release(docs.sparkSession)
+    marks = covered(docs, copied, window, short)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
