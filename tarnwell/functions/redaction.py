@@ -18,7 +18,7 @@ FROM_SECRETS = [(f"secret-{i}", p, "⟨secret⟩") for i, p in SECRETS]
 
 
 def redact_one(c: Column, pattern: str, replacement: str, limit: int = LIMIT) -> Column:
-    return F.when(F.octet_length(c) > limit, F.lit(replacement)).otherwise(F.regexp_replace(c, pattern, replacement))
+    return F.when(F.octet_length(c) > limit, F.lit(f"⟨redacted: input exceeded {limit}-byte scan limit⟩")).otherwise(F.regexp_replace(c, pattern, replacement))
 
 
 def redact(c: Column, rules=COMMON, limit: int = LIMIT) -> Column:

@@ -11,6 +11,11 @@ from pyspark.sql import functions as F
 SEPARATORS = r"[^\p{L}\p{M}\p{N}]+"
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once a row, however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), lambda x: body(x)), 1)
+
+
 def _normaliser(form: str):
     @F.pandas_udf("string")
     def run(s: pd.Series) -> pd.Series:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tarnwell.operators import archive as A
 from tarnwell.operators import extraction as X
 from tarnwell.operators import memory as M
+from tarnwell.sources.cuts import written
 
 HELD = 12  # messages of a thread that stay out of the archive
 
@@ -16,17 +17,18 @@ HELD = 12  # messages of a thread that stay out of the archive
 def claims(messages: DataFrame, at: str = "created_at", thread: str = "conv_id", turn: str = "turn") -> DataFrame:
     """Candidates in the columns that reconciliation takes."""
     found = X.candidates(messages, thread, turn).join(messages.select(thread, turn, at), [thread, turn])
-    return found.select("id", F.col(thread).cast("string").alias("thread_id"), "subject", "predicate", "text", "origin", "confidence", "importance", "tags", F.col(at).alias("valid_from"), "retraction")
+    found = found.select("id", F.col(thread).cast("string").alias("thread_id"), "subject", "predicate", "text", "origin", "confidence", "importance", "tags", F.col(at).alias("valid_from"), "retraction")
+    return written(found, "claims")  # many rules make a large plan: it ends here
 
 
 def consolidate(messages: DataFrame, facts: DataFrame, now: Column, at: str = "created_at") -> tuple[DataFrame, DataFrame]:
     """(facts after the batch, decisions). All decisions of a batch read the same snapshot; give one batch at a time."""
     found = claims(messages, at)
-    decisions = M.reconcile(found, facts, now)
+    decisions = written(M.reconcile(found, facts, now), "decisions")
     return M.apply_decisions(facts, found, decisions, now), decisions
 
 
-def reroute(decisions: DataFrame, choice: Column, ambiguous: tuple[str, ...] = ("keptExisting", "newerValidity", "higherConfidence", "higherTrust")) -> DataFrame:
+def reroute(decisions: DataFrame, choice: Column, ambiguous: tuple[str, ...] = ("newerWins", "staleCandidate", "higherConfidenceWins", "higherTrustWins", "slotContradiction")) -> DataFrame:
     """Decisions with the operation that a chooser (a column, as of a pandas UDF) gives for ambiguous ones; a choice
     that is no operation, or has no target where it needs one, changes nothing."""
     valid = F.col("rationale").isin(*ambiguous) & choice.isin("add", "update", "delete", "noop") & (choice.isin("add", "noop") | F.col("target_id").isNotNull())

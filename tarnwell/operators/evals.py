@@ -49,7 +49,8 @@ def mean_metrics(metrics: DataFrame, *by: str) -> DataFrame:
 
 
 def rank_stability(base: DataFrame, other: DataFrame, case: str, item: str) -> DataFrame:
-    """case, shared, overlap (of the union), top_kept, max_shift and Kendall's tau over the shared items."""
+    """case, shared, overlap (share of the base list that the other has), top_kept, max_shift and Kendall's tau over the
+    shared items; what is undefined is null. Give both lists cut at the same k."""
     b, o = base.select(case, item, F.col("rank").alias("b")), other.select(case, item, F.col("rank").alias("o"))
     both = b.join(o, [case, item], "full_outer")
     pairs = both.filter("b is not null and o is not null").select(case, F.struct("b", "o").alias("p"))
@@ -60,11 +61,11 @@ def rank_stability(base: DataFrame, other: DataFrame, case: str, item: str) -> D
 
     tau = F.aggregate(F.transform("ps", after), F.lit(0), lambda a, x: a + x)
     stats = both.groupBy(case).agg(
-        F.count("*").alias("union"), F.count_if(F.col("b").isNotNull() & F.col("o").isNotNull()).alias("shared"),
+        F.count("b").alias("based"), F.count_if(F.col("b").isNotNull() & F.col("o").isNotNull()).alias("shared"),
         F.max(F.abs(F.col("b") - F.col("o"))).alias("max_shift"), F.max((F.col("b") == 1) & (F.col("o") == 1)).alias("top_kept"),
     )
     n = F.size("ps")
-    return stats.join(lists, case, "left").select(case, "shared", F.round(F.col("shared") / F.col("union"), 9).alias("overlap"), F.coalesce("top_kept", F.lit(False)).alias("top_kept"), F.coalesce("max_shift", F.lit(0)).alias("max_shift"), F.round(F.when(n >= 2, tau * 2.0 / (n * (n - 1))), 9).alias("tau"))
+    return stats.join(lists, case, "left").select(case, "shared", F.round(F.when(F.col("based") > 0, F.col("shared") / F.col("based")), 9).alias("overlap"), F.coalesce("top_kept", F.lit(False)).alias("top_kept"), "max_shift", F.round(F.when(n >= 2, tau * 2.0 / (n * (n - 1))), 9).alias("tau"))
 
 
 def abstentions(results: DataFrame, cases: DataFrame, case: str, score: str, floor: float) -> DataFrame:
@@ -81,32 +82,34 @@ def pass_rate(outcomes: DataFrame, *by: str) -> DataFrame:
 
 
 def gate(candidate: DataFrame, baseline: DataFrame, threshold: float, tolerance: float) -> DataFrame:
-    """One row: both pass rates, regressions (passed before, not now), and whether the gate opens."""
+    """One row: both pass rates, regressions (passed before, not now), and whether the gate opens: the rate reaches the
+    threshold and lies at most the tolerance below the baseline's. Regressions are told, they do not close it."""
     both = candidate.select("case_id", F.col("passed").alias("c")).join(baseline.select("case_id", F.col("passed").alias("b")), "case_id", "full_outer")
     got = both.agg(
         F.round(F.avg(F.col("c").cast("int")), 9).alias("pass_rate"), F.round(F.avg(F.col("b").cast("int")), 9).alias("baseline_rate"),
         F.count_if(F.col("b") & ~F.col("c")).alias("regressions"),
     )
-    return got.withColumn("gate_open", (F.col("pass_rate") >= threshold) & (F.col("pass_rate") >= F.col("baseline_rate") - tolerance) & (F.col("regressions") == 0))
+    return got.withColumn("gate_open", (F.col("pass_rate") >= threshold) & (F.col("pass_rate") >= F.col("baseline_rate") - tolerance))
 
 
 def memory_grade(texts: Column, must: Column, must_not: Column) -> Column:
     """missing and forbidden terms of an ordered array of recalled texts."""
     blob = T.normalise(F.array_join(F.array_distinct(texts), "\n"))
     has = lambda t: F.contains(blob, T.normalise(t))
-    missing, forbidden = F.filter(must, lambda t: ~has(t)), F.filter(must_not, has)
+    missing, forbidden = F.array_sort(F.filter(must, lambda t: ~has(t))), F.array_sort(F.filter(must_not, lambda t: has(t)))
     return F.struct(missing.alias("missing"), forbidden.alias("forbidden"), ((F.size(missing) == 0) & (F.size(forbidden) == 0)).alias("passed"))
 
 
-def best_of_n(checks: DataFrame, run: str = "run_id", candidate: str = "candidate") -> DataFrame:
+def best_of_n(checks: DataFrame, run: str = "run_id", candidate: str = "candidate", first_pass: bool = False) -> DataFrame:
     """run, candidate, score, chosen from checks (run, candidate, weight, verdict): earned over total weight, 1 without
-    checks; a reject or escalate disqualifies; the best, then earliest, is chosen, the first if all are out."""
+    checks; a reject or escalate disqualifies; the best, then earliest, is chosen, the first if all are out. With
+    first_pass the earliest that passes every check comes before any other."""
     got = checks.groupBy(run, candidate).agg(
         F.sum(F.when(F.col("verdict") == "pass", F.col("weight")).otherwise(0.0)).alias("earned"), F.sum("weight").alias("total"),
-        F.max(F.col("verdict").isin("reject", "escalate")).alias("out"),
+        F.max(F.col("verdict").isin("reject", "escalate")).alias("out"), F.min(F.col("verdict") == "pass").alias("all_pass"),
     )
     got = got.withColumn("score", F.round(F.when(F.coalesce("total", F.lit(0.0)) == 0, 1.0).otherwise(F.col("earned") / F.col("total")), 9))
-    order = W.partitionBy(run).orderBy(F.col("out").asc(), F.when(F.col("out"), 0.0).otherwise(F.col("score")).desc(), candidate)
+    order = W.partitionBy(run).orderBy(F.col("out").asc(), *([F.col("all_pass").desc(), F.when(F.col("all_pass"), F.col(candidate)).asc_nulls_last()] if first_pass else []), F.when(F.col("out"), 0.0).otherwise(F.col("score")).desc(), candidate)
     return got.withColumn("chosen", F.row_number().over(order) == 1).select(run, candidate, "score", F.col("out").alias("disqualified"), "chosen")
 
 

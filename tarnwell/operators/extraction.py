@@ -38,22 +38,26 @@ _KIND = "array<struct<rule:string,predicate:string,text:string,confidence:double
 
 def _group(c: Column, pattern: str, group: int) -> Column:
     """The trimmed group; null where the pattern does not match or the group is blank."""
-    got = F.regexp_replace(F.regexp_extract(c, pattern, group), r"^\s+|\s+$", "")
-    return F.when(got != "", got)
+    return F.nullif(F.regexp_replace(F.regexp_extract(c, pattern, group), r"^\s+|\s+$", ""), F.lit(""))
 
 
 def rule_values(c: Column, confidence: Column | None = None) -> Column:
     """What each rule finds in a sentence, in the rules' order."""
-    found = []
-    for name, pattern, predicate, sure, delta, tags in RULES:
-        value = _group(c, pattern, 2 if predicate is None else 1)
-        key = F.lit(predicate) if predicate else T.normalise(F.regexp_extract(c, pattern, 1))
-        fields = F.struct(
-            F.lit(name).alias("rule"), key.alias("predicate"), value.alias("text"), (F.coalesce(confidence, F.lit(sure)) if confidence is not None else F.lit(sure)).alias("confidence"),
-            F.lit(delta).alias("delta"), F.array(*map(F.lit, tags)).cast("array<string>").alias("tags"),
-        )
-        found.append(F.when(value.isNotNull(), fields))
-    return F.array_compact(F.array(*found)).cast(_KIND)
+
+    def one(rule) -> Column:
+        name, pattern, predicate, sure, delta, tags = rule
+
+        def found(value: Column) -> Column:
+            key = F.lit(predicate) if predicate else T.normalise(F.regexp_extract(c, pattern, 1))
+            fields = F.struct(
+                F.lit(name).alias("rule"), key.alias("predicate"), value.alias("text"), (F.lit(sure) if confidence is None else F.coalesce(confidence, F.lit(sure))).alias("confidence"),
+                F.lit(delta).alias("delta"), F.array(*map(F.lit, tags)).cast("array<string>").alias("tags"),
+            )
+            return F.when(value.isNotNull(), fields)
+
+        return T.let(_group(c, pattern, 2 if predicate is None else 1), found)
+
+    return F.array_compact(F.array(*map(one, RULES))).cast(_KIND)
 
 
 def spans(messages: DataFrame, thread: str = "conv_id", turn: str = "turn") -> DataFrame:
@@ -65,9 +69,9 @@ def spans(messages: DataFrame, thread: str = "conv_id", turn: str = "turn") -> D
     told = each.select(thread, turn, "role", "sentence", F.col("s").rlike(DATES).alias("temporal"), rest.isNotNull().alias("corrects"), F.coalesce(rest, F.col("s")).alias("s"))
     taken = F.coalesce(*[F.when(_group(F.col("s"), p, 1).isNotNull(), F.struct(F.lit(n).alias("rule"), _group(F.col("s"), p, 1).alias("object"), F.lit(sure).alias("confidence"))) for n, p, sure in RETRACTIONS])
     told = told.withColumn("taken", taken)
-    inner = rule_values(F.col("taken.object"), F.col("taken.confidence"))
+    inner = T.let(F.struct("taken.object", "taken.confidence"), lambda x: rule_values(x["object"], x["confidence"]))
     bare = F.array(F.struct(F.col("taken.rule").alias("rule"), F.lit("retraction").alias("predicate"), F.col("taken.object").alias("text"), F.col("taken.confidence").alias("confidence"), F.lit(0).alias("delta"), F.array(F.lit("retraction")).alias("tags"))).cast(_KIND)
-    found = F.when(F.col("taken").isNull(), rule_values(F.col("s"))).when(F.size(inner) > 0, inner).otherwise(bare)
+    found = F.when(F.col("taken").isNull(), rule_values(F.col("s"))).otherwise(T.let(inner, lambda x: F.when(F.size(x) > 0, x).otherwise(bare)))
     rows = told.withColumn("found", found).select(thread, turn, "role", "sentence", "temporal", "corrects", F.col("taken").isNotNull().alias("retraction"), F.posexplode("found").alias("nth", "f"))
     role = F.coalesce(*[F.when(F.col("role") == r, F.lit(o)) for r, o in ORIGINS.items()], F.lit("derived"))
     more = F.array_compact(F.array(F.when(F.col("temporal"), F.lit("temporal")), F.when(F.col("corrects"), F.lit("correction")), F.when(F.col("retraction"), F.lit("retraction"))))

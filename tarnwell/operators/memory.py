@@ -102,7 +102,7 @@ def salience(df: DataFrame, now: Column, group: list[str], relevance: Column | N
 # --- reconciliation
 
 
-def reconcile(candidates: DataFrame, facts: DataFrame, now: Column, floor: str = "retrievedDocument", other_confidence: float = 0.9, confidence: float = 0.5) -> DataFrame:
+def reconcile(candidates: DataFrame, facts: DataFrame, now: Column, floor: str = "derived", other_confidence: float = 0.9, confidence: float = 0.5) -> DataFrame:
     """One decision for each candidate against one snapshot of the facts: operation, target_id, rationale.
 
     candidates have facts' columns id, thread_id, subject, predicate, text, origin, confidence, valid_from and
@@ -115,9 +115,9 @@ def reconcile(candidates: DataFrame, facts: DataFrame, now: Column, floor: str =
     score = weighted_jaccard(cand.select("id", *SLOT, "text"), live.select("f_id", *SLOT, F.col("f_text").alias("text")), "id", "f_id", "text", SLOT)
     near = pairs.select("id", "f_id").join(score.select("id", "f_id", "score"), ["id", "f_id"], "left").select("id", "f_id", F.coalesce("score", F.lit(0.0)).alias("score"))
     rows = near.join(live.drop("thread_id", "subject_n", "predicate_n"), "f_id")
-    rank = F.struct((F.col("score") >= NEAR).alias("near"), "score", "f_from", "f_id", "f_conf", "f_trust")
-    newest = F.struct("f_from", "f_id")
-    per = rows.groupBy("id").agg(F.max(rank).alias("best"), F.max(newest).alias("newest"))
+    late = (-F.unix_micros(F.col("f_from").cast("timestamp"))).alias("late")  # the newest first, then the smallest id
+    rank = F.struct((F.col("score") < NEAR).alias("far"), (-F.col("score")).alias("unlike"), late, "f_id", "f_from", "f_conf", "f_trust")
+    per = rows.groupBy("id").agg(F.min(rank).alias("best"), F.min(F.struct(late, "f_id")).alias("newest"))
     same = live.select(F.col("f_id").alias("id")).withColumn("duplicate", F.lit(True))
     all_ = cand.withColumn("c_trust", trust(F.col("origin"))).join(per, "id", "left").join(same, "id", "left")
     b = F.col("best")
@@ -129,33 +129,36 @@ def reconcile(candidates: DataFrame, facts: DataFrame, now: Column, floor: str =
         return F.struct(F.lit(operation).alias("operation"), target.alias("target_id"), (F.lit(rationale) if isinstance(rationale, str) else rationale).alias("rationale"))
 
     none = F.lit(None).cast("string")
-    why = F.when(newer, "newerValidity").when(tie & (F.col("confidence") > b["f_conf"]), "higherConfidence").otherwise("higherTrust")
+    differs = F.when(F.col("confidence") != b["f_conf"], "higherConfidenceWins").when(F.col("c_trust") != b["f_trust"], "higherTrustWins")
+    why = F.when(newer, "newerWins").when(~tie, "staleCandidate").otherwise(F.coalesce(differs, F.lit("slotContradiction")))
     decision = (
-        F.when(F.col("c_trust") < TRUST[floor], row("noop", none, "belowTrustFloor"))
-        .when((F.col("origin") != "userStated") & (F.col("confidence") < other_confidence), row("noop", none, "unstatedConfidence"))
-        .when(F.col("confidence") < confidence, row("noop", none, "lowConfidence"))
-        .when(F.col("retraction") & F.col("newest").isNotNull(), row("delete", F.col("newest.f_id"), "retraction"))
-        .when(F.col("retraction"), row("noop", none, "nothingToRetract"))
-        .when(F.col("duplicate"), row("noop", F.col("id"), "duplicate"))
+        F.when(F.col("c_trust") < TRUST[floor], row("noop", none, "lowerTrustRejected"))
+        .when((F.col("origin") != "userStated") & (F.col("confidence") < other_confidence), row("noop", none, "lowerTrustRejected"))
+        .when(F.col("confidence") < confidence, row("noop", none, "belowConfidenceFloor"))
+        .when(F.col("retraction") & F.col("newest").isNotNull(), row("delete", F.col("newest.f_id"), "retractionRequested"))
+        .when(F.col("retraction"), row("noop", none, "retractionRequested"))
+        .when(F.col("duplicate"), row("noop", F.col("id"), "duplicateOfCurrent"))
         .when(b.isNotNull() & wins, row("update", b["f_id"], why))
-        .when(b.isNotNull(), row("noop", b["f_id"], "keptExisting"))
-        .otherwise(row("add", none, "newFact"))
+        .when(b.isNotNull(), row("noop", b["f_id"], why))
+        .otherwise(row("add", none, "noSimilarFact"))
     )
     return all_.select("id", decision.alias("d")).select("id", "d.*")
 
 
 def apply_decisions(facts: DataFrame, candidates: DataFrame, decisions: DataFrame, now: Column) -> DataFrame:
-    """The facts after a batch: inserts once each id, targets closed at the earliest replacement's start, duplicates touched."""
+    """The facts after a batch: each id inserted once, in place of a closed one of that id, targets closed at the earliest
+    replacement's start, duplicates touched."""
     made = candidates.join(decisions, "id")
     new = made.filter(F.col("operation").isin("add", "update")).withColumn("supersedes", F.when(F.col("operation") == "update", F.col("target_id")))
     new = new.withColumn("_n", F.row_number().over(W.partitionBy("id").orderBy("valid_from"))).filter("_n = 1")
-    fresh = new.join(facts.select("id"), "id", "left_anti")
+    facts, fresh = facts.join(new.select("id"), "id", "left_anti").select(*facts.columns), new
     for c in facts.columns:
         if c not in fresh.columns:
-            fresh = fresh.withColumn(c, F.lit(None).cast(facts.schema[c].dataType))
+            value = {"access_count": F.lit(0), "last_accessed_at": now}.get(c, F.lit(None))
+            fresh = fresh.withColumn(c, value.cast(facts.schema[c].dataType))
     fresh = fresh.withColumn("recorded_at", now.cast(facts.schema["recorded_at"].dataType)).select(*[F.col(c).cast(facts.schema[c].dataType) for c in facts.columns])
     closing = made.filter(F.col("operation").isin("update", "delete")).groupBy(F.col("target_id").alias("id")).agg(F.min(F.when(F.col("operation") == "update", F.col("valid_from"))).alias("_until"), F.lit(True).alias("_close"))
-    touched = made.filter("rationale = 'duplicate'").select("id", F.lit(True).alias("_touch")).distinct()
+    touched = made.filter("rationale = 'duplicateOfCurrent'").select("id", F.lit(True).alias("_touch")).distinct()
     old = facts.join(closing, "id", "left").join(touched, "id", "left")
     first = F.col("_close") & F.col("invalidated_at").isNull()
     when = now.cast(facts.schema["recorded_at"].dataType)
@@ -189,8 +192,9 @@ def chain(facts: DataFrame, seed: str) -> DataFrame:
     )
 
 
-def sweep(facts: DataFrame, now: Column, ttl_days: dict[str, float] | None = None, default_ttl: float | None = None, idle_days: float = 30.0, half_life_days: float = 30.0, least: float = 0.2, live_cap: int | None = None) -> DataFrame:
-    """id, reason for un-invalidated facts to forget: expired, idle, decayed, overCapacity, the first that holds."""
+def sweep(facts: DataFrame, now: Column, ttl_days: dict[str, float] | None = None, default_ttl: float | None = None, idle_days: float | None = 30.0, half_life_days: float | None = None, least: float = 0.2, live_cap: int | None = None) -> DataFrame:
+    """id, reason for un-invalidated facts to forget: expired, idle, decayed, overCapacity (live ones past the thread's
+    cap), the first that holds. Decay and the cap are off unless given."""
     open_ = facts.filter("invalidated_at is null")
     age = lambda c: (F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col(c).cast("timestamp"))) / F.lit(8.64e10)
     ttl = F.lit(None).cast("double")
@@ -199,14 +203,17 @@ def sweep(facts: DataFrame, now: Column, ttl_days: dict[str, float] | None = Non
     ttl = F.coalesce(ttl, F.lit(default_ttl).cast("double"))
     reason = (
         F.when(F.coalesce(F.col("expires_at") <= now, F.lit(False)) | F.coalesce(age("recorded_at") >= ttl, F.lit(False)), "expired")
-        .when((F.col("origin") == "derived") & (age("last_accessed_at") >= idle_days), "idle")
-        .when(F.col("confidence") * F.pow(F.lit(0.5), age("last_accessed_at") / half_life_days) < least, "decayed")
     )
+    if idle_days is not None:
+        reason = reason.when((F.col("origin") == "derived") & (age("last_accessed_at") >= idle_days), "idle")
+    if half_life_days:
+        elapsed = F.greatest(age("last_accessed_at"), F.lit(0.0))
+        reason = reason.when(F.col("confidence") * F.pow(F.lit(0.5), elapsed / half_life_days) < least, "decayed")
     judged = open_.withColumn("reason", reason)
     gone = judged.filter("reason is not null").select("id", "reason")
     if live_cap is None:
         return gone
-    rest = salience(judged.filter("reason is null"), now, ["thread_id"])
+    rest = salience(judged.filter("reason is null").filter(is_live(now)), now, ["thread_id"])
     w = W.partitionBy("thread_id").orderBy(F.desc("salience"), "id")
     return gone.unionByName(rest.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") > live_cap).select("id", F.lit("overCapacity").alias("reason")))
 

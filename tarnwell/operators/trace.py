@@ -39,11 +39,12 @@ def budget_use(events: DataFrame, run: str, order: list[str], cost: str, limit:
     return events.withColumn("used", F.round(used, 4)).withColumn("crossed", (F.col("used") > limit) & (F.col("used") - F.col(cost) <= limit))
 
 
-def exhausted(usage: dict[str, Column], limits: dict[str, float]) -> Column:
-    """Name of the first exhausted budget, in the usage's order: counters past their limit, clocks and tokens at it."""
+def exhausted(usage: dict[str, Column], limits: dict[str, float], adding: str | None = None) -> Column:
+    """Name of the first budget, in the usage's order, with nothing left; with `adding`, of the first that one more of
+    that counter would break. Clocks and tokens are used up at their limit."""
     out = F.lit(None).cast("string")
     for name, used in reversed(usage.items()):
-        over = used >= limits[name] if name in ("wallClock", "outputTokens") else used + 1 > limits[name]
+        over = used >= limits[name] if adding is None or name in ("wallClock", "outputTokens") else used + int(name == adding) > limits[name]
         out = F.when(over, F.lit(name)).otherwise(out)
     return out
 

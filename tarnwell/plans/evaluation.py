@@ -53,8 +53,8 @@ other as (select * from sc2 where o <= 10),
 j as (select coalesce(base.query_id, other.query_id) as query_id, b, o from base full join other on base.query_id = other.query_id and base.doc_id = other.doc_id),
 p as (select * from j where b is not null and o is not null),
 t as (select x.query_id, sum(sign(y.o - x.o)) as agree from p x join p y on x.query_id = y.query_id and x.b < y.b group by all),
-a as (select query_id, count(*) as u, count(*) filter (b is not null and o is not null) as shared, coalesce(max(abs(b - o)), 0) as max_shift, coalesce(bool_or(b = 1 and o = 1), false) as top_kept from j group by all)
-select query_id, shared, round(shared::double / u, 6) as overlap, top_kept, max_shift::int as max_shift, round(case when shared >= 2 then agree * 2.0::double / (shared * (shared - 1)) end, 6) as tau from a left join t using (query_id)"""
+a as (select query_id, count(b) as u, count(*) filter (b is not null and o is not null) as shared, max(abs(b - o)) as max_shift, coalesce(bool_or(b = 1 and o = 1), false) as top_kept from j group by all)
+select query_id, shared, round(case when u > 0 then shared::double / u end, 6) as overlap, top_kept, max_shift::int as max_shift, round(case when shared >= 2 then agree * 2.0::double / (shared * (shared - 1)) end, 6) as tau from a left join t using (query_id)"""
 )
 def rank_stability(s, d):
     """BM25 against the ranking by matched terms."""
@@ -73,7 +73,7 @@ def abstention(s, d):
 @query(
     """with b as (select doc_id as case_id, quality = 1 as c, toxic = 0 as b from labels)
 select round(avg(c::int), 9) as pass_rate, round(avg(b::int), 9) as baseline_rate, count(*) filter (b and not c) as regressions,
-  round(avg(c::int), 9) >= 0.75 and round(avg(c::int), 9) >= round(avg(b::int), 9) - 0.1 and count(*) filter (b and not c) = 0 as gate_open from b"""
+  round(avg(c::int), 9) >= 0.75 and round(avg(c::int), 9) >= round(avg(b::int), 9) - 0.1 as gate_open from b"""
 )
 def eval_gate(s, d):
     """The quality label stands for a candidate's passes, the toxic label for the baseline's failures."""

@@ -128,11 +128,11 @@ j as (
   select c.*, ct.trust as c_trust, l.id as f_id, l.confidence as f_conf, l.valid_from as f_from, lt.trust as f_trust, x.id is not null as duplicate
   from cand c join tr ct on ct.origin = c.origin left join live l on l.thread_id = c.thread_id and l.predicate = c.predicate left join tr lt on lt.origin = l.origin left join live x on x.id = c.id),
 decided as (
-  select id, case when c_trust < 1 or (origin <> 'userStated' and confidence < 0.9) or confidence < 0.5 then 'noop' when retraction and f_id is not null then 'delete' when retraction or duplicate then 'noop'
+  select id, case when (origin <> 'userStated' and confidence < 0.9) or confidence < 0.5 then 'noop' when retraction and f_id is not null then 'delete' when retraction or duplicate then 'noop'
     when f_id is null then 'add' when valid_from > f_from or (valid_from = f_from and (confidence > f_conf or (confidence = f_conf and c_trust > f_trust))) then 'update' else 'noop' end as operation,
-  case when c_trust < 1 then 'belowTrustFloor' when origin <> 'userStated' and confidence < 0.9 then 'unstatedConfidence' when confidence < 0.5 then 'lowConfidence' when retraction and f_id is not null then 'retraction'
-    when retraction then 'nothingToRetract' when duplicate then 'duplicate' when f_id is null then 'newFact' when valid_from > f_from then 'newerValidity' when valid_from = f_from and confidence > f_conf then 'higherConfidence'
-    when valid_from = f_from and confidence = f_conf and c_trust > f_trust then 'higherTrust' else 'keptExisting' end as rationale, f_id, valid_from
+  case when origin <> 'userStated' and confidence < 0.9 then 'lowerTrustRejected' when confidence < 0.5 then 'belowConfidenceFloor' when retraction then 'retractionRequested' when duplicate then 'duplicateOfCurrent'
+    when f_id is null then 'noSimilarFact' when valid_from > f_from then 'newerWins' when valid_from < f_from then 'staleCandidate' when confidence <> f_conf then 'higherConfidenceWins'
+    when c_trust <> f_trust then 'higherTrustWins' else 'slotContradiction' end as rationale, f_id, valid_from
   from j)"""
 
 
@@ -146,7 +146,7 @@ def reconcile(s, d):
 ended as (select f_id as id, min(case when operation = 'update' then valid_from end) as until from decided where operation in ('update', 'delete') group by f_id)
 select count(*) + (select count(*) from decided d where operation in ('add', 'update') and not exists (select 1 from facts f where f.id = d.id)) as facts,
   count(*) filter (facts.invalidated_at is null and ended.id is null) + (select count(*) from decided d where operation in ('add', 'update') and not exists (select 1 from facts f where f.id = d.id)) as open_facts,
-  (select count(*) from decided where rationale = 'duplicate')::bigint as touches
+  (select count(*) from decided where rationale = 'duplicateOfCurrent')::bigint as touches
 from facts left join ended on facts.id = ended.id"""
 )
 def reconcile_apply(s, d):

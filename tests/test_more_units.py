@@ -82,16 +82,16 @@ def test_consolidation_supersedes(spark, messages):
     now = F.lit("2024-01-10 00:00:00").cast("timestamp")
     after, decisions = K.consolidate(messages, facts, now)
     rows = {r.text: r for r in after.collect()}
-    assert {(r.operation, r.rationale) for r in decisions.collect()} == {("update", "newerValidity")}
+    assert {(r.operation, r.rationale) for r in decisions.collect()} == {("update", "newerWins")}
     assert rows["Berlin"].invalidated_at is not None and rows["Berlin"].valid_until == day(9)
     assert rows["Rome"].supersedes == "f" and rows["Rome"].invalidated_at is None
-    assert [tuple(r) for r in K.histogram(decisions).collect()] == [("update", "newerValidity", 1)]
+    assert [tuple(r) for r in K.histogram(decisions).collect()] == [("update", "newerWins", 1)]
     kept = K.reroute(decisions, F.lit("noop")).first()
     assert (kept.operation, kept.rationale) == ("noop", "rerouted")
     assert K.reroute(decisions, F.lit("nonsense")).first().operation == "update"
     assert [r.id for r in K.options(K.claims(messages), facts, now).collect()] == ["f"]
     again, second = K.consolidate(messages, after, F.lit("2024-01-11 00:00:00").cast("timestamp"))
-    assert {r.rationale for r in second.collect()} == {"duplicate"}
+    assert {r.rationale for r in second.collect()} == {"duplicateOfCurrent"}
     assert {r.text: r.access_count for r in again.collect()} == {"Berlin": 0, "Rome": 1}
 
 
@@ -116,6 +116,10 @@ def test_prompt_framing(spark):
     src = F.array(F.struct(F.lit("1").alias("id"), F.lit('a"b').alias("title"), F.lit("x < y & z").alias("content")))
     got = value(spark, R.render_prompt(F.lit("q"), src))
     assert 'title="a&quot;b"' in got and "x &lt; y &amp; z" in got
+    talk = R.render_transcript(F.array(F.struct(F.lit("tool").alias("role"), F.lit("<x>").alias("content"), F.lit(None).cast("string").alias("tool"))), F.lit("(earlier 2 turn(s) omitted)"))
+    none = F.array().cast("array<struct<id:string,title:string,content:string>>")
+    want = 'Conversation so far:\n(earlier 2 turn(s) omitted)\n<message role="tool" tool="unknown">\n&lt;x>\n</message>\n\nUser question: q\nTreat fenced'
+    assert value(spark, R.render_prompt(F.lit("q"), none, talk)).startswith(want)
     assert value(spark, R.render_prompt(F.lit("q"), F.array().cast("array<struct<id:string,title:string,content:string>>"))) == "q"
 
 
@@ -164,3 +168,26 @@ def test_stalled_runs_and_thread_memory(spark, tmp_path):
     stream = spark.readStream.schema("run string, at timestamp, done boolean").parquet(str(tmp_path / "s")).withWatermark("at", "1 second")
     stateful.stalled(stream, "run", "at", "done", 60, 30).writeStream.format("memory").queryName("stalled_test").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "z")).start().awaitTermination()
     assert sorted((r.run, r.chunks, r.reason) for r in spark.table("stalled_test").collect()) == [("a", 2, "finished"), ("b", 0, "firstToken")]
+
+
+def test_best_of_n_variants(spark):
+    rows = [("r", 0, 1.0, "repair"), ("r", 0, 3.0, "pass"), ("r", 1, 1.0, "pass"), ("r", 2, 9.0, "reject"), ("s", 0, 1.0, "reject"), ("s", 1, 1.0, "escalate")]
+    checks = spark.createDataFrame(rows, "run_id string, candidate int, weight double, verdict string")
+    from tarnwell.operators import evals as E
+
+    got = {(r.run_id, r.candidate): (r.score, r.chosen) for r in E.best_of_n(checks).collect()}
+    assert got == {("r", 0): (0.75, False), ("r", 1): (1.0, True), ("r", 2): (0.0, False), ("s", 0): (0.0, True), ("s", 1): (0.0, False)}
+    assert [r.candidate for r in E.best_of_n(checks, first_pass=True).filter("chosen and run_id = 'r'").collect()] == [1]
+
+
+def test_budget_projection(spark):
+    use, most = {"turns": F.lit(8), "toolCalls": F.lit(3), "outputTokens": F.lit(10.0)}, {"turns": 8, "toolCalls": 4, "outputTokens": 20.0}
+    assert value(spark, TR.exhausted(use, most)) == "turns"
+    assert value(spark, TR.exhausted(use, most, "toolCalls")) is None
+    assert value(spark, TR.exhausted(use, most, "turns")) == "turns"
+
+
+def test_oversize_text_is_redacted_whole(spark):
+    from tarnwell.functions import redaction
+
+    assert value(spark, redaction.redact(F.lit("mail a@b.org"), limit=5)).startswith("⟨redacted")

@@ -152,13 +152,13 @@ def test_sweep_is_idempotent(spark):
     now = F.lit("2024-02-01 00:00:00").cast("timestamp")
     rows = [("a", "t", "derived", 0.9, "2023-12-01 00:00:00"), ("b", "t", "userStated", 0.9, "2024-01-31 00:00:00"), ("c", "t", "userStated", 0.1, "2024-01-31 00:00:00")]
     f = spark.createDataFrame(rows, "id string, thread_id string, origin string, confidence double, at string").select(
-        "id", "thread_id", "origin", "confidence", F.lit(5).alias("importance"), F.array().cast("array<string>").alias("tags"), F.col("at").cast("timestamp").alias("recorded_at"), F.col("at").cast("timestamp").alias("last_accessed_at"), F.lit(None).cast("timestamp").alias("expires_at"), F.lit(None).cast("timestamp").alias("invalidated_at")
+        F.col("at").cast("timestamp").alias("valid_from"), F.lit(None).cast("timestamp").alias("valid_until"), "id", "thread_id", "origin", "confidence", F.lit(5).alias("importance"), F.array().cast("array<string>").alias("tags"), F.col("at").cast("timestamp").alias("recorded_at"), F.col("at").cast("timestamp").alias("last_accessed_at"), F.lit(None).cast("timestamp").alias("expires_at"), F.lit(None).cast("timestamp").alias("invalidated_at")
     )
-    gone = {r.id: r.reason for r in M.sweep(f, now).collect()}
+    gone = {r.id: r.reason for r in M.sweep(f, now, half_life_days=30).collect()}
     assert gone == {"a": "idle", "c": "decayed"}
     left = f.filter(~F.col("id").isin(*gone))
-    assert M.sweep(left, now).count() == 0
-    assert {r.id for r in M.sweep(f, now, live_cap=0).collect()} == {"a", "b", "c"}
+    assert M.sweep(left, now, half_life_days=30).count() == 0
+    assert {r.id for r in M.sweep(f, now, half_life_days=30, live_cap=0).collect()} == {"a", "b", "c"}
 
 
 def test_purge_is_exact(spark):
