@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tarnwell.functions.checks import LIMIT, SECRETS
+from tarnwell.functions.text import let
 
 #: name, pattern, replacement
 COMMON = [
@@ -22,9 +23,13 @@ def redact_one(c: Column, pattern: str, replacement: str, limit: int = LIMIT) ->
 
 
 def redact(c: Column, rules=COMMON, limit: int = LIMIT) -> Column:
-    for _, pattern, replacement in rules:
-        c = redact_one(c, pattern, replacement, limit)
-    return c
+    def step(text: Column, rest) -> Column:
+        if not rest:
+            return text
+        _, pattern, replacement = rest[0]
+        return step(let(text, lambda t: redact_one(t, pattern, replacement, limit)), rest[1:])
+
+    return step(c, list(rules))
 
 
 def redact_with_names(c: Column, rules=COMMON, limit: int = LIMIT) -> Column:
@@ -33,11 +38,11 @@ def redact_with_names(c: Column, rules=COMMON, limit: int = LIMIT) -> Column:
 
     def after(s: Column, rule) -> Column:
         name, pattern, replacement = rule
-        new = redact_one(s["text"], pattern, replacement, limit)
-        return F.struct(new.alias("text"), F.when(new != s["text"], F.concat(s["applied"], F.array(F.lit(name)))).otherwise(s["applied"]).alias("applied"))
+        names = lambda new: F.when(new != s["text"], F.concat(s["applied"], F.array(F.lit(name)))).otherwise(s["applied"])
+        return let(redact_one(s["text"], pattern, replacement, limit), lambda new: F.struct(new.alias("text"), names(new).alias("applied")))
 
     def step(s: Column, rule) -> Column:
-        return F.element_at(F.transform(F.array(s), lambda x: after(x, rule)), 1)
+        return let(s, lambda x: after(x, rule))
 
     for rule in rules:
         state = step(state, rule)

@@ -57,7 +57,7 @@ def is_verbatim(span: Column, text: Column) -> Column:
 
 def graphemes(c: Column) -> Column:
     """Count of user-perceived characters; texts without marks, CR or wide code points take the short way."""
-    return F.when(c.rlike(r"[\r\x{300}-\x{36F}\x{200D}\x{FE00}-\x{FE0F}]|[^\x{0}-\x{1FFF}]"), F.size(F.regexp_extract_all(c, F.lit(r"(\X)"), 1))).otherwise(F.length(c))
+    return F.when(c.rlike(r"[\r\x{300}-\x{36F}\x{2000}-\x{10FFFF}]"), F.size(F.regexp_extract_all(c, F.lit(r"(\X)"), 1))).otherwise(F.length(c))
 
 
 def token_estimate(c: Column) -> Column:

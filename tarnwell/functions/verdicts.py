@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tarnwell.functions.text import let
+
 TYPE = "struct<type:string,diagnostic:struct<verifier:string,message:string,suggestion:string>>"
 COST = {"parse": 0, "schema": 10, "types": 20, "lint": 30, "unitTest": 40, "integrationTest": 50, "proof": 60, "human": 70}
 
@@ -31,14 +33,21 @@ def first_failure(members: list[tuple[int, str, Column]]) -> Column:
     """Members (cost, name, verdict), cheapest first; dear ones are not evaluated after a failure."""
     out = passed()
     for _, _, verdict in reversed(_by_cost(members)):
-        out = F.when(verdict["type"] != "pass", verdict).otherwise(out)
+        out = _or_next(verdict, out)
     return out
 
 
+def _or_next(verdict: Column, after: Column) -> Column:
+    return let(verdict, lambda v: F.when(v["type"] != "pass", v).otherwise(after))
+
+
 def all_failures(members: list[tuple[int, str, Column]], cap: int = 8) -> Column:
     """A reject or escalate wins alone, the earliest of them; otherwise up to `cap` repairs are put together."""
-    verdicts = F.array(*[v for _, _, v in _by_cost(members)])
-    hard = F.filter(verdicts, lambda v: v["type"].isin("reject", "escalate"))
-    soft = F.slice(F.filter(verdicts, lambda v: v["type"] == "repair"), 1, cap)
-    joined = F.array_join(F.transform(soft, lambda v: v["diagnostic"]["message"]), "; ")
-    return F.when(F.size(hard) > 0, F.element_at(hard, 1)).when(F.size(soft) == 1, F.element_at(soft, 1)).when(F.size(soft) > 1, failed("repair", "chain", joined)).otherwise(passed())
+
+    def judged(verdicts: Column) -> Column:
+        hard = F.filter(verdicts, lambda v: v["type"].isin("reject", "escalate"))
+        soft = F.slice(F.filter(verdicts, lambda v: v["type"] == "repair"), 1, cap)
+        joined = F.array_join(F.transform(soft, lambda v: v["diagnostic"]["message"]), "; ")
+        return F.when(F.size(hard) > 0, F.element_at(hard, 1)).when(F.size(soft) == 1, F.element_at(soft, 1)).when(F.size(soft) > 1, failed("repair", "chain", joined)).otherwise(passed())
+
+    return let(F.array(*[v for _, _, v in _by_cost(members)]), judged)

@@ -77,12 +77,16 @@ def query_terms(queries: DataFrame, query: str, text: str) -> DataFrame:
 
 
 def bm25_scores(queries: DataFrame, docs: DataFrame, query: str, document: str, text: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """query, document, score, matched (query terms found): Okapi BM25 with ln((n - df + .5) / (df + .5) + 1)."""
+    """query, document, score, matched (query terms found): Okapi BM25 with ln((n - df + .5) / (df + .5) + 1).
+
+    The postings of the queries' terms are written once, a document's together: frequencies and scores read them, and
+    sums by document are whole before they are shuffled."""
     terms = query_terms(queries, query, text)
     posts, stats = postings(docs, document, text, terms)
     total = stats.first()  # one row
     n, avgdl = total.n, max(total.avgdl or 0.0, 1.0)
-    df = posts.groupBy("term").agg(F.count("*").alias("df"))
+    posts = written(posts.repartition(document), "postings")
+    df = small(posts.groupBy("term").agg(F.count("*").alias("df")))  # a row for each term of the queries
     idf = F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + F.lit(k1) * (1 - b + F.lit(b) * F.col("dl") / F.lit(avgdl)))
     weighed = posts.join(df, "term").select("term", document, part.alias("part"))

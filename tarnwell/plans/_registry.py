@@ -11,6 +11,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    """A table whose rows cost much to look at. A file of one row group is read by one task, so where there are fewer
+    files than cores the rows are dealt out first; large tables are read as they lie."""
+    read, cores = table(spark, sf_dir, name), spark.sparkContext.defaultParallelism
+    return read.repartition(cores, read.columns[0]) if len(read.inputFiles()) < cores else read
+
+
 def registry() -> tuple[dict, Callable]:
     queries: dict = {}
 

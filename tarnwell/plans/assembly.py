@@ -11,7 +11,7 @@ from tarnwell.operators import context as X
 from tarnwell.operators import extraction as E
 from tarnwell.operators import memory as M
 from tarnwell.operators import retrieval as R
-from tarnwell.plans._registry import registry, table, toks
+from tarnwell.plans._registry import registry, table, texts, toks
 from tarnwell.plans.facts import _FACTS, _NOW, _facts, now
 from tarnwell.plans.lexical import _bm25, _hits, _queries
 from tarnwell.sources import jsonl as J
@@ -63,7 +63,7 @@ def archive_rounds(s, d):
 @query(f"with d as (select doc_id, case when doc_id % 7 = 0 then 'replaced text' else text end as text from documents where doc_id % 10 <> 0), t as (select doc_id, unnest({toks('text')}) as term from d) select term, count(distinct doc_id) as df from t group by term")
 def index_upkeep(s, d):
     """An index after upserts and removals counts as if it had been built from what is left."""
-    docs = table(s, d, "documents").select("doc_id", "text")
+    docs = texts(s, d).select("doc_id", "text")
     index = A.index_upsert(docs, docs.filter("doc_id % 7 = 0").select("doc_id", F.lit("replaced text").alias("text")), "doc_id")
     index = A.index_remove(index, docs.filter("doc_id % 10 = 0"), "doc_id")
     posts, _ = R.postings(index, "doc_id", "text")
@@ -89,7 +89,7 @@ a as (select query_id, string_agg(l, chr(10) order by rank) as answer from l gro
 select item_id as query_id, md5(coalesce(answer, 'no results')) as digest from benchmark left join a on query_id = item_id"""
 )
 def search_tool(s, d):
-    docs = table(s, d, "documents").select("doc_id", "source", "text")
+    docs = texts(s, d).select("doc_id", "source", "text")
     answers = X.search_answers(_hits(s, d, 5), docs, "query_id", "doc_id", "source", "text")
     return X.with_no_results(answers, _queries(s, d), "query_id").select("query_id", F.md5("answer").alias("digest"))
 
@@ -97,7 +97,7 @@ def search_tool(s, d):
 @query()
 def redacted_context(s, d):
     """Framed prompts with redacted sources and what was redacted; its parts have SQL twins of their own."""
-    out = X.redacted_context(_queries(s, d), _hits(s, d, 5), table(s, d, "documents").select("doc_id", "source", "text"), "query_id", "doc_id", "source", "text")
+    out = X.redacted_context(_queries(s, d), _hits(s, d, 5), texts(s, d).select("doc_id", "source", "text"), "query_id", "doc_id", "source", "text")
     return out.select("query_id", F.md5("prompt").alias("digest"), F.array_join("redactions", ",").alias("redactions"))
 
 
@@ -151,7 +151,7 @@ def touch_invalidate(s, d):
 
 @query("select doc_id, greatest(1, octet_length(encode(text)) // 4)::bigint as tokens, substr(replace(text, chr(10), ' '), 1, 120) || case when length(text) > 120 then '…' else '' end as line from documents")
 def token_estimates(s, d):
-    return table(s, d, "documents").select("doc_id", T.token_estimate(F.col("text")).alias("tokens"), T.excerpt(F.col("text"), 120).alias("line"))
+    return texts(s, d).select("doc_id", T.token_estimate(F.col("text")).alias("tokens"), T.excerpt(F.col("text"), 120).alias("line"))
 
 
 @query(

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tarnwell.functions import text as T
 from tarnwell.operators import retrieval as R
-from tarnwell.plans._registry import registry, table, toks
+from tarnwell.plans._registry import registry, table, texts, toks
 
 QUERIES, query = registry()
 
@@ -32,13 +32,13 @@ def _queries(s, d):
 
 def _both(s, d, limit):
     """The best by BM25 and the best by matched terms; both rank the same scores, shuffled once."""
-    scores = R.bm25_scores(_queries(s, d), table(s, d, "documents").select("doc_id", "text"), "query_id", "doc_id", "text")
+    scores = R.bm25_scores(_queries(s, d), texts(s, d).select("doc_id", "text"), "query_id", "doc_id", "text")
     order = F.asc("doc_id")
     return R.ranked(scores, "query_id", [F.desc("score"), order], limit), R.ranked(scores, "query_id", [F.desc("matched"), order], limit)
 
 
 def _hits(s, d, limit):
-    return R.bm25(_queries(s, d), table(s, d, "documents").select("doc_id", "text"), "query_id", "doc_id", "text", limit)
+    return R.bm25(_queries(s, d), texts(s, d).select("doc_id", "text"), "query_id", "doc_id", "text", limit)
 
 
 @query(f"with {_bm25()} select query_id, rank, doc_id, round(score, 6) as score from bm where rank <= 5")
@@ -49,13 +49,13 @@ def bm25_topk(s, d):
 
 @query(f"with {_POSTINGS} select term, count(*) as df, sum(tf)::bigint as cf from posts group by term")
 def doc_freq(s, d):
-    posts, _ = R.postings(table(s, d, "documents").select("doc_id", "text"), "doc_id", "text")
+    posts, _ = R.postings(texts(s, d).select("doc_id", "text"), "doc_id", "text")
     return posts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
 @query(f"with {_POSTINGS} select n, round(avgdl, 6) as avgdl from stats")
 def corpus_stats(s, d):
-    _, stats = R.postings(table(s, d, "documents").select("doc_id", "text"), "doc_id", "text")
+    _, stats = R.postings(texts(s, d).select("doc_id", "text"), "doc_id", "text")
     return stats.select("n", F.round("avgdl", 6).alias("avgdl"))
 
 
@@ -68,7 +68,7 @@ c as (select doc_id, ordinal, substr(text, ordinal * 720 + 1, 800) as content fr
 select doc_id, ordinal::int as ordinal, length(content)::int as n, {_ID.format("'tarnwell.chunk.v1'", "doc_id::varchar", "ordinal::varchar", "content")} as chunk_id from c"""
 )
 def sliding_chunks(s, d):
-    return R.sliding_chunks(table(s, d, "documents"), "doc_id", "text").select("doc_id", "ordinal", F.length("content").alias("n"), "chunk_id")
+    return R.sliding_chunks(texts(s, d), "doc_id", "text").select("doc_id", "ordinal", F.length("content").alias("n"), "chunk_id")
 
 
 @query(
@@ -88,7 +88,7 @@ select doc_id, ordinal::int as ordinal, length(content)::int as n, md5(content)
 )
 def paragraph_chunks(s, d):
     """The documents have no blank lines, so each line is taken as a paragraph."""
-    docs = table(s, d, "documents").select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))
+    docs = texts(s, d).select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))
     return R.paragraph_chunks(docs, "doc_id", "text").select("doc_id", "ordinal", F.length("content").alias("n"), F.md5("content").alias("digest"))
 
 
@@ -142,7 +142,7 @@ s as (
 select query_id, doc_id, row_number() over (partition by query_id order by proximity desc, before) as rank, round(proximity, 6) as proximity from s"""
 )
 def proximity_rerank(s, d):
-    docs = table(s, d, "documents").select("doc_id", "text")
+    docs = texts(s, d).select("doc_id", "text")
     out = R.rerank_by_proximity(_hits(s, d, 10), _queries(s, d), docs, "query_id", "doc_id", "text")
     return out.select("query_id", "doc_id", "rank", F.round("proximity", 6).alias("proximity"))
 
@@ -158,8 +158,8 @@ m as (select query_id, terms, case when seen is null then len(terms) else len(li
 select query_id, missing::int as n_missing, round(case when len(terms) = 0 then 1 else 1 - missing::double / len(terms) end, 6) as coverage, missing = 0 as sufficient from m"""
 )
 def term_coverage(s, d):
-    texts = _hits(s, d, 5).select("query_id", "doc_id").join(table(s, d, "documents").select("doc_id", "text"), "doc_id").groupBy("query_id").agg(F.collect_list("text").alias("texts"))
-    judged = _queries(s, d).join(texts, "query_id", "left").select("query_id", R.term_coverage(F.col("text"), F.coalesce("texts", F.array().cast("array<string>"))).alias("j"))
+    found = _hits(s, d, 5).select("query_id", "doc_id").join(texts(s, d).select("doc_id", "text"), "doc_id").groupBy("query_id").agg(F.collect_list("text").alias("texts"))
+    judged = _queries(s, d).join(found, "query_id", "left").select("query_id", R.term_coverage(F.col("text"), F.coalesce("texts", F.array().cast("array<string>"))).alias("j"))
     return judged.select("query_id", F.size("j.missing").alias("n_missing"), F.round("j.coverage", 6).alias("coverage"), "j.sufficient")
 
 
@@ -170,7 +170,7 @@ l as (select *, sum(tokens) over (partition by query_id order by score, doc_id r
 select query_id, doc_id, tokens::bigint as tokens from l where used <= 4096"""
 )
 def token_budget_evict(s, d):
-    docs = table(s, d, "documents").select("doc_id", T.token_estimate(F.col("text")).alias("tokens"))
+    docs = texts(s, d).select("doc_id", T.token_estimate(F.col("text")).alias("tokens"))
     return R.evict_to_budget(_hits(s, d, 20).join(docs, "doc_id"), "query_id", "doc_id", "score", "tokens", 4096).select("query_id", "doc_id", "tokens")
 
 
@@ -189,5 +189,5 @@ def prompt_frames(s, d):
 @query()
 def iterative_retrieval(s, d):
     """Up to three rounds for every benchmark text; no SQL twin, as later rounds depend on earlier ones."""
-    docs = table(s, d, "documents").select("doc_id", "text")
+    docs = texts(s, d).select("doc_id", "text")
     return R.iterate(_queries(s, d), lambda q: R.bm25(q, docs, "query_id", "doc_id", "text", 5), docs, "query_id", "doc_id", "text")

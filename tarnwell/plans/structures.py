@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tarnwell.functions import checks as C
 from tarnwell.functions import structured as S
 from tarnwell.functions import text as T
-from tarnwell.plans._registry import registry, table, toks
+from tarnwell.plans._registry import registry, table, texts, toks
 
 QUERIES, query = registry()
 
@@ -112,12 +112,12 @@ def json_schema(s, d):
 @query()
 def bracket_check(s, d):
     """First mismatch of brackets in every page; a stack machine, so no SQL twin."""
-    return table(s, d, "pages").select("page_id", S.problem_column(F.col("html"), S.brackets_problem).alias("problem"))
+    return texts(s, d, "pages").select("page_id", S.problem_column(F.col("html"), S.brackets_problem).alias("problem"))
 
 
 @query()
 def markdown_check(s, d):
-    return table(s, d, "documents").select("doc_id", S.problem_column(F.col("text"), S.markdown_problem).alias("problem"))
+    return texts(s, d).select("doc_id", S.problem_column(F.col("text"), S.markdown_problem).alias("problem"))
 
 
 _COUNTS = ", ".join(f"'{lang}': len(list_filter(w, lambda x: list_contains({_listed(words.split())}, x)))" for lang, words in C.FREQUENT.items())
@@ -129,18 +129,18 @@ s as (select doc_id, list_sort(list_transform(e, lambda x: (x.value, x.key)))[-1
 select doc_id, case when best[1] > 0 then best[2] end as guess, round(case when total > 0 then best[1]::double / total else 0 end, 6) as confidence from s"""
 )
 def language_guess(s, d):
-    got = table(s, d, "documents").select("doc_id", C.language(F.col("text")).alias("g"))
+    got = texts(s, d).select("doc_id", C.language(F.col("text")).alias("g"))
     return got.select("doc_id", F.col("g.lang").alias("guess"), F.round("g.confidence", 6).alias("confidence"))
 
 
 @query("select doc_id, array_to_string(list_filter([" + ", ".join(f"case when regexp_matches(text, '{p}') then '{k}' end" for k, p in C.DETECTED.items()) + "], lambda x: x is not null), ',') as kinds from documents")
 def data_detector(s, d):
-    return table(s, d, "documents").select("doc_id", F.array_join(C.detected_kinds(F.col("text")), ",").alias("kinds"))
+    return texts(s, d).select("doc_id", F.array_join(C.detected_kinds(F.col("text")), ",").alias("kinds"))
 
 
 @query("select doc_id, substr(text, 1, list_filter(generate_series(0, 100), lambda k: octet_length(encode(substr(text, 1, k))) <= 100)[-1]) as cut from documents")
 def utf8_truncate(s, d):
-    return table(s, d, "documents").select("doc_id", T.truncate_utf8(F.left("text", F.lit(101)), 100).alias("cut"))
+    return texts(s, d).select("doc_id", T.truncate_utf8(F.left("text", F.lit(101)), 100).alias("cut"))
 
 
 @query("select p_partkey, len(list_distinct(w))::int as words, len(w) - len(list_distinct(w)) = 0 as ok, not contains(p_name, 'a') or contains(p_name, 'e') as implied from (select p_partkey, p_name, string_split(p_name, ' ') as w from part)")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tarnwell.functions import checks as C
 from tarnwell.functions import redaction as X
 from tarnwell.functions import verdicts as V
-from tarnwell.plans._registry import registry, table
+from tarnwell.plans._registry import registry, table, texts
 
 QUERIES, query = registry()
 
@@ -28,13 +28,13 @@ pii as (
 
 
 def _docs(s, d):
-    return table(s, d, "documents")
+    return texts(s, d)
 
 
 @query(f"with {_PII} select doc_id, array_to_string(kinds, ',') as kinds, case when bytes > 1048576 then 'reject' when len(kinds) > 0 then 'repair' else 'pass' end as verdict from pii")
 def pii_flags(s, d):
-    c = F.col("text")
-    return _docs(s, d).select("doc_id", F.array_join(C.pii_kinds(c), ",").alias("kinds"), C.no_pii(c)["type"].alias("verdict"))
+    found = _docs(s, d).select("doc_id", C.pii_kinds(F.col("text")).alias("k"), (F.octet_length("text") > C.LIMIT).alias("long"))
+    return found.select("doc_id", F.array_join("k", ",").alias("kinds"), F.when(F.col("long"), "reject").otherwise(C.pii_verdict(F.col("k"))["type"]).alias("verdict"))
 
 
 def _redacted(x: str) -> str:
@@ -45,8 +45,8 @@ def _redacted(x: str) -> str:
 
 @query(f"select doc_id, md5({_redacted('text')}) as digest, length({_redacted('text')})::int as n from documents")
 def redact_documents(s, d):
-    c = X.redact(F.col("text"))
-    return _docs(s, d).select("doc_id", F.md5(c).alias("digest"), F.length(c).alias("n"))
+    clean = _docs(s, d).select("doc_id", X.redact(F.col("text")).alias("c"))
+    return clean.select("doc_id", F.md5("c").alias("digest"), F.length("c").alias("n"))
 
 
 @query(
