@@ -189,3 +189,34 @@ def test_iterative_rounds_stop(spark, manual):
     q = spark.createDataFrame([("a", "citric acid"), ("b", "unknown words")], "q string, content string")
     got = {(r.q, r.reason) for r in R.iterate(q, lambda x: R.bm25(x, manual, "q", "chunk", "content", 5), manual, "q", "chunk", "content").collect()}
     assert ("a", "sufficient") in got
+
+
+def timed(spark, column_of, text):
+    import time
+
+    df = spark.createDataFrame([(text,)], "t string").cache()
+    df.select(column_of(F.lit("warm"))).collect()
+    began = time.perf_counter()
+    df.select(column_of(F.col("t"))).collect()
+    return time.perf_counter() - began
+
+
+def test_patterns_stay_fast_on_hostile_text(spark):
+    import random
+
+    hostile = "a" * 5000 + "@" + "b." * 2500 + "c-" * 2500
+    assert timed(spark, C.pii_kinds, hostile) < 2  # planning included
+    rng = random.Random(5)
+    noise = "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789-_.:/+= ") for _ in range(1 << 20))
+    assert timed(spark, C.secret_ids, noise) < 5
+    assert timed(spark, C.url_problem, "https://" + "a." * 5000 + "example/" + "%2e" * 5000) < 2
+
+
+def test_fuzzed_judges_never_raise():
+    import random
+
+    rng, signs = random.Random(17), "ab01 \t\n'\"`\\$(){}[]<>|&;:/.-+*=#@%é,"
+    for _ in range(200):
+        text = "".join(rng.choice(signs) for _ in range(rng.randrange(60)))
+        for judge in (S.brackets_problem, S.markdown_problem, S.sql_problem, S.shell_danger_problem, S.diff_problem, lambda t: S.shell_allow_problem(t, frozenset(["a"])), lambda t: S.path_problem(t, "/r"), lambda t: S.schema_problem(t, {"type": "object"}), S.calculate):
+            assert judge(text) is None or isinstance(judge(text), str)
