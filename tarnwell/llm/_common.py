@@ -10,11 +10,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+TEXTS = ("documents", "pages")
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table as it lies; texts of fewer files than cores, of which a file of one row group would be one task's work,
+    are dealt out by id first."""
+    read = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return read.repartition(cores, read.columns[0]) if name in TEXTS and len(read.inputFiles()) < cores else read
 
 
 def shared_dir(spark: SparkSession) -> str:
