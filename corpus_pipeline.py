@@ -20,8 +20,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash class stays."""
-    return op9_simhash_dedup.keep_one(docs)
+    """One document of each class of similar texts (five-word shingles, Jaccard 0.8) stays."""
+    return op9_simhash_dedup.keep_dissimilar(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

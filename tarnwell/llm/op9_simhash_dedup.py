@@ -8,6 +8,9 @@ more level of blocks; as its members are distinct and differ only in the bits no
 by 2 to the power of those bits, so this ends. A shard returns a spanning star of each local class, never all pairs;
 classes are joined by alternating large-star and small-star steps.
 
+The pipeline's stage is `keep_dissimilar`: an exact join of sets of `WIDE`-word shingles by their first shingles, in an
+order that puts frequent ones last, each candidate verified by its whole set's Jaccard similarity.
+
 Defined cases: null and empty texts have fingerprint zero and link like any other; repeated rows and equal texts share
 a class; rows with a null doc_id get a class too, whose id is the smallest non-null doc_id in reach (null if none);
 an empty table gives an empty result; other columns are ignored.
@@ -24,13 +27,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tarnwell.llm._common import binary, materialise, table
+from tarnwell.llm._common import binary, discard, materialise, release, table
 
 NAME = "op9_simhash_dedup"
 SHINGLE = 3
 RADIUS = 2
 SEED = 42
 SHARD = 4096
+#: of keep_dissimilar: words of a shingle, the similarity as a fraction, frequent shingles held, rounds of stars
+WIDE = 5
+SIMILAR = (4, 5)
+COMMON = 200_000
+STARS = 2
 _FULL = (1 << 64) - 1
 
 
@@ -239,13 +247,112 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(table(spark, sf_dir, "documents")).select("doc_id", hex_of(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """One row of docs for each near-duplicate class: its smallest doc_id's, null ones last; of equal ids that with the
-    smallest hash of its text, of repeated rows one."""
-    fps, label = rooted(docs, shingle, radius)
+def _first_of(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """One row of docs for each root of rows (doc_id, row, root)."""
     none, number = F.col("doc_id").isNull(), F.coalesce(F.col("doc_id").cast("long"), F.lit(0))
-    first = fps.join(label, "fp").groupBy("root").agg(F.min(F.struct(none.alias("_none"), number.alias("_id"), F.col("row").alias("_row"))).alias("m")).select("m.*")
+    first = rows.groupBy("root").agg(F.min(F.struct(none.alias("_none"), number.alias("_id"), F.col("row").alias("_row"))).alias("m")).select("m.*")
     keys = ["_none", "_id", "_row"]
     named = docs.withColumns({"_none": none, "_id": number, "_row": _row(docs)})
     kept = named.join(first, keys, "left_semi").withColumn("_nth", F.row_number().over(W.partitionBy(*keys).orderBy(F.lit(0))))
     return kept.filter("_nth = 1").select(*docs.columns)
+
+
+def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """One row of docs for each near-duplicate class: its smallest doc_id's, null ones last; of equal ids that with the
+    smallest hash of its text, of repeated rows one."""
+    fps, label = rooted(docs, shingle, radius)
+    return _first_of(docs, fps.join(label, "fp"))
+
+
+def shingle_set(text: bytes | None, shingle: int) -> np.ndarray:
+    """Distinct shingles' hashes of one text, sorted; a shorter text is one shingle, an empty one has none."""
+    words = (text or b"").lower().split()
+    digest, join = xxhash.xxh64_intdigest, b" ".join
+    found = {digest(join(x), SEED) for x in zip(*(words[i:] for i in range(shingle)))} if len(words) >= shingle else {digest(join(words), SEED)} if words else set()
+    return np.sort(np.fromiter(found, np.uint64, len(found)))
+
+
+def _sets(docs: DataFrame, shingle: int, common: np.ndarray | None) -> DataFrame:
+    """doc_id, row, sid (a hash of the shingle set), n (its size), s: the whole set or, where `common` is given, as many
+    of it as two sets of similarity SIMILAR must share one of; shingles that are not in `common` (sorted) come first."""
+
+    def one(text: bytes | None) -> tuple[int, int, np.ndarray]:
+        s = shingle_set(text, shingle)
+        n, sid = len(s), xxhash.xxh64_intdigest(s.tobytes(), SEED) if len(s) else 0
+        if common is not None:
+            often = common[np.minimum(np.searchsorted(common, s), len(common) - 1)] == s if len(common) else np.zeros(n, bool)
+            s = np.concatenate([s[~often], s[often]])[: n - -(-n * SIMILAR[0] // SIMILAR[1]) + 1]
+        return sid, n, s.view(np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [one(t) for t in binary(batch.column(1))]
+            ends = np.cumsum([0] + [len(m[2]) for m in made]).astype(np.int32)
+            s = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([m[2] for m in made] or [np.zeros(0, np.int64)])))
+            sid = pa.array(np.array([m[0] for m in made], np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), sid, pa.array([m[1] for m in made], pa.int32()), s], names=["doc_id", "row", "sid", "n", "s"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _row(docs)).mapInArrow(run, "doc_id long, row long, sid long, n int, s array<long>")
+
+
+def _common(docs: DataFrame, shingle: int) -> np.ndarray:
+    """At most COMMON frequent shingles. They only set the order in which shingles are looked up, which any choice of
+    them leaves exact, so a hash share of the rows will do."""
+    part = docs.filter(F.pmod(_row(docs), F.lit(16)) == 0)
+    seen = _sets(part, shingle, None).dropDuplicates(["sid"]).select(F.explode("s").alias("h")).groupBy("h").count().filter("count > 2")
+    return np.sort(np.array([r.h for r in seen.orderBy(F.col("count").desc(), "h").limit(COMMON).collect()], np.int64).view(np.uint64))
+
+
+def _alike(pairs: DataFrame, full: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose whole sets have similarity SIMILAR."""
+    p, q = SIMILAR
+    ends = full.join(F.broadcast(pairs.select(F.col("b").alias("sid")).distinct()), "sid", "left_semi") if pairs.select("b").distinct().count() <= COMMON else full
+    ends = F.broadcast(ends) if ends.agg(F.coalesce(F.sum(F.size("s")), F.lit(0))).first()[0] <= 1 << 21 else ends
+    both = pairs.join(full.select(F.col("sid").alias("a"), F.col("s").alias("s")), "a").join(ends.select(F.col("sid").alias("b"), F.col("s").alias("z")), "b")
+    return both.filter(F.size(F.array_intersect("s", "z")) * (p + q) >= (F.size("s") + F.size("z")) * p).select("a", "b")
+
+
+def _whole(docs: DataFrame, rows: DataFrame, sids: DataFrame, shingle: int) -> DataFrame:
+    """sid, s: the whole sets, made again from one text each."""
+    named = rows.select("doc_id", "row", "sid").join(sids, "sid", "left_semi").groupBy("sid").agg(F.min(F.struct("doc_id", "row")).alias("m")).select("m.doc_id", "m.row")
+    texts = docs.join(named.select(F.col("doc_id").alias("_id"), F.col("row").alias("_row")), F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (_row(docs) == F.col("_row")), "left_semi")
+    return materialise(_sets(texts, shingle, None).groupBy("sid").agg(F.first("s").alias("s")), "set-full")
+
+
+def similar(docs: DataFrame, shingle: int = WIDE) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, row, sid) of each row of docs, and (sid, root): sets of Jaccard similarity SIMILAR or more, and chains
+    of them, have one root. Exact: two such sets share one of their first shingles in any common order, and what they
+    share beyond those that both have first lies in the rest of one of them."""
+    p, q = SIMILAR
+    rows = materialise(_sets(docs, shingle, _common(docs, shingle)), "set-prefixes")
+    sets = rows.groupBy("sid", "n").agg(F.first("s").alias("s"))
+    met = sets.select("sid", "n", F.explode("s").alias("h")).withColumn("k", F.count("*").over(W.partitionBy("h"))).filter("k > 1")
+    met = materialise(met.select("h", "sid", "n"), "set-buckets")
+    edges = met.select(F.col("sid").alias("a"), F.col("sid").alias("b")).limit(0)
+    sizes = (F.least("n", "m") * q) >= (F.greatest("n", "m") * p)
+    rest = F.greatest(*[F.ceil(F.col(c) * p / q) - 1 for c in "nm"])
+    for turn in range(STARS + 1):  # first against one of each bucket, so that what is one class already needs no pairs
+        root = components(edges) if turn else edges
+        at = met.join(root.select(F.col("a").alias("sid"), F.col("b").alias("r")), "sid", "left").select("h", "sid", "n", F.coalesce("r", "sid").alias("r"))
+        split = at.groupBy("h").agg(F.min("r").alias("lo"), F.max("r").alias("hi"), F.min(F.struct(F.xxhash64("sid", F.lit(turn)), F.col("sid").alias("b"), F.col("n").alias("m"), F.col("r").alias("z"))).alias("c"))
+        split = materialise(split.filter("lo < hi").select("h", "c.b", "c.m", "c.z"), "set-split")
+        if split.isEmpty():
+            break
+        if turn < STARS:
+            pairs = at.join(split, "h").filter("r <> z")
+        else:
+            left = materialise(at.join(split.select("h"), "h"), "set-left")
+            pairs = left.join(left.select("h", F.col("sid").alias("b"), F.col("n").alias("m"), F.col("r").alias("z")), "h").filter("r <> z and sid > b")
+        pairs = pairs.filter(sizes).groupBy(F.col("sid").alias("a"), "b", "n", "m").agg(F.count("*").alias("c"))
+        pairs = materialise(pairs.filter((F.col("c") + rest) * (p + q) >= (F.col("n") + F.col("m")) * p).select("a", "b"), "set-pairs")
+        full = _whole(docs, rows, pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), shingle)
+        edges = materialise(edges.unionByName(_alike(pairs, full).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))), "set-edges")
+        discard(pairs, full, split)
+        release(docs.sparkSession)
+    return rows.select("doc_id", "row", "sid"), components(edges).select(F.col("a").alias("sid"), F.col("b").alias("root"))
+
+
+def keep_dissimilar(docs: DataFrame, shingle: int = WIDE) -> DataFrame:
+    """As keep_one, for classes of texts whose word shingles have Jaccard similarity SIMILAR or more."""
+    rows, label = similar(docs, shingle)
+    return _first_of(docs, rows.join(label, "sid", "left").select("doc_id", "row", F.coalesce("root", "sid").alias("root")))

@@ -1,5 +1,7 @@
 """Every operator and pipeline stage over nulls, empty and long texts, ties, repeated rows, extra columns, no rows."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -75,6 +77,32 @@ def test_near_duplicates_one_of_each(docs):
     assert sorted(map(str, kept)) == sorted(map(str, [0, 3, 4, 6, 6, 7, 8]))  # two classes have the id 6
 
 
+def test_similar_texts_one_of_each(spark):
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(400)]
+    base = [[rng.choice(words) for _ in range(120)] for _ in range(12)]
+    shared = [rng.choice(words) for _ in range(20)]
+    texts = [None, "", " ", "one two", "One  TWO", "one two three"] + [" ".join(b + shared) for b in base]
+    for b in base:
+        for edits in (1, 2, 3, 4):
+            t = list(b + shared)
+            for i in rng.sample(range(len(t)), edits):
+                t[i] = f"x{rng.random()}"
+            texts.append(" ".join(t))
+    sets = [{tuple(w[i : i + 5]) for i in range(max(len(w) - 4, min(len(w), 1)))} for t in texts for w in [(t or "").lower().split()]]
+    low = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]) and low[a] != low[b]:
+                x, y = max(low[a], low[b]), min(low[a], low[b])
+                low = [y if v == x else v for v in low]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = sorted(r.doc_id for r in op9_simhash_dedup.keep_dissimilar(df).collect())
+    assert got == sorted(set(low)) and len(got) < len(op9_simhash_dedup.keep_one(df).collect())
+    none = df.limit(0)
+    assert op9_simhash_dedup.keep_dissimilar(none).collect() == [] and op9_simhash_dedup.keep_dissimilar(none).dtypes == df.dtypes
+
+
 def test_leaks(docs, bench):
     assert {(r.doc_id, r.item_id) for r in op6_decontaminate.leaks(docs, bench).collect()} == {(4, 4), (5, 4)}
 
