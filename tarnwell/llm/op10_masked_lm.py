@@ -5,8 +5,8 @@ tanh, and a softmax gives the word's frequency class; within its class a word ha
 A document's score is the sum of its words' conditional log-probabilities, and that sum over its words.
 
 Word counts are taken over all documents and only their `VOCABULARY` largest reach the driver. Training runs where the
-data lies: in each of `ROUNDS` rounds every task trains a copy of the network on every `STRIDE`-th word of all its
-documents, and the copies are averaged in fixed point, slice by slice, by two shuffles whose groups are streamed and
+data lies: in each of `ROUNDS` rounds every task trains a copy of the network on every `STRIDE`-th word of each of its
+documents, from the round's number on, so that `STRIDE` rounds train on every word, and the copies are averaged in fixed point, slice by slice, by two shuffles whose groups are streamed and
 never held. Only the averaged network, whose size is fixed by the parameters, comes to the driver.
 
 Defined cases: null and empty texts have no words, a log-likelihood of 0 and a null mean; words that are not in the
@@ -33,7 +33,7 @@ OTHERS = 64
 CLASSES = 48
 WIDTH = 16
 ROUNDS = 2
-STRIDE = 8
+STRIDE = 2
 RATE = 0.2
 BATCH = 1024
 NEAR = (-2, -1, 1, 2)
@@ -161,16 +161,17 @@ def train_round(docs: DataFrame, net: dict, vocab: dict, turn: int, stride: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = {k: v.copy() for k, v in net.items()}
         seen = {k: np.full_like(v, 0.1) for k, v in net.items()}
-        edge, steps, shift = vocab["size"] + OTHERS, 0, turn
+        edge, steps = vocab["size"] + OTHERS, 0
         held_x, held_y, n = [], [], 0
         for batch in batches:
             texts = binary(batch.column(0))
             for a, b in chunks([len(t or b"") for t in texts], CHUNK):
                 pairs = [numbered(t, vocab) for t in texts[a:b]]
                 x, y = contexts([p[0] for p in pairs], edge), vocab["class"][np.concatenate([p[1] for p in pairs])]
-                held_x.append(x[shift % stride :: stride])
-                held_y.append(y[shift % stride :: stride])
-                n, shift = n + len(held_y[-1]), shift + 3
+                now = np.concatenate([np.arange(len(p[1])) % stride == turn % stride for p in pairs])
+                held_x.append(x[now])
+                held_y.append(y[now])
+                n += len(held_y[-1])
                 if n >= BATCH:
                     x, y = np.concatenate(held_x), np.concatenate(held_y)
                     for i in range(0, n - BATCH + 1, BATCH):

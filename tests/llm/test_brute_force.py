@@ -215,3 +215,14 @@ def test_training_helps(docs):
     before = op10_masked_lm.scored(docs, op10_masked_lm.start(vocab), vocab).agg({"log_likelihood": "sum"}).first()[0]
     after = op10_masked_lm.scored(docs, *op10_masked_lm.fit(docs, stride=1)).agg({"log_likelihood": "sum"}).first()[0]
     assert after > before
+
+
+def test_every_word_is_trained_on(spark):
+    texts = [" ".join(f"w{d}x{i}" for i in range(64)) for d in range(3)]
+    net, vocab = op10_masked_lm.fit(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2))
+    before = op10_masked_lm.start(vocab)
+    for j, k in enumerate(op10_masked_lm.NEAR):
+        moved = np.abs(net["e"][j] - before["e"][j]).max(1) > 1e-6
+        for t in texts:
+            ids, _ = op10_masked_lm.numbered(t.encode(), vocab)
+            assert all(moved[ids[i + k]] for i in range(len(ids)) if 0 <= i + k < len(ids))
