@@ -4,8 +4,9 @@ Texts become word sequences in which numbers, units after numbers and names (cap
 typed placeholders. Windows of `WINDOW` canonical words of the benchmark are hash-joined with all windows of all
 documents; an item found at one offset in a document with at least `COVER` of its windows is a candidate. For
 candidates the placeholders' values are compared: a re-parameterised copy replaces each value by one other value
-throughout, so pairs whose values do not map consistently (`AGREE`) are dropped. Windows that are mostly placeholders
-are not used.
+throughout, so pairs whose values do not map consistently (`AGREE`) at any offset are dropped. Windows that are mostly
+placeholders are not used; items that have no others are looked up by windows of their words as they stand, in lower
+case.
 
 The benchmark's windows are broadcast if there are at most `BROADCAST` of them, as are the candidates' ids; beyond
 that both joins shuffle.
@@ -77,7 +78,18 @@ def _items(benchmark: DataFrame) -> DataFrame:
     """item_id, raw, canon, n, w (the window's length) of usable items."""
     read = benchmark.filter("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), raw_words(F.col("text")).alias("raw")).distinct()
     read = read.withColumn("canon", canonical(F.col("raw"))).withColumn("n", F.size("raw")).filter(F.col("n") >= SHORTEST)
-    return read.withColumn("w", F.least("n", F.lit(WINDOW)))
+    read = read.withColumn("w", F.least("n", F.lit(WINDOW)))
+    starts = F.sequence(F.lit(1), F.col("n") - F.col("w") + 1)
+    return read.withColumn("heavy", ~F.exists(starts, lambda i: _plain(F.slice("canon", i, F.col("w"))) * 2 > F.col("w")))
+
+
+def _plain(window: Column) -> Column:
+    """Words of a canonical window that are no placeholders."""
+    return F.size(F.filter(window, lambda t: ~t.startswith("#")))
+
+
+def _literal(raw: Column) -> Column:
+    return F.transform(words(raw), F.lower)
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -88,13 +100,16 @@ def candidates(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, shift (of the document's words against the item's), hits: windows in common at that shift, of
     the item's `of`."""
     items = materialise(_items(benchmark), "templates")
-    texts = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), _hashed(raw_words(F.col("text"))).alias("t"))
+    raw = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), raw_words(F.col("text")).alias("raw"))
     out = docs.sparkSession.createDataFrame([], "doc_id long, item_id long, shift int, hits long, of long")
-    for w in sorted(r.w for r in items.select("w").distinct().collect()):  # SHORTEST to WINDOW
-        known = items.filter(F.col("w") == w).select("item_id", "canon", F.posexplode(_windows(F.transform("canon", lambda t: F.xxhash64(t)), w)).alias("ipos", "h"))
-        known = known.filter(F.size(F.filter(F.slice("canon", F.col("ipos") + 1, F.lit(w)), lambda t: ~t.startswith("#"))) * 2 > w).drop("canon")
+    for w, heavy in sorted((r.w, r.heavy) for r in items.select("w", "heavy").distinct().collect()):  # w: SHORTEST to WINDOW
+        form = _literal(F.col("raw")) if heavy else F.col("canon")
+        known = items.filter((F.col("w") == w) & (F.col("heavy") == heavy)).select("item_id", form.alias("form"))
+        known = known.select("item_id", "form", F.posexplode(_windows(F.transform("form", lambda t: F.xxhash64(t)), w)).alias("ipos", "h"))
+        known = (known if heavy else known.filter(_plain(F.slice("form", F.col("ipos") + 1, F.lit(w))) * 2 > w)).drop("form")
         known = materialise(known, "template-windows")
         usable = known.groupBy("item_id").agg(F.count("*").alias("of"))
+        texts = raw.select("doc_id", (F.transform(_literal(F.col("raw")), lambda t: F.xxhash64(t)) if heavy else _hashed(F.col("raw"))).alias("t"))
         made = texts.select("doc_id", F.posexplode(_windows(F.col("t"), w)).alias("pos", "h"))
         met = made.join(_small(known.join(usable, "item_id")), "h")
         out = out.unionByName(met.groupBy("doc_id", "item_id", (F.col("pos") - F.col("ipos")).alias("shift"), "of").agg(F.count_distinct("ipos").alias("hits")))
@@ -102,25 +117,33 @@ def candidates(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, cover: float = COVER, agree: float = AGREE) -> DataFrame:
-    """doc_id, item_id, coverage (share of the item's windows at the best shift), n_slots, agreement of the slots."""
+    """doc_id, item_id, coverage (share of the item's windows at the best shift whose slots agree), n_slots, agreement
+    of the slots."""
     likely = candidates(docs, benchmark).filter(F.col("hits") >= F.col("of") * cover)
-    best = likely.groupBy("doc_id", "item_id").agg(F.max(F.struct(F.col("hits"), (-F.col("shift")).alias("back"), F.col("of"))).alias("b"))
-    best = materialise(best.select("doc_id", "item_id", F.col("b.hits").alias("hits"), (-F.col("b.back")).alias("shift"), F.col("b.of").alias("of")), "leak-candidates")
-    ids = best.select("doc_id").distinct()
+    likely = likely.groupBy("doc_id", "item_id", "of").agg(F.collect_set(F.struct("shift", "hits")).alias("at"))
+    likely = materialise(likely, "leak-candidates")
+    ids = likely.select("doc_id").distinct()
     raw = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(_small(ids), "doc_id", "left_semi").select("doc_id", words(raw_words(F.col("text"))).alias("doc_raw"))
     items = _items(benchmark).select("item_id", words(F.col("raw")).alias("item_raw"), "canon")
-    both = raw.join(best, "doc_id").join(items, "item_id")
-
-    def slot(t: Column, i: Column) -> Column:
-        there = F.get("doc_raw", i + F.col("shift"))
-        return F.when(t.startswith("#"), F.struct(F.lower(F.get("item_raw", i)).alias("was"), F.lower(there).alias("is")))
-
-    slots = F.array_distinct(F.filter(F.transform("canon", slot), lambda s: s.isNotNull() & s["is"].isNotNull()))
-    both = both.select("doc_id", "item_id", (F.col("hits") / F.col("of")).alias("coverage"), slots.alias("s"))
-    values = F.size(F.array_distinct(F.transform("s", lambda x: x["was"])))
-    out = both.select("doc_id", "item_id", F.round("coverage", 6).alias("coverage"), values.alias("n_slots"), F.when(F.size("s") == 0, F.lit(1.0)).otherwise(F.round(values / F.size("s"), 6)).alias("agreement"))
-    out = out.filter(F.col("agreement") >= agree)
-    return out.groupBy("doc_id", "item_id").agg(F.max("coverage").alias("coverage"), F.max("n_slots").alias("n_slots"), F.max("agreement").alias("agreement"))
+    both = raw.join(likely, "doc_id").join(items, "item_id")
+
+    def slots(shift: Column) -> Column:
+        def slot(t: Column, i: Column) -> Column:
+            return F.when(t.startswith("#"), F.struct(F.lower(F.get("item_raw", i)).alias("was"), F.lower(F.get("doc_raw", i + shift)).alias("is")))
+
+        return F.array_distinct(F.filter(F.transform("canon", slot), lambda s: s.isNotNull() & s["is"].isNotNull()))
+
+    def judged(x: Column) -> Column:
+        def of(s: Column) -> Column:
+            values = F.size(F.array_distinct(F.transform(s, lambda y: y["was"])))
+            agreement = F.when(F.size(s) == 0, F.lit(1.0)).otherwise(F.round(values / F.size(s), 6))
+            return F.struct(F.round(x["hits"] / F.col("of"), 6).alias("coverage"), agreement.alias("agreement"), (-x["shift"]).alias("back"), values.alias("n_slots"))
+
+        return let(slots(x["shift"]), of)
+
+    best = F.array_max(F.filter(F.transform("at", judged), lambda r: r["agreement"] >= agree))
+    out = both.select("doc_id", "item_id", best.alias("r")).filter("r is not null")
+    return out.groupBy("doc_id", "item_id").agg(F.max("r.coverage").alias("coverage"), F.max("r.n_slots").alias("n_slots"), F.max("r.agreement").alias("agreement"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -179,6 +179,19 @@ def test_reparameterised_questions(spark):
     assert 2 not in {r.doc_id for r in op6_decontaminate.leaks(docs, bench, agree=0.9).collect()}
 
 
+def test_verbatim_after_a_mixed_copy_and_items_of_values(spark):
+    item = "A train leaves Paris for Lyon at 8 and covers 450 km while another leaves Lyon for Paris at 9 covering 300 km"
+    mixed = "A train leaves Rome for Milan at 7 and covers 520 km while another leaves Turin for Genoa at 10 covering 200 km"
+    table = "12 plus 30 is 42 and 7 31 55 18 90 64 23 11 8 5"
+    other = "12 plus 31 is 43 and 8 32 56 19 91 65 24 12 9 6"
+    docs = spark.createDataFrame([(1, f"{mixed}. {item}."), (2, mixed), (3, f"see {table} there"), (4, f"see {other} there"), (5, "9 1 2 3 4 5 6 7 8 9 10")], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, item), (8, "11 22 33 44 55 66 77 88 99 10"), (9, table)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in op6_decontaminate.leaks(docs, bench, agree=0.9).collect()}
+    assert (1, 7) in got and (2, 7) not in got and not any(i == 8 for _, i in got)
+    docs = spark.createDataFrame([(1, "x 11 22 33 44 55 66 77 88 99 10 y"), (2, "x 12 22 34 44 56 66 78 88 98 10 y")], "doc_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in op6_decontaminate.leaks(docs, bench).collect()} == {(1, 8)}
+
+
 def test_targets(spark):
     sizes = {"a": 100, "b": 10, "c": 1000, None: 50}
     got = {r.source: r.target for r in op7_source_mix.targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long")).collect()}
