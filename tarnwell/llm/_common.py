@@ -23,9 +23,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: spark.checkpoint.dir, or the one given to setCheckpointDir. Without
+    either a local master gets a temporary one; a cluster's executors would not see it, so there it is an error."""
+    sc = spark.sparkContext
+    base = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not base:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = getattr(shared_dir, "own", None) or tempfile.mkdtemp(prefix="tarnwell-")
         shared_dir.own = base
     return base.rstrip("/")
@@ -49,12 +53,17 @@ def discard(*tables: DataFrame) -> None:
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete shuffle files of finished phases now, not when the driver's heap happens to fill."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def laid_out(df: DataFrame, key: str, label: str) -> DataFrame:
+    """As materialise, in as many buckets of key as a shuffle has partitions: joins and groups by key read it without
+    another shuffle."""
+    spark = df.sparkSession
+    parts, name = int(spark.conf.get("spark.sql.shuffle.partitions")), f"spark_catalog.default.tarnwell_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    df.repartition(parts, key).write.format("parquet").option("path", path).bucketBy(parts, key).saveAsTable(name)
+    out = spark.table(name)
+    spark.sql(f"drop table {name}")  # its files stay where they are, and the plan knows them
+    out.__dict__["_written"] = path
+    return out
 
 
 def let(value: Column, body) -> Column:

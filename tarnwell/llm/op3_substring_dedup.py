@@ -1,16 +1,17 @@
 """Exact removal of word passages that an earlier document has, by level-wise doubling of window lengths.
 
-Texts that equal an earlier one lose everything and are set aside first. Level one looks at windows of `SHORT` words,
-thinned without loss: only those with the smallest hash in some `WINDOW`-word window are kept. Equal long windows have
-equal smallest short ones, kept in each of their documents, whatever stands around them. Short windows found in one
-document alone are dropped; long windows (twice as long, and the odd word) are made only where their smallest short
-window survives. Neighbouring long windows with the same smallest short one travel as one row, a run: equal runs are
-merged before their windows are compared, so copies of a passage meet as one row a task. A window is known by its
-short window's hash and its own, 128 bits. One that starts in a document with a smaller doc_id covers words that go.
-`repeats` carries the doubling on (26, 52, ... words) until no candidate survives, and returns the longest passages.
-
-Minimum and maximum doc_id of a window are pre-aggregated before every shuffle; the rows that meet them are joined,
-which Spark can split when a key is hot.
+Texts that equal an earlier one lose everything and are set aside first. The others are laid out once by doc_id; all
+later joins with them move hashes, not texts. Level one looks at windows of `SHORT` words, thinned without loss: only
+those with the smallest hash in some `WINDOW`-word window are kept. Equal long windows have equal smallest short ones,
+kept in each of their documents, whatever stands around them. Short windows found in one document alone are dropped;
+long windows (twice as long, and the odd word) are made only where their smallest short window survives. A window is
+known by its short window's hash and its own, 128 bits. One that starts in a document with a smaller doc_id covers
+words that go. `repeats` carries the doubling on (26, 52, ... words) until no candidate survives, and returns the
+longest passages.
+
+Both levels compare what lies in one Arrow batch on the spot and send one row for each window and batch to the shuffle,
+however many documents of the batch have it. Shuffled rows are sorted and streamed past their group's first one, so no
+group is held.
 
 Defined cases: null and empty texts have no words; rows with a null doc_id lose nothing and take nothing from others;
 rows that repeat a doc_id do not shadow each other; an empty table gives an empty result; other columns are ignored.
@@ -24,10 +25,11 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnwell.llm._common import binary, chunks, discard, materialise, release, table
+from tarnwell.llm._common import binary, chunks, discard, laid_out, materialise, table
 
 NAME = "op3_substring_dedup"
 WINDOW = 13
@@ -112,107 +114,183 @@ def copies(docs: DataFrame) -> DataFrame:
     return materialise(_shared(named.select("doc_id", "row", "row2"), "row", "row2"), "copies")
 
 
-def _fresh(docs: DataFrame, copied: DataFrame) -> DataFrame:
-    """doc_id, row, text of each text at its smallest doc_id."""
-    named = _plain(docs).filter("doc_id is not null and text is not null")
-    return named.join(_small(copied), ["row", "row2"], "left").filter("low is null or doc_id = low").select("doc_id", "row", "text")
+def laid(docs: DataFrame, copied: DataFrame) -> DataFrame:
+    """doc_id, slot (doc_id, or a hash of the text where it is null), row, text, copy, fresh (texts at their smallest
+    doc_id), laid out by slot."""
+    copy = F.coalesce(F.col("doc_id") > F.col("low"), F.lit(False))
+    fresh = F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~copy
+    rows = _plain(docs).join(_small(copied), ["row", "row2"], "left")
+    return laid_out(rows.select("doc_id", F.coalesce("doc_id", "row").alias("slot"), "row", "text", copy.alias("copy"), fresh.alias("fresh")), "slot", "passages")
+
+
+def _shared(rows: DataFrame, *keys: str) -> DataFrame:
+    """Keys found in two documents or more, with the smallest doc_id."""
+    return rows.groupBy(*keys).agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select(*keys, "low")
 
 
-def _shorts(fresh: DataFrame, window: int, short: int) -> DataFrame:
-    """doc_id, h: the kept short windows of each document."""
+def _parts(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Ranges of texts, hashes of their words and the words' text numbers in the range."""
+    for a, b in chunks(pc.fill_null(pc.binary_length(texts), 0).to_pylist(), CHUNK):
+        yield a, b, *word_hashes([t or b"" for t in binary(texts.slice(a, b - a))])
+
+
+def _begins(*keys: np.ndarray) -> np.ndarray:
+    """Whether each of some rows, sorted by keys, begins a group."""
+    new = np.ones(len(keys[0]), bool)
+    if len(new):
+        new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    return new
+
+
+def _shorts(texts: DataFrame, window: int, short: int) -> DataFrame:
+    """h, doc_id, known: the kept short windows of each document. Those that two documents of a batch have are given once
+    for each of them as known and once for the batch as not known."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column(0).to_numpy(zero_copy_only=False), binary(batch.column(1))
-            for a, b in chunks([len(t) for t in texts], CHUNK):
-                words, doc = word_hashes(texts[a:b])
+            ids, made = batch.column(0).to_numpy(zero_copy_only=False), []
+            for a, b, words, doc in _parts(batch.column(1)):
                 g, keep, _ = kept_shorts(words, doc, window, short)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[a:b][doc[: len(g)][keep]], pa.int64()), pa.array(g[keep].view(np.int64))], names=["doc_id", "h"])
+                made.append((g[keep].view(np.int64), ids[a:b][doc[: len(g)][keep]]))
+            if not made:
+                continue
+            h, d = (np.concatenate(x) for x in zip(*made))
+            order = np.lexsort((d, h))
+            h, d = h[order], d[order]
+            one = _begins(h, d)
+            h, d = h[one], d[one]
+            new = _begins(h)
+            many = np.diff(np.append(np.flatnonzero(new), len(h))) > 1
+            known = many[np.cumsum(new) - 1] if len(h) else new
+            out = [np.concatenate([x[new], x[known]]) for x in (h, d)]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, out), pa.array(np.arange(len(out[0])) >= new.sum())], names=["h", "doc_id", "known"])
+
+    return texts.select("doc_id", "text").mapInArrow(run, "h long, doc_id long, known boolean")
+
+
+def _alive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, h of known rows and of groups with two documents or more; rows are sorted by h and doc_id, known ones apart."""
+    last, low, told = None, 0, True
+    for batch in batches:
+        h, d, known = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+        out_d, out_h = [d[known]], [h[known]]
+        h, d = h[~known], d[~known]
+        if len(h):
+            new = _begins(h)
+            new[0] = h[0] != last
+            firsts, group = np.flatnonzero(new), np.cumsum(new)  # group 0 began in an earlier batch
+            lows, names = np.append(low, d[firsts]), np.append(last or 0, h[firsts])
+            later = d != lows[group]
+            alive = np.zeros(len(lows), bool)
+            alive[group[later]] = True
+            tell = alive.copy()
+            tell[0] &= not told
+            out_d += [d[later], lows[tell]]
+            out_h += [h[later], names[tell]]
+            told = bool(alive[-1]) or (len(firsts) == 0 and told)
+            last, low = h[-1], lows[-1]
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_d)), pa.array(np.concatenate(out_h))], names=["doc_id", "h"])
+
+
+def runs_of(words: np.ndarray, doc: np.ndarray, alive: np.ndarray, window: int, short: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of some texts' words the windows whose smallest short window is alive: places, short windows' hashes, own hashes."""
+    _, _, low = kept_shorts(words, doc, window, short)
+    at = np.flatnonzero(np.isin(low.view(np.int64), alive) & (low > 0))
+    w = gram_hashes(words, window, _MULS[0])[at] if len(at) else np.zeros(0, np.uint64)
+    return at, low[at].view(np.int64), w.view(np.int64)
 
-    return fresh.select("doc_id", "text").mapInArrow(run, "doc_id long, h long")
 
+def _held(fresh: DataFrame, window: int, short: int) -> DataFrame:
+    """slot, alive: the short windows of each document that other documents have too."""
+    parts = int(fresh.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shorts = _shorts(fresh, window, short).repartition(parts, F.when(F.col("known"), F.col("doc_id")).otherwise(F.col("h")))
+    alive = shorts.sortWithinPartitions("known", "h", "doc_id").mapInArrow(_alive, "slot long, h long")
+    return alive.groupBy("slot").agg(F.collect_list("h").alias("alive"))
 
-def _shared(rows: DataFrame, *keys: str) -> DataFrame:
-    """Keys found in two documents or more, with the smallest doc_id."""
-    return rows.groupBy(*keys).agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select(*keys, "low")
 
+def _found(batch: pa.RecordBatch, window: int, short: int) -> tuple[np.ndarray, ...]:
+    """Of the texts in column 2 and the alive short windows in column 3: row, place and both hashes of each window."""
+    made = [(np.zeros(0, np.int64),) * 4]
+    for a, b, words, doc in _parts(batch.column(2)):
+        at, h, w = runs_of(words, doc, np.unique(batch.column(3).slice(a, b - a).flatten().to_numpy(zero_copy_only=False)), window, short)
+        of = doc[at]
+        made.append((of + a, at - np.searchsorted(doc, of), h, w))
+    return tuple(np.concatenate(x) for x in zip(*made))
 
-def runs_of(words: np.ndarray, doc: np.ndarray, alive: np.ndarray, window: int, short: int) -> tuple[np.ndarray, ...]:
-    """Of some texts' words the windows whose smallest short window is alive: their places and hashes, where each run of
-    them starts among these, and each run's short hash and own hash."""
-    _, _, low = kept_shorts(words, doc, window, short)
-    at = np.flatnonzero(np.isin(low.view(np.int64), alive) & (low > 0))
-    if not len(at):
-        none = np.zeros(0, np.int64)
-        return none, none, none, none, none
-    w, h, span = gram_hashes(words, window, _MULS[0])[at], low[at], window - short + 1
-    new = np.concatenate([[True], (np.diff(at) != 1) | (h[1:] != h[:-1])])
-    begun = np.flatnonzero(new)
-    nth = (np.arange(len(at)) - np.repeat(begun, np.diff(np.append(begun, len(at))))) % span  # a run is cut at `span` windows
-    starts = np.flatnonzero(nth == 0)
-    powers = np.cumprod(np.full(span, _MULS[1]), dtype=np.uint64)
-    return at, w.view(np.int64), starts, h[starts].view(np.int64), _mix(np.add.reduceat(w * powers[nth], starts)).view(np.int64)
-
-
-def occurrences(fresh: DataFrame, window: int = WINDOW, short: int = SHORT) -> DataFrame:
-    """doc_id, row (hash of the text), pos, h, ctx, ws: runs of windows whose smallest short window other documents have
-    too; h is its hash, ws are the windows' own ones and ctx theirs together."""
-    spark = fresh.sparkSession
-    shorts = materialise(_shorts(fresh, window, short), "short-windows")
-    alive = materialise(_shared(shorts, "h").select("h"), "short-alive")
-    release(spark)
-    held = materialise(shorts.join(alive, "h").groupBy("doc_id").agg(F.collect_set("h").alias("alive")), "short-held")
-    discard(shorts, alive)
-    release(spark)
+
+def _survivors(texts: DataFrame, window: int, short: int) -> DataFrame:
+    """doc_id, row, text, alive of documents with short windows that others have."""
+    fresh = texts.filter("fresh")
+    return fresh.join(_held(fresh, window, short).hint("shuffle_hash"), "slot").select("doc_id", "row", "text", "alive")
+
+
+def occurrences(texts: DataFrame, window: int = WINDOW, short: int = SHORT) -> DataFrame:
+    """doc_id, row, pos, n, h, ws: runs of n windows whose smallest short window, with hash h, other documents have too;
+    ws are the windows' own hashes. Runs that a smaller doc_id of the same batch has come without h and ws."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, rows = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            texts, lists = binary(batch.column(2)), batch.column(3)
-            for a, b in chunks([len(t) for t in texts], CHUNK):
-                words, doc = word_hashes(texts[a:b])
-                at, w, starts, h, ctx = runs_of(words, doc, np.unique(lists.slice(a, b - a).flatten().to_numpy(zero_copy_only=False)), window, short)
-                if not len(at):
-                    continue
-                of = doc[at[starts]]
-                pos = at[starts] - np.searchsorted(doc, of)
-                ws = pa.ListArray.from_arrays(pa.array(np.append(starts, len(at)), pa.int32()), pa.array(w))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[a:b][of]), pa.array(rows[a:b][of]), pa.array(pos.astype(np.int32)), pa.array(h), pa.array(ctx), ws], names=["doc_id", "row", "pos", "h", "ctx", "ws"])
-
-    found = fresh.join(held, "doc_id").select("doc_id", "row", "text", "alive").mapInArrow(run, "doc_id long, row long, pos int, h long, ctx long, ws array<long>")
-    found = materialise(found, "runs")
-    discard(held)
-    release(spark)
-    return found
-
-
-def covered(docs: DataFrame, copied: DataFrame, window: int = WINDOW, short: int = SHORT) -> DataFrame:
-    """doc_id, row, starts: where windows start that a document with a smaller doc_id has too, copies set aside."""
-    spark = docs.sparkSession
-    found = occurrences(_fresh(docs, copied), window, short)
-    merged = materialise(found.groupBy("h", "ctx", "ws").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")), "runs-merged")
-    release(spark)
-    each = merged.select("h", "ctx", "least", "most", F.posexplode("ws").alias("i", "w"))
-    shared = each.groupBy("h", "w").agg(F.min("least").alias("low"), F.max("most").alias("high")).filter("low < high").select("h", "w", "low")
-    # a run whose every document is the window's first has nothing to lose
-    lows = each.join(shared, ["h", "w"]).filter("most > low").groupBy("h", "ctx").agg(F.collect_list(F.struct("i", "low")).alias("lows"))
-    lows = materialise(lows, "runs-low")
-    discard(merged)
-    release(spark)
-    late = found.select("doc_id", "row", "pos", "h", "ctx").join(lows, ["h", "ctx"])
-    starts = F.transform(F.filter("lows", lambda x: x["low"] < F.col("doc_id")), lambda x: x["i"] + F.col("pos"))
-    marks = late.select("doc_id", "row", starts.alias("s")).filter(F.size("s") > 0).groupBy("doc_id", "row").agg(F.flatten(F.collect_list("s")).alias("starts"))
-    marks = materialise(marks, "covered")
-    discard(found, lows)
-    release(spark)
+            of, pos, h, w = _found(batch, window, short)
+            if not len(of):
+                continue
+            order = np.lexsort((ids[of], w, h))
+            start = np.flatnonzero(_begins(h[order], w[order]))
+            low = np.empty(len(of), np.int64)
+            low[order] = np.repeat(ids[of][order][start], np.diff(np.append(start, len(of))))
+            gone = ids[of] > low
+            new = _begins(of, gone, np.where(gone, 0, h), pos - np.arange(len(pos)))
+            start = np.flatnonzero(new)
+            size = np.diff(np.append(start, len(of)))
+            gone = gone[start]
+            ends = np.append(0, np.cumsum(np.where(gone, 0, size)))
+            ws = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(w[~np.repeat(gone, size)]))
+            columns = [ids[of[start]], rows[of[start]], pos[start].astype(np.int32), size.astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(h[start], mask=gone), ws], names=["doc_id", "row", "pos", "n", "h", "ws"])
+
+    found = _survivors(texts, window, short).mapInArrow(run, "doc_id long, row long, pos int, n int, h long, ws array<long>")
+    return materialise(found, "runs")
+
+
+def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, row, pos of rows h, w, doc_id, row, pos, sorted by the first three, whose group began with a smaller doc_id."""
+    last, low = None, 0
+    for batch in batches:
+        h, w, d = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+        if not len(h):
+            continue
+        new = _begins(h, w)
+        new[0] = (h[0], w[0]) != last
+        lows = np.append(low, d[new])
+        yield batch.filter(pa.array(d > lows[np.cumsum(new)])).select(["doc_id", "row", "pos"])
+        last, low = (h[-1], w[-1]), lows[-1]
+
+
+def covered(texts: DataFrame, window: int = WINDOW, short: int = SHORT) -> DataFrame:
+    """slot, row, marks (pos, n): runs of n windows that a document with a smaller doc_id has too."""
+    spark = texts.sparkSession
+    found = occurrences(texts, window, short)
+    each = found.filter("h is not null").select("doc_id", "row", "h", "pos", F.posexplode("ws").alias("i", "w")).select("h", "w", "doc_id", "row", (F.col("pos") + F.col("i")).alias("pos"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    later = each.repartition(parts, "h", "w").sortWithinPartitions("h", "w", "doc_id").mapInArrow(_later, "doc_id long, row long, pos int")
+    marks = later.withColumn("n", F.lit(1)).unionByName(found.filter("h is null").select("doc_id", "row", "pos", "n"))
+    marks = materialise(marks.groupBy(F.col("doc_id").alias("slot"), "row").agg(F.collect_list(F.struct("pos", "n")).alias("marks")), "covered")
+    discard(found)
     return marks
 
 
 def repeats(docs: DataFrame, window: int = WINDOW, short: int = SHORT) -> DataFrame:
     """doc_id, row, pos, size: windows shared by documents, texts that equal an earlier one set aside, at the largest
     doubled length at which each place still is."""
-    found = occurrences(_fresh(docs, copies(docs)), window, short)
-    level = found.select("doc_id", "row", "pos", F.col("h").alias("h1"), F.posexplode("ws").alias("i", "h2")).select("doc_id", "row", (F.col("pos") + F.col("i")).alias("pos"), "h1", "h2")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of, pos, h, w = _found(batch, window, short)
+            ids, rows = (batch.column(i).to_numpy(zero_copy_only=False)[of] for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids, rows, pos, h, w)], names=["doc_id", "row", "pos", "h1", "h2"])
+
+    level = _survivors(laid(docs, copies(docs)), window, short).mapInArrow(run, "doc_id long, row long, pos long, h1 long, h2 long")
+    level = materialise(level, "repeats")
     size, out = window, None
     while True:
         level = materialise(level.join(_shared(level, "h1", "h2").select("h1", "h2"), ["h1", "h2"]).select("doc_id", "row", "pos", "h1", "h2").distinct(), "repeats")
@@ -228,27 +306,28 @@ def repeats(docs: DataFrame, window: int = WINDOW, short: int = SHORT) -> DataFr
     return out.groupBy("doc_id", "row", "pos").agg(F.max("size").alias("size"))
 
 
-def kept_words(text: bytes | None, starts: list[int] | None, window: int = WINDOW) -> tuple[list[bytes], int]:
-    """The words that stay, and how many there were."""
+def kept_words(text: bytes | None, runs: list[dict] | None, window: int = WINDOW) -> tuple[list[bytes], int]:
+    """The words that stay, and how many there were; runs of n windows start at pos."""
     words = (text or b"").split()
-    if not starts:
+    if not runs:
         return words, len(words)
     delta = np.zeros(len(words) + 1, np.int64)
-    np.add.at(delta, starts, 1)
-    np.add.at(delta, np.minimum(np.array(starts) + window, len(words)), -1)
+    pos, n = (np.array([r[k] for r in runs]) for k in ("pos", "n"))
+    np.add.at(delta, pos, 1)
+    np.add.at(delta, pos + n + window - 1, -1)
     return list(compress(words, (np.cumsum(delta)[:-1] == 0).tolist())), len(words)
 
 
 def deduplicated(docs: DataFrame, window: int = WINDOW, short: int = SHORT, texts: bool = True) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and, with texts, kept (the words that stay, joined by spaces)."""
-    copied = copies(docs)
-    marks = covered(docs, copied, window, short)
+    rows = laid(docs, copies(docs))
+    marks = covered(rows, window, short)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, gone, sums, kept = [], [], [], []
-            for text, starts, copy in zip(binary(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                words, total = kept_words(text, starts, window)
+            for text, runs, copy in zip(binary(batch.column(1)), batch.column(2), batch.column(3).to_pylist()):
+                words, total = kept_words(text, runs.as_py(), window)
                 if copy and total >= window:
                     words = []
                 joined = b" ".join(words)
@@ -260,9 +339,8 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, short: int = SHORT, text
             columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sums, pa.string())]
             yield pa.RecordBatch.from_arrays([*columns, *([pa.array(kept, pa.string())] if texts else [])], names=["doc_id", "n_words", "n_removed", "kept_sha256", *["kept"] * texts])
 
-    rows = _plain(docs).join(_small(copied), ["row", "row2"], "left").withColumn("copy", F.col("doc_id") > F.col("low"))
-    rows = rows.join(marks, ["doc_id", "row"], "left")
-    return rows.select("doc_id", "text", "starts", "copy").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * texts)
+    rows = rows.join(marks.hint("shuffle_hash"), ["slot", "row"], "left").withColumn("marks", F.when(F.col("doc_id").isNotNull(), F.col("marks")))
+    return rows.select("doc_id", "text", "marks", "copy").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * texts)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

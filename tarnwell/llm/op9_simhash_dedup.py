@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tarnwell.llm._common import binary, discard, materialise, release, table
+from tarnwell.llm._common import binary, discard, materialise, table
 
 NAME = "op9_simhash_dedup"
 SHINGLE = 3
@@ -348,7 +348,6 @@ def similar(docs: DataFrame, shingle: int = WIDE) -> tuple[DataFrame, DataFrame]
         full = _whole(docs, rows, pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), shingle)
         edges = materialise(edges.unionByName(_alike(pairs, full).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))), "set-edges")
         discard(pairs, full, split)
-        release(docs.sparkSession)
     return rows.select("doc_id", "row", "sid"), components(edges).select(F.col("a").alias("sid"), F.col("b").alias("root"))
 
 
