@@ -225,8 +225,9 @@ def _survivors(texts: DataFrame, window: int, short: int) -> DataFrame:
 
 
 def occurrences(texts: DataFrame, window: int = WINDOW, short: int = SHORT) -> DataFrame:
-    """doc_id, row, pos, n, h, ws: runs of n windows whose smallest short window, with hash h, other documents have too;
-    ws are the windows' own hashes. Runs that a smaller doc_id of the same batch has come without h and ws."""
+    """doc_id, row, pos, n, first, h, ws: runs of n windows whose smallest short window, with hash h, other documents have
+    too; ws are the windows' own hashes. Runs that a smaller doc_id of the same batch has come without h and ws, and so
+    do runs equal to one of the same text from `first` on (else -1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -234,21 +235,23 @@ def occurrences(texts: DataFrame, window: int = WINDOW, short: int = SHORT) -> D
             of, pos, h, w = _found(batch, window, short)
             if not len(of):
                 continue
-            order = np.lexsort((ids[of], w, h))
-            start = np.flatnonzero(_begins(h[order], w[order]))
-            low = np.empty(len(of), np.int64)
-            low[order] = np.repeat(ids[of][order][start], np.diff(np.append(start, len(of))))
-            gone = ids[of] > low
-            new = _begins(of, gone, np.where(gone, 0, h), pos - np.arange(len(pos)))
+            order = np.lexsort((of, ids[of], w, h))
+            start = _begins(h[order], w[order])
+            low, same = np.empty(len(of), np.int64), np.empty(len(of), np.int64)
+            low[order] = ids[of][order][start][np.cumsum(start) - 1]
+            start |= _begins(of[order])
+            same[order] = pos[order][start][np.cumsum(start) - 1]
+            kind = np.where(ids[of] > low, 2, (same != pos).astype(np.int64))
+            first = np.where(kind == 1, same, -1)
+            new = _begins(of, kind, np.where(kind == 0, h, 0), pos - np.arange(len(pos)), np.where(kind == 1, pos - same, 0))
             start = np.flatnonzero(new)
             size = np.diff(np.append(start, len(of)))
-            gone = gone[start]
-            ends = np.append(0, np.cumsum(np.where(gone, 0, size)))
-            ws = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(w[~np.repeat(gone, size)]))
-            columns = [ids[of[start]], rows[of[start]], pos[start].astype(np.int32), size.astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(h[start], mask=gone), ws], names=["doc_id", "row", "pos", "n", "h", "ws"])
+            ends = np.append(0, np.cumsum(np.where(kind[start] == 0, size, 0)))
+            ws = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(w[kind == 0]))
+            columns = [ids[of[start]], rows[of[start]], *(x.astype(np.int32) for x in (pos[start], size, first[start]))]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(h[start], mask=kind[start] > 0), ws], names=["doc_id", "row", "pos", "n", "first", "h", "ws"])
 
-    found = _survivors(texts, window, short).mapInArrow(run, "doc_id long, row long, pos int, n int, h long, ws array<long>")
+    found = _survivors(texts, window, short).mapInArrow(run, "doc_id long, row long, pos int, n int, first int, h long, ws array<long>")
     return materialise(found, "runs")
 
 
@@ -267,14 +270,15 @@ def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def covered(texts: DataFrame, window: int = WINDOW, short: int = SHORT) -> DataFrame:
-    """slot, row, marks (pos, n): runs of n windows that a document with a smaller doc_id has too."""
+    """slot, row, marks (pos, n, first): runs of n windows that a document with a smaller doc_id has too, if those from
+    `first` on are some (-1: in any case)."""
     spark = texts.sparkSession
     found = occurrences(texts, window, short)
     each = found.filter("h is not null").select("doc_id", "row", "h", "pos", F.posexplode("ws").alias("i", "w")).select("h", "w", "doc_id", "row", (F.col("pos") + F.col("i")).alias("pos"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     later = each.repartition(parts, "h", "w").sortWithinPartitions("h", "w", "doc_id").mapInArrow(_later, "doc_id long, row long, pos int")
-    marks = later.withColumn("n", F.lit(1)).unionByName(found.filter("h is null").select("doc_id", "row", "pos", "n"))
-    marks = materialise(marks.groupBy(F.col("doc_id").alias("slot"), "row").agg(F.collect_list(F.struct("pos", "n")).alias("marks")), "covered")
+    marks = later.select("*", F.lit(1).alias("n"), F.lit(-1).alias("first")).unionByName(found.filter("h is null").select("doc_id", "row", "pos", "n", "first"))
+    marks = materialise(marks.groupBy(F.col("doc_id").alias("slot"), "row").agg(F.collect_list(F.struct("pos", "n", "first")).alias("marks")), "covered")
     discard(found)
     return marks
 
@@ -307,15 +311,19 @@ def repeats(docs: DataFrame, window: int = WINDOW, short: int = SHORT) -> DataFr
 
 
 def kept_words(text: bytes | None, runs: list[dict] | None, window: int = WINDOW) -> tuple[list[bytes], int]:
-    """The words that stay, and how many there were; runs of n windows start at pos."""
+    """The words that stay, and how many there were; `runs` are marks as of `covered`."""
     words = (text or b"").split()
     if not runs:
         return words, len(words)
+    pos, n, first = (np.array([r[k] for r in runs]) for k in ("pos", "n", "first"))
     delta = np.zeros(len(words) + 1, np.int64)
-    pos, n = (np.array([r[k] for r in runs]) for k in ("pos", "n"))
-    np.add.at(delta, pos, 1)
-    np.add.at(delta, pos + n + window - 1, -1)
-    return list(compress(words, (np.cumsum(delta)[:-1] == 0).tolist())), len(words)
+    np.add.at(delta, pos[first < 0], 1)
+    np.add.at(delta, (pos + n)[first < 0], -1)
+    begins = np.cumsum(delta) > 0
+    for p, k, f in zip(pos[first >= 0], n[first >= 0], first[first >= 0]):
+        begins[p : p + k] |= begins[f : f + k]
+    ends = np.cumsum(np.concatenate([np.zeros(window, np.int64), begins]))
+    return list(compress(words, (ends[window : window + len(words)] == ends[: len(words)]).tolist())), len(words)
 
 
 def deduplicated(docs: DataFrame, window: int = WINDOW, short: int = SHORT, texts: bool = True) -> DataFrame:

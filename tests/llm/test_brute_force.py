@@ -101,6 +101,28 @@ def test_substring_removal(docs, corpus):
     assert got == want
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_substring_removal_of_periodic_texts_and_repeated_ids(spark, seed):
+    rng = random.Random(seed)
+    phrases = [" ".join(rng.choice("abcdefgh") for _ in range(rng.randrange(3, 30))) for _ in range(6)]
+    rows = []
+    for d in range(120):
+        text = " ".join(rng.choice(phrases) if rng.random() < 0.5 else " ".join(rng.choice(["x", "y", f"q{rng.randrange(40)}"]) for _ in range(rng.randrange(1, 9))) for _ in range(rng.randrange(0, 20)))
+        rows.append((d // 2 if d > 100 else d, (rng.choice(phrases) + " ") * rng.randrange(1, 12) if rng.random() < 0.2 else text))
+    first, want = {}, []
+    for d, t in rows:
+        w = t.split()
+        for i in range(len(w) - 12):
+            k = tuple(w[i : i + 13])
+            first[k] = min(d, first.get(k, d))
+    for d, t in rows:
+        w = t.split()
+        gone = {j for i in range(len(w) - 12) if first[tuple(w[i : i + 13])] < d for j in range(i, i + 13)}
+        want.append((d, len(w), len(gone), " ".join(x for j, x in enumerate(w) if j not in gone)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept) for r in op3_substring_dedup.deduplicated(df).collect()) == sorted(want)
+
+
 def test_repeats_double_until_none_survive(docs):
     sizes = {r["size"] for r in op3_substring_dedup.repeats(docs).collect()}
     assert 13 in sizes and 26 in sizes
