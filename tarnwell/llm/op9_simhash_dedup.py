@@ -34,11 +34,13 @@ SHINGLE = 3
 RADIUS = 2
 SEED = 42
 SHARD = 4096
-#: of keep_dissimilar: words of a shingle, the similarity as a fraction, frequent shingles held, rounds of stars
+#: of keep_dissimilar: words of a shingle, the similarity as a fraction, frequent shingles held, sets of a bucket whose
+#: pairs are all compared at once, and centres that a larger bucket's sets meet in each round before that
 WIDE = 5
 SIMILAR = (4, 5)
 COMMON = 200_000
-STARS = 2
+FEW = 8
+CENTRES = (1, 8, 64)
 _FULL = (1 << 64) - 1
 
 
@@ -249,12 +251,14 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _first_of(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """One row of docs for each root of rows (doc_id, row, root)."""
+    mark = next(x for x in ("_", *(f"_{i}" for i in range(len(docs.columns) + 1))) if not any(c.lower().startswith(f"{x}key".lower()) for c in docs.columns))
     none, number = F.col("doc_id").isNull(), F.coalesce(F.col("doc_id").cast("long"), F.lit(0))
-    first = rows.groupBy("root").agg(F.min(F.struct(none.alias("_none"), number.alias("_id"), F.col("row").alias("_row"))).alias("m")).select("m.*")
-    keys = ["_none", "_id", "_row"]
-    named = docs.withColumns({"_none": none, "_id": number, "_row": _row(docs)})
-    kept = named.join(first, keys, "left_semi").withColumn("_nth", F.row_number().over(W.partitionBy(*keys).orderBy(F.lit(0))))
-    return kept.filter("_nth = 1").select(*docs.columns)
+    keys = [f"{mark}key{i}" for i in range(3)]
+    first = rows.groupBy("root").agg(F.min(F.struct(none.alias(keys[0]), number.alias(keys[1]), F.col("row").alias(keys[2]))).alias("m")).select("m.*")
+    named = docs.withColumns(dict(zip(keys, (none, number, _row(docs)))))
+    nth = f"{mark}key3"
+    kept = named.join(first, keys, "left_semi").withColumn(nth, F.row_number().over(W.partitionBy(*keys).orderBy(F.lit(0))))
+    return kept.filter(F.col(nth) == 1).select(*docs.columns)
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
@@ -315,39 +319,54 @@ def _alike(pairs: DataFrame, full: DataFrame) -> DataFrame:
 def _whole(docs: DataFrame, rows: DataFrame, sids: DataFrame, shingle: int) -> DataFrame:
     """sid, s: the whole sets, made again from one text each."""
     named = rows.select("doc_id", "row", "sid").join(sids, "sid", "left_semi").groupBy("sid").agg(F.min(F.struct("doc_id", "row")).alias("m")).select("m.doc_id", "m.row")
-    texts = docs.join(named.select(F.col("doc_id").alias("_id"), F.col("row").alias("_row")), F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (_row(docs) == F.col("_row")), "left_semi")
+    own, row, number = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _row(docs)), F.col("row") == F.col("_row"), F.col("doc_id").eqNullSafe(F.col("_id"))
+    texts = own.join(named.select(F.col("doc_id").alias("_id"), F.col("row").alias("_row")), row & number, "left_semi")
     return materialise(_sets(texts, shingle, None).groupBy("sid").agg(F.first("s").alias("s")), "set-full")
 
 
 def similar(docs: DataFrame, shingle: int = WIDE) -> tuple[DataFrame, DataFrame]:
     """(doc_id, row, sid) of each row of docs, and (sid, root): sets of Jaccard similarity SIMILAR or more, and chains
     of them, have one root. Exact: two such sets share one of their first shingles in any common order, and what they
-    share beyond those that both have first lies in the rest of one of them."""
+    share beyond those that both have first lies in the rest of one of them.
+
+    A bucket holds the sets with one first shingle. Buckets of up to FEW sets give all their pairs. The sets of larger
+    ones first meet few of them, drawn by hash; as large buckets come from copies of one text, hardly any are then not of
+    one class, and only pairs across classes are left to compare."""
     p, q = SIMILAR
     rows = materialise(_sets(docs, shingle, _common(docs, shingle)), "set-prefixes")
     sets = rows.groupBy("sid", "n").agg(F.first("s").alias("s"))
-    met = sets.select("sid", "n", F.explode("s").alias("h")).withColumn("k", F.count("*").over(W.partitionBy("h"))).filter("k > 1")
-    met = materialise(met.select("h", "sid", "n"), "set-buckets")
-    edges = met.select(F.col("sid").alias("a"), F.col("sid").alias("b")).limit(0)
+    met = sets.select("sid", "n", F.explode("s").alias("h")).withColumn("few", F.count("*").over(W.partitionBy("h"))).filter("few > 1").withColumn("few", F.col("few") <= FEW)
+    own = W.partitionBy("sid")  # at most a fifth of a text's shingles
+    more = F.when(F.col("few"), F.count(F.when(~F.col("few"), 1)).over(own)).otherwise(F.count(F.when(F.col("few"), 1)).over(own))
+    met = materialise(met.withColumn("o", more).select("h", "sid", "n", "o", "few"), "set-buckets")  # o: buckets of the other kind
+    full = _whole(docs, rows, met.select("sid").distinct(), shingle)
     sizes = (F.least("n", "m") * q) >= (F.greatest("n", "m") * p)
-    rest = F.greatest(*[F.ceil(F.col(c) * p / q) - 1 for c in "nm"])
-    for turn in range(STARS + 1):  # first against one of each bucket, so that what is one class already needs no pairs
-        root = components(edges) if turn else edges
-        at = met.join(root.select(F.col("a").alias("sid"), F.col("b").alias("r")), "sid", "left").select("h", "sid", "n", F.coalesce("r", "sid").alias("r"))
-        split = at.groupBy("h").agg(F.min("r").alias("lo"), F.max("r").alias("hi"), F.min(F.struct(F.xxhash64("sid", F.lit(turn)), F.col("sid").alias("b"), F.col("n").alias("m"), F.col("r").alias("z"))).alias("c"))
-        split = materialise(split.filter("lo < hi").select("h", "c.b", "c.m", "c.z"), "set-split")
-        if split.isEmpty():
+    rest = F.greatest(*[F.ceil(F.col(c) * p / q) - 1 for c in "nm"]) + F.least("o", "u")
+
+    def pairs_of(at: DataFrame, other: DataFrame) -> DataFrame:
+        other = other.select("h", F.col("sid").alias("b"), F.col("n").alias("m"), F.col("o").alias("u"), F.col("r").alias("z"))
+        return at.join(other, "h").filter("r <> z and sid <> b").filter(sizes)
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        some = pairs.groupBy(F.greatest("sid", "b").alias("a"), F.least("sid", "b").alias("b"), F.greatest("n", "m").alias("n"), F.least("n", "m").alias("m"), F.greatest("o", "u").alias("o"), F.least("o", "u").alias("u")).agg(F.count("*").alias("c"))
+        some = materialise(some.filter((F.col("c") + rest) * (p + q) >= (F.col("n") + F.col("m")) * p).select("a", "b"), "set-pairs")
+        got = materialise(_alike(some, full), "set-edges")
+        discard(some)
+        return got
+
+    few, many = met.filter("few").withColumn("r", F.col("sid")), met.filter("not few")
+    edges = verified(pairs_of(few, few).filter("sid > b"))
+    for turn, centres in enumerate((*CENTRES, 0)):
+        root = components(edges).select(F.col("a").alias("sid"), F.col("b").alias("r"))
+        at = many.join(root, "sid", "left").select("h", "sid", "n", "o", F.coalesce("r", "sid").alias("r"))
+        split = at.groupBy("h").agg(F.min("r").alias("lo"), F.max("r").alias("hi")).filter("lo < hi").select("h")
+        at = materialise(at.join(split, "h"), "set-split")
+        if at.isEmpty():
             break
-        if turn < STARS:
-            pairs = at.join(split, "h").filter("r <> z")
-        else:
-            left = materialise(at.join(split.select("h"), "h"), "set-left")
-            pairs = left.join(left.select("h", F.col("sid").alias("b"), F.col("n").alias("m"), F.col("r").alias("z")), "h").filter("r <> z and sid > b")
-        pairs = pairs.filter(sizes).groupBy(F.col("sid").alias("a"), "b", "n", "m").agg(F.count("*").alias("c"))
-        pairs = materialise(pairs.filter((F.col("c") + rest) * (p + q) >= (F.col("n") + F.col("m")) * p).select("a", "b"), "set-pairs")
-        full = _whole(docs, rows, pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), shingle)
-        edges = materialise(edges.unionByName(_alike(pairs, full).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))), "set-edges")
-        discard(pairs, full, split)
+        drawn = F.struct(F.xxhash64("sid", F.pmod(F.xxhash64("h"), F.lit(max(centres, 1))), F.lit(turn)), *[F.col(c) for c in ("sid", "n", "o", "r")])
+        pairs = pairs_of(at, at.groupBy("h").agg(F.min(drawn).alias("c")).select("h", "c.*")) if centres else pairs_of(at, at).filter("sid > b")
+        edges = edges.unionByName(verified(pairs))
+        discard(at)
     return rows.select("doc_id", "row", "sid"), components(edges).select(F.col("a").alias("sid"), F.col("b").alias("root"))
 
 

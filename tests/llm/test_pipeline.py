@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline as P
-from tarnwell.llm import op2_pii, op5_quality, op6_decontaminate, op9_simhash_dedup
+from tarnwell.llm import op2_pii, op5_quality, op6_decontaminate
 from tarnwell.llm._common import table
 
 SF = "/root/testdata/sf0.001"
@@ -48,20 +48,15 @@ def test_quality(stages, spark):
 
 def test_near_duplicates(stages):
     before, after, _ = stages["near_duplicates"]
-    fps = {r["doc_id"]: op9_simhash_dedup.fingerprint((r["text"] or "").encode()) for r in before}
-    low = {d: d for d in fps}
-
-    def find(d):
-        while low[d] != d:
-            d = low[d]
-        return d
-
-    for a in fps:
-        for b in fps:
-            if a < b and (fps[a] ^ fps[b]).bit_count() <= 2:
-                x, y = find(a), find(b)
-                low[max(x, y)] = min(x, y)
-    assert ids(after) == sorted({find(d) for d in fps})
+    words = {r["doc_id"]: [w for w in re.split(r"[ \t-\r]+", (r["text"] or "").encode().lower().decode()) if w] for r in before}
+    sets = {d: {tuple(w[i : i + 5]) for i in range(max(len(w) - 4, min(len(w), 1)))} for d, w in words.items()}
+    low = {d: d for d in sets}
+    for a in sets:
+        for b in sets:
+            if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]) and low[a] != low[b]:
+                x, y = min(low[a], low[b]), max(low[a], low[b])
+                low = {d: x if v == y else v for d, v in low.items()}
+    assert ids(after) == sorted(set(low.values()))
 
 
 def canon(text):
