@@ -40,7 +40,7 @@ WIDE = 5
 SIMILAR = (4, 5)
 COMMON = 200_000
 FEW = 8
-CENTRES = (1, 32)
+CENTRES = (1, 32, 64)
 _FULL = (1 << 64) - 1
 
 
@@ -336,23 +336,18 @@ def similar(docs: DataFrame, shingle: int = WIDE) -> tuple[DataFrame, DataFrame]
     rows = materialise(_sets(docs, shingle, _common(docs, shingle)), "set-prefixes")
     sets = rows.groupBy("sid", "n").agg(F.first("s").alias("s"))
     met = sets.select("sid", "n", F.posexplode("s").alias("i", "h")).withColumn("few", F.count("*").over(W.partitionBy("h"))).filter("few > 1").withColumn("few", F.col("few") <= FEW)
-    own = W.partitionBy("sid")  # at most a fifth of a text's shingles
-    more = F.when(F.col("few"), F.count(F.when(~F.col("few"), 1)).over(own)).otherwise(F.count(F.when(F.col("few"), 1)).over(own))
-    met = materialise(met.withColumn("o", more).select("h", "sid", "n", "i", "o", "few"), "set-buckets")  # o: buckets of the other kind
+    met = materialise(met.select("h", "sid", "n", "i", "few"), "set-buckets")
     full = _whole(docs, rows, met.select("sid").distinct(), shingle)
     sizes = (F.least("n", "m") * q) >= (F.greatest("n", "m") * p)
     # the first shingle in common is i-th in one and j-th in the other, and all others lie behind it
     behind = F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) * (p + q) >= (F.col("n") + F.col("m")) * p
-    rest = F.greatest(*[F.ceil(F.col(c) * p / q) - 1 for c in "nm"]) + F.least("o", "u")
-
     def pairs_of(at: DataFrame, other: DataFrame) -> DataFrame:
-        other = other.select("h", F.col("sid").alias("b"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("o").alias("u"), F.col("r").alias("z"))
+        names = {"sid": "b", "n": "m", "i": "j", "r": "z"}
+        other = other.select("h", *[F.col(k).alias(v) for k, v in names.items()])
         return at.join(other, "h").filter("r <> z and sid <> b").filter(sizes & behind)
 
-    def verified(pairs: DataFrame, all_shared: bool = True) -> DataFrame:
-        some = pairs.groupBy(F.greatest("sid", "b").alias("a"), F.least("sid", "b").alias("b"), F.greatest("n", "m").alias("n"), F.least("n", "m").alias("m"), F.greatest("o", "u").alias("o"), F.least("o", "u").alias("u")).agg(F.count("*").alias("c"))
-        enough = (F.col("c") + rest) * (p + q) >= (F.col("n") + F.col("m")) * p if all_shared else F.lit(True)
-        some = materialise(some.filter(enough).select("a", "b"), "set-pairs")
+    def verified(pairs: DataFrame) -> DataFrame:
+        some = materialise(pairs.select(F.greatest("sid", "b").alias("a"), F.least("sid", "b").alias("b")).distinct(), "set-pairs")
         got = materialise(_alike(some, full), "set-edges")
         discard(some)
         return got
@@ -361,15 +356,15 @@ def similar(docs: DataFrame, shingle: int = WIDE) -> tuple[DataFrame, DataFrame]
     edges = verified(pairs_of(few, few).filter("sid > b"))
     for turn, centres in enumerate((*CENTRES, 0)):
         root = components(edges).select(F.col("a").alias("sid"), F.col("b").alias("r"))
-        at = many.join(root, "sid", "left").select("h", "sid", "n", "i", "o", F.coalesce("r", "sid").alias("r"))
+        at = many.join(root, "sid", "left").select("h", "sid", "n", "i", F.coalesce("r", "sid").alias("r"))
         split = at.groupBy("h").agg(F.min("r").alias("lo"), F.max("r").alias("hi")).filter("lo < hi").select("h")
         at = materialise(at.join(split, "h"), "set-split")
         if at.isEmpty():
             break
         # first of all those that can be like a set of their size
-        drawn = F.struct((F.col("n") - F.col("i")) * (p + q) < F.col("n") * 2 * p, F.xxhash64("sid", F.pmod(F.xxhash64("h"), F.lit(max(centres, 1))), F.lit(turn)), *[F.col(c) for c in ("sid", "n", "i", "o", "r")])
+        drawn = F.struct((F.col("n") - F.col("i")) * (p + q) < F.col("n") * 2 * p, F.xxhash64("sid", F.pmod(F.xxhash64("h"), F.lit(max(centres, 1))), F.lit(turn)), *[F.col(c) for c in ("sid", "n", "i", "r")])
         pairs = pairs_of(at, at.groupBy("h").agg(F.min(drawn).alias("c")).select("h", "c.*")) if centres else pairs_of(at, at).filter("sid > b")
-        edges = edges.unionByName(verified(pairs, not centres))
+        edges = edges.unionByName(verified(pairs))
         discard(at)
     return rows.select("doc_id", "row", "sid"), components(edges).select(F.col("a").alias("sid"), F.col("b").alias("root"))
 
