@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from tarnwell.functions.checks import LIMIT, SECRETS
 from tarnwell.functions.text import let
 
-#: name, pattern, replacement
+#: fixed values: name, pattern, replacement
 COMMON = [
     ("email", r"[A-Za-z0-9._%+\-]{1,64}@[A-Za-z0-9.\-]{1,253}\.[A-Za-z]{2,24}", "⟨email⟩"),
-    ("usPhone", r"\(?\d{3}\)?[\s.\-]?\d{3}[\s.\-]?\d{4}", "⟨phone⟩"),
-    ("bearerToken", r"(?i)bearer\s{1,8}[A-Za-z0-9._\-]{16,512}", "Bearer ⟨token⟩"),
-    ("awsAccessKey", r"AKIA[0-9A-Z]{16}", "⟨aws-key⟩"),
+    ("us-phone", r"\(?\d{3}\)?[\s.\-]?\d{3}[\s.\-]?\d{4}", "⟨phone⟩"),
+    ("bearer-token", r"(?i)bearer\s{1,8}[A-Za-z0-9._\-]{16,512}", "Bearer ⟨token⟩"),
+    ("aws-access-key", r"AKIA[0-9A-Z]{16}", "⟨aws-key⟩"),
 ]
 FROM_SECRETS = [(f"secret-{i}", p, "⟨secret⟩") for i, p in SECRETS]
 

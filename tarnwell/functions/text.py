@@ -67,7 +67,7 @@ def token_estimate(c: Column) -> Column:
 
 def truncate_utf8(c: Column, limit: int) -> Column:
     """The longest prefix of whole characters within `limit` bytes."""
-    chars = F.split(c, "")
+    chars = F.split(F.left(c, F.lit(limit)), "")  # a character takes a byte at least
     fits = F.aggregate(
         chars,
         F.struct(F.lit(0).alias("bytes"), F.lit(0).alias("chars")),

@@ -93,10 +93,11 @@ def archived_rounds(messages: DataFrame, ledger: DataFrame | None = None, thread
 # --- a text index held as a table of (item, text)
 
 
-def index_upsert(index: DataFrame, new: DataFrame, item: str) -> DataFrame:
-    """Items with the new ones in place of those with their id; of repeated new ids one holds, the largest text."""
+def index_upsert(index: DataFrame, new: DataFrame, item: str, order: str | None = None) -> DataFrame:
+    """Items with the new ones in place of those with their id; of repeated new ids the last by `order` holds, without an
+    order the largest text."""
     text = [c for c in index.columns if c != item]
-    one = new.groupBy(item).agg(F.max(F.struct(*text)).alias("_v")).select(item, *[F.col(f"_v.{c}").alias(c) for c in text])
+    one = new.groupBy(item).agg(F.max_by(F.struct(*text), F.struct(*[F.col(c) for c in ([order] if order else []) + text])).alias("_v")).select(item, *[F.col(f"_v.{c}").alias(c) for c in text])
     return index.join(one.select(item), item, "left_anti").unionByName(one.select(*index.columns))
 
 

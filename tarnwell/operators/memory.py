@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tarnwell.functions import text as T
 from tarnwell.operators.retrieval import small
+from tarnwell.sources.cuts import written
 
 TRUST = {"userStated": 4, "assistantStated": 3, "toolOutput": 2, "retrievedDocument": 1, "derived": 0}
 SLOT = ["thread_id", "subject_n", "predicate_n"]
@@ -38,17 +39,36 @@ def is_live(now: Column) -> Column:
     return was_valid(now) & F.col("invalidated_at").isNull()
 
 
-def query(facts: DataFrame, now: Column, thread: str | None = None, tags_any: list[str] | None = None, least_confidence: float | None = None, least_origin: str | None = None, as_of: Column | None = None, all_time: bool = False) -> DataFrame:
+#: sort keys of a query's order; equal ones go by id
+ORDERS = {"idAscending": [], "recordedAtDescending": ["recorded_at"], "validFromDescending": ["valid_from"], "salience": ["salience"]}
+
+
+def query(
+    facts: DataFrame, now: Column, thread: str | None = None, tags_any: list[str] | None = None, least_confidence: float | None = None, least_origin: str | None = None,
+    as_of: Column | None = None, all_time: bool = False, slot: tuple[str, str] | None = None, order: str | None = None, limit: int = -1,
+) -> DataFrame:
+    """Facts of a thread, a slot (subject, predicate in any case and spacing), any of some tags, a least confidence and origin, that are
+    live now, were valid at as_of, or all; in one of ORDERS and, if limit is not negative, the first of that order."""
     out = facts
     if thread is not None:
         out = out.filter(F.col("thread_id") == thread)
+    if slot is not None:
+        out = out.filter((T.normalise(F.col("subject")) == T.normalise(F.lit(slot[0]))) & (T.normalise(F.col("predicate")) == T.normalise(F.lit(slot[1]))))
     if tags_any:
         out = out.filter(F.arrays_overlap("tags", F.array(*map(F.lit, tags_any))))
     if least_confidence is not None:
         out = out.filter(F.col("confidence") >= least_confidence)
     if least_origin is not None:
         out = out.filter(trust(F.col("origin")) >= TRUST[least_origin])
-    return out if all_time else out.filter(was_valid(as_of) if as_of is not None else is_live(now))
+    if not all_time:
+        out = out.filter(was_valid(as_of) if as_of is not None else is_live(now))
+    if order is None and limit < 0:
+        return out
+    keys = ORDERS[order or "salience"]
+    if keys == ["salience"]:
+        out = salience(out, now, [])
+    out = out.orderBy(*[F.desc(k) for k in keys], "id")
+    return (out if limit < 0 else out.limit(limit)).select(*facts.columns)
 
 
 def valid_at_instants(facts: DataFrame, instants: DataFrame, at: str, keys: list[str]) -> DataFrame:
@@ -89,14 +109,19 @@ def salience(df: DataFrame, now: Column, group: list[str], relevance: Column | N
     """Adds salience: recency, importance and relevance, each min-max normalised in the group, weighted and summed."""
     hours = F.greatest((F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col("last_accessed_at").cast("timestamp"))) / F.lit(3.6e9), F.lit(0.0))
     out = df.withColumn("_r", F.pow(F.lit(0.5), hours / half_life_hours)).withColumn("_i", F.col("importance").cast("double")).withColumn("_v", relevance if relevance is not None else F.lit(0.0))
-    w = W.partitionBy(*group)
+    names = [f"_g{i}" for i in range(len(group))]
+    ends = out.groupBy(*[F.col(g).alias(n) for g, n in zip(group, names)]).agg(*[f(c).alias(f"{c}{e}") for c in ("_r", "_i", "_v") for e, f in (("l", F.min), ("h", F.max))])
+    met = F.lit(True)  # a group's ends are one row, so no group is gathered
+    for g, n in zip(group, names):
+        met = met & F.col(g).eqNullSafe(F.col(n))
+    out = out.join(ends if group else F.broadcast(ends), met)
 
     def scaled(c: str) -> Column:
-        low, high = F.min(c).over(w), F.max(c).over(w)
+        low, high = F.col(f"{c}l"), F.col(f"{c}h")
         return F.when(high > low, (F.col(c) - low) / (high - low)).otherwise(0.0)
 
     total = sum(x * scaled(c) for x, c in zip(weights, ("_r", "_i", "_v")))
-    return out.withColumn("salience", F.round(total, 9)).drop("_r", "_i", "_v")
+    return out.select(*[c for c in df.columns if c != "salience"], F.round(total, 9).alias("salience"))
 
 
 # --- reconciliation
@@ -171,25 +196,30 @@ def apply_decisions(facts: DataFrame, candidates: DataFrame, decisions: DataFram
     return old.select(*[changed.get(c, F.col(c)).cast(facts.schema[c].dataType).alias(c) for c in facts.columns]).unionByName(fresh)
 
 
+def _followed(links: DataFrame, seed: str) -> DataFrame:
+    """id, step: what is reached from a seed by links (id, to), one from each id, by pointers that double in length."""
+    links = written(links.filter("to is not null"), "links")
+    found = written(links.sparkSession.createDataFrame([(seed, 0)], "id string, step long"), "reached")
+    size, jump = 1, 1
+    while True:
+        more = found.join(links, "id").select(F.col("to").alias("id"), (F.col("step") + jump).alias("step"))
+        found = written(found.unionByName(more).groupBy("id").agg(F.min("step").alias("step")), "reached")  # a ring comes back to known ids
+        now = found.count()
+        if now == size:
+            return found
+        size, jump = now, 2 * jump
+        links = written(links.join(links.select(F.col("id").alias("to"), F.col("to").alias("far")), "to").select("id", F.col("far").alias("to")), "links")
+
+
 def chain(facts: DataFrame, seed: str) -> DataFrame:
-    """id, step: what a fact replaced (negative steps) and what replaced it, through the smallest id at each fork."""
-    spark = facts.sparkSession
-    facts.select("id", "supersedes").createOrReplaceTempView("_chain_links")
-    return spark.sql(
-        """
-        with recursive up(id, step, seen) as (
-          select id, 0, array(id) from _chain_links where id = :seed
-          union all
-          select p.id, u.step - 1, array_append(u.seen, p.id) from up u join _chain_links c on c.id = u.id join _chain_links p on p.id = c.supersedes
-          where not array_contains(u.seen, p.id)),
-        child as (select supersedes as parent, min(id) as id from _chain_links where supersedes is not null group by supersedes),
-        down(id, step, seen) as (
-          select id, 0, array(id) from _chain_links where id = :seed
-          union all
-          select c.id, d.step + 1, array_append(d.seen, c.id) from down d join child c on c.parent = d.id where not array_contains(d.seen, c.id))
-        select id, step from up union select id, step from down""",
-        args={"seed": seed},
-    )
+    """id, step: what a fact replaced (negative steps) and what replaced it, through the smallest id at each fork, of any
+    length; a ring is followed once."""
+    own = facts.select(F.col("id").cast("string").alias("id"), F.col("supersedes").cast("string").alias("to"))
+    seeds = own.filter(F.col("id") == seed).select("id").distinct()
+    known = own.groupBy("id").agg(F.min("to").alias("to")).join(own.select(F.col("id").alias("to")).distinct(), "to", "left_semi")
+    after = own.filter("to is not null").groupBy("to").agg(F.min("id").alias("id")).select(F.col("to").alias("id"), F.col("id").alias("to"))
+    steps = _followed(known, seed).select("id", (-F.col("step")).cast("int").alias("step")).union(_followed(after, seed).select("id", F.col("step").cast("int")))
+    return steps.distinct().join(F.broadcast(seeds.select(F.lit(1).alias("_one"))), F.lit(True)).drop("_one")
 
 
 def sweep(facts: DataFrame, now: Column, ttl_days: dict[str, float] | None = None, default_ttl: float | None = None, idle_days: float | None = 30.0, half_life_days: float | None = None, least: float = 0.2, live_cap: int | None = None) -> DataFrame:

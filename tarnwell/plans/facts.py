@@ -51,6 +51,42 @@ def facts_live(s, d):
     return M.query(_facts(s, d), now(), least_confidence=0.6, least_origin="toolOutput").select("id", "thread_id", "predicate", "text")
 
 
+_PICKED = "select id, row_number() over (order by {0}) as place from facts where predicate = 'click' and valid_from <= timestamp '2024-01-20' and (valid_until is null or valid_until > timestamp '2024-01-20') and (expires_at is null or expires_at > timestamp '2024-01-20')"
+
+
+def _picked(s, d, order):
+    at = F.lit("2024-01-20").cast("timestamp_ntz")
+    got = M.query(_facts(s, d), now(), as_of=at, slot=("User ", "CLICK"), order=order, limit=25)
+    keys = [F.desc(k) for k in M.ORDERS[order]]
+    return got.select("id", F.row_number().over(W.orderBy(*keys, "id")).alias("place"))  # 25 rows
+
+
+@query(f"with {_FACTS} select * from ({_PICKED.format('id')}) where place <= 25")
+def facts_by_id(s, d):
+    return _picked(s, d, "idAscending")
+
+
+@query(f"with {_FACTS} select * from ({_PICKED.format('recorded_at desc, id')}) where place <= 25")
+def facts_by_record(s, d):
+    return _picked(s, d, "recordedAtDescending")
+
+
+@query(f"with {_FACTS} select * from ({_PICKED.format('valid_from desc, id')}) where place <= 25")
+def facts_by_validity(s, d):
+    return _picked(s, d, "validFromDescending")
+
+
+@query(
+    f"""with {_FACTS}, r as (select id, pow(0.5, greatest(epoch_us({_NOW}) - epoch_us(last_accessed_at), 0) / 3.6e9 / 72.0) as r, importance::double as i from facts where thread_id = '1'),
+e as (select min(r) as rl, max(r) as rh, min(i) as il, max(i) as ih from r),
+x as (select id, round(case when rh > rl then (r - rl) / (rh - rl) else 0 end + case when ih > il then (i - il) / (ih - il) else 0 end, 9) as salience from r, e),
+y as (select id, row_number() over (order by salience desc, id) as place from x)
+select id from y where place <= 40"""
+)
+def facts_by_salience(s, d):
+    return M.query(_facts(s, d), now(), thread="1", all_time=True, order="salience", limit=40).select("id")
+
+
 @query(f"with {_FACTS}, i as (select thread_id, unnest(generate_series(timestamp '2024-01-05', timestamp '2024-01-25', interval 5 day)) as instant from (select distinct thread_id from facts)) select i.thread_id, instant, count(*) as facts, min(id) as first_id from i join facts f on f.thread_id = i.thread_id and valid_from <= instant and (valid_until is null or valid_until > instant) and (expires_at is null or expires_at > instant) group by all")
 def facts_as_of(s, d):
     """Facts valid at five instants for every thread: an interval join inside the thread."""
@@ -165,6 +201,13 @@ def supersession_chain(s, d):
     return M.chain(_facts(s, d).select("id", "supersedes"), "000000000100")
 
 
+@query("with n as (select lpad(event_id::varchar, 12, '0') as id, row_number() over (order by event_id) - 1 as step from events where event_id < 3000) select id, (step - (select step from n where id = '000000000100'))::int as step from n")
+def long_chain(s, d):
+    """A chain of up to 3000 facts, each in place of the one before."""
+    e = table(s, d, "events").filter("event_id < 3000").select(F.lpad(F.col("event_id").cast("string"), 12, "0").alias("id"))
+    return M.chain(e.select("id", F.lag("id").over(W.orderBy("id")).alias("supersedes")), "000000000100")
+
+
 @query(f"with {_FACTS} select thread_id, count(*) as facts from facts where not (list_contains(tags, 'ephemeral') and recorded_at < timestamp '2024-01-15') group by thread_id")
 def purge_exact(s, d):
     return M.purge(_facts(s, d), tags_any=["ephemeral"], older_than=F.lit("2024-01-15").cast("timestamp_ntz")).groupBy("thread_id").agg(F.count("*").alias("facts"))

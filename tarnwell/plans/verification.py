@@ -52,7 +52,7 @@ def redact_documents(s, d):
 @query(
     "with a as (select doc_id, text as t0, regexp_replace(text, '%s', '%s', 'g') as t1 from documents), b as (select *, regexp_replace(t1, '%s', '%s', 'g') as t2 from a), c as (select *, regexp_replace(t2, '%s', '%s', 'g') as t3 from b), e as (select *, regexp_replace(t3, '%s', '%s', 'g') as t4 from c)"
     % tuple(v for _, p, r in X.COMMON for v in (p, r))
-    + " select doc_id, array_to_string(list_filter([case when t1 <> t0 then 'email' end, case when t2 <> t1 then 'usPhone' end, case when t3 <> t2 then 'bearerToken' end, case when t4 <> t3 then 'awsAccessKey' end], lambda x: x is not null), ',') as applied from e"
+    + " select doc_id, array_to_string(list_filter([case when t1 <> t0 then 'email' end, case when t2 <> t1 then 'us-phone' end, case when t3 <> t2 then 'bearer-token' end, case when t4 <> t3 then 'aws-access-key' end], lambda x: x is not null), ',') as applied from e"
 )
 def redactions_applied(s, d):
     return _docs(s, d).select("doc_id", F.array_join(X.redact_with_names(F.col("text"))["applied"], ",").alias("applied"))
@@ -154,13 +154,26 @@ def url_safety(s, d):
 
 
 @query(
-    "with p as (select p_partkey, ['/src/', '/home/.ssh/', '/a/.git/', '/x/secrets/', '/k/'][p_partkey % 5 + 1] || replace(p_name, ' ', '_') || ['.pem', '.txt', '/.env.local', '.tfstate'][p_partkey % 4 + 1] as path from part) select p_partkey, case "
-    + " ".join(f"when regexp_matches(path, '(?i){p}') then '{w}'" for p, w in C.PATHS)
-    + " end as reason from p"
+    r"""with p as (
+  select p_partkey, ['/src/', '/home/.ssh/', '/a/.git/', '/x/secrets/', '/k/', '/a/%2egit/', '/100%/'][p_partkey % 7 + 1] || replace(p_name, ' ', '_')
+    || ['.pem', '.txt', '/.env.local', '.tfstate', '%2Epfx', '/ID_RSA', '/.net%72c', '/x+y%zz'][p_partkey % 8 + 1] as path
+  from part),
+d as (select p_partkey, case when regexp_matches(path, '%([^0-9A-Fa-f]|.[^0-9A-Fa-f]|.?$)') then path else url_decode(path) end as path from p)
+select p_partkey, case
+  when regexp_matches(path, '(?i)(^|/)\.git(/|$)') then '(^|/)\.git(/|$)'
+  when regexp_matches(path, '(?i)(^|/)\.env(\..*)?$') then '(^|/)\.env(\..*)?$'
+  when regexp_matches(path, '(?i)(^|/)id_rsa(\..*)?$') then '(^|/)id_rsa(\..*)?$'
+  when regexp_matches(path, '(?i)(^|/)\.ssh(/|$)') then '(^|/)\.ssh(/|$)'
+  when regexp_matches(path, '(?i)\.tfstate(\.[^/]*)?$') then '\.tfstate(\.[^/]*)?$'
+  when regexp_matches(path, '(?i)(^|/)\.netrc$') then '(^|/)\.netrc$'
+  when regexp_matches(path, '(?i)(^|/)secrets?(/|$)') then '(^|/)secrets?(/|$)'
+  when regexp_matches(path, '(?i)\.pem$') then '\.pem$'
+  when regexp_matches(path, '(?i)\.pfx$') then '\.pfx$' end as reason
+from d"""
 )
 def path_denylist(s, d):
     at = lambda xs, n: F.element_at(F.array(*map(F.lit, xs)), (F.col("p_partkey") % n + 1).cast("int"))
-    path = F.concat(at(["/src/", "/home/.ssh/", "/a/.git/", "/x/secrets/", "/k/"], 5), F.replace("p_name", F.lit(" "), F.lit("_")), at([".pem", ".txt", "/.env.local", ".tfstate"], 4))
+    path = F.concat(at(["/src/", "/home/.ssh/", "/a/.git/", "/x/secrets/", "/k/", "/a/%2egit/", "/100%/"], 7), F.replace("p_name", F.lit(" "), F.lit("_")), at([".pem", ".txt", "/.env.local", ".tfstate", "%2Epfx", "/ID_RSA", "/.net%72c", "/x+y%zz"], 8))
     return table(s, d, "part").select("p_partkey", path.alias("path")).select("p_partkey", C.denied_path(F.col("path")).alias("reason"))
 
 

@@ -15,8 +15,13 @@ def _own_folder() -> str:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a temporary one only where the session names none, as in tests."""
-    return (spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or _own_folder()).rstrip("/")
+    """The session's checkpoint folder. Without one a local master, as in tests, gets a temporary folder; a cluster's
+    executors would not see it, so there it is an error."""
+    sc = spark.sparkContext
+    base = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not base and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (base or _own_folder()).rstrip("/")
 
 
 def new_folder(spark: SparkSession, label: str) -> str:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -90,16 +94,38 @@ def write_trace(events: DataFrame, path: str, rows_a_file: int = 100_000) -> Non
 
 
 def redact_trace(text: Column, rules) -> Column:
-    """A trace line with every string but those of the kept keys redacted; a line that does not parse says so instead."""
-    pairs = F.from_json(text, "map<string,string>")
-
-    def scrub(c: Column) -> Column:
-        for _, pattern, put in rules:
-            c = F.regexp_replace(c, pattern, put)
-        return c
-
-    clean = F.transform_values(pairs, lambda k, v: F.when(k.isin(KEPT_KEYS), v).otherwise(scrub(v)))
-    return F.when(F.try_parse_json(text).isNull() | pairs.isNull(), F.lit('{"type":"trace.redaction_failed"}')).otherwise(F.to_json(clean))
+    """A trace line with every string redacted at any depth but those of the kept keys; numbers, booleans and nulls stay
+    what they are. Inside `payload` keys are redacted too and none is kept. A line that does not parse says so instead."""
+    compiled = [(re.compile(pattern), put) for _, pattern, put in rules]
+
+    def clean(value: str) -> str:
+        for pattern, put in compiled:
+            value = pattern.sub(lambda _, put=put: put, value)
+        return value
+
+    def scrub(value, free: bool):
+        if isinstance(value, str):
+            return clean(value)
+        if isinstance(value, list):
+            return [scrub(v, free) for v in value]
+        if isinstance(value, dict):
+            return {clean(k) if free else k: v if not free and k in KEPT_KEYS else scrub(v, free or k == "payload") for k, v in value.items()}
+        return value
+
+    def line(value: str | None) -> str | None:
+        try:
+            read = json.loads(value)
+            if isinstance(read, dict):
+                return json.dumps(scrub(read, False), ensure_ascii=False, separators=(",", ":"))
+        except (ValueError, TypeError, RecursionError):
+            pass
+        return '{"type":"trace.redaction_failed"}'
+
+    @F.pandas_udf("string")
+    def redacted(values: pd.Series) -> pd.Series:
+        return values.map(line)
+
+    return redacted(text)
 
 
 def masked_columns(events: DataFrame, level: str, private: tuple[str, ...] = ("message", "reason", "query")) -> DataFrame:

@@ -191,3 +191,17 @@ def test_oversize_text_is_redacted_whole(spark):
     from tarnwell.functions import redaction
 
     assert value(spark, redaction.redact(F.lit("mail a@b.org"), limit=5)).startswith("⟨redacted")
+
+
+def test_encoded_and_decomposed_paths(spark):
+    paths = ["%2egit/config", "a/.s%73h/x", "a%zz", "plain.txt", "x/SECRET/y", "100%25/k.pem", None, "cafe\u0301/.env"]
+    got = [r.p for r in spark.createDataFrame([(p,) for p in paths], "p string").select(C.denied_path(F.col("p")).alias("p")).collect()]
+    assert [g is not None for g in got] == [True, True, False, False, True, True, False, True]
+
+
+def test_chains_of_any_length_and_rings(spark):
+    line = spark.createDataFrame([(f"{i:05d}", f"{i - 1:05d}" if i else None) for i in range(250)], "id string, supersedes string")
+    assert {(r.id, r.step) for r in M.chain(line, "00100").collect()} == {(f"{i:05d}", i - 100) for i in range(250)}
+    assert M.chain(line, "nothing").collect() == []
+    ring = spark.createDataFrame([("a", "c"), ("b", "a"), ("c", "b")], "id string, supersedes string")
+    assert {(r.id, r.step) for r in M.chain(ring, "a").collect()} == {("a", 0), ("c", -1), ("b", -2), ("b", 1), ("c", 2)}

@@ -39,6 +39,14 @@ def test_trace_redaction(spark):
     assert json.loads(got[1].v)["type"] == "trace.redaction_failed"
 
 
+def test_redacted_traces_keep_types(spark):
+    line = '{"type":"a@b.co","run":"r","n":3,"x":1.5,"ok":true,"none":null,"deep":{"list":["c@d.org",7,{"mode":"e@f.org","text":"e@f.org"}]},"payload":{"g@h.org":"i@j.org","type":"k@l.org"}}'
+    got = spark.createDataFrame([(line,), (None,), ("[1]",)], "v string").select(J.redact_trace(F.col("v"), redaction.COMMON).alias("v")).collect()
+    mask = "⟨email⟩"
+    assert json.loads(got[0].v) == {"type": "a@b.co", "run": "r", "n": 3, "x": 1.5, "ok": True, "none": None, "deep": {"list": [mask, 7, {"mode": "e@f.org", "text": mask}]}, "payload": {mask: mask, "type": mask}}
+    assert all(json.loads(g.v)["type"] == "trace.redaction_failed" for g in got[1:])
+
+
 def test_snapshots(spark, tmp_path):
     path = str(tmp_path / "s")
     assert SN.load(spark, path, "a int").count() == 0
