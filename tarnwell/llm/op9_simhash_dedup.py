@@ -341,6 +341,7 @@ def similar(docs: DataFrame, shingle: int = WIDE) -> tuple[DataFrame, DataFrame]
     sizes = (F.least("n", "m") * q) >= (F.greatest("n", "m") * p)
     # the first shingle in common is i-th in one and j-th in the other, and all others lie behind it
     behind = F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) * (p + q) >= (F.col("n") + F.col("m")) * p
+
     def pairs_of(at: DataFrame, other: DataFrame) -> DataFrame:
         names = {"sid": "b", "n": "m", "i": "j", "r": "z"}
         other = other.select("h", *[F.col(k).alias(v) for k, v in names.items()])
