@@ -53,13 +53,13 @@ def discard(*tables: DataFrame) -> None:
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def laid_out(df: DataFrame, key: str, label: str) -> DataFrame:
-    """As materialise, in as many buckets of key as a shuffle has partitions: joins and groups by key read it without
-    another shuffle."""
+def laid_out(df: DataFrame, key: str, label: str, parts: int | None = None) -> DataFrame:
+    """As materialise, in `parts` buckets of key, each sorted by it; if there are as many as a shuffle has partitions, which
+    is the default, joins and groups by key read it without another shuffle."""
     spark = df.sparkSession
-    parts, name = int(spark.conf.get("spark.sql.shuffle.partitions")), f"spark_catalog.default.tarnwell_{uuid.uuid4().hex}"
+    parts, name = parts or int(spark.conf.get("spark.sql.shuffle.partitions")), f"spark_catalog.default.tarnwell_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.repartition(parts, key).write.format("parquet").option("path", path).bucketBy(parts, key).saveAsTable(name)
+    df.repartition(parts, key).write.format("parquet").option("path", path).bucketBy(parts, key).sortBy(key).saveAsTable(name)
     out = spark.table(name)
     spark.sql(f"drop table {name}")  # its files stay where they are, and the plan knows them
     out.__dict__["_written"] = path

@@ -1,137 +1,204 @@
 """Documents scored by masked pseudo-likelihood.
 
-A network predicts each word from the two words on either side: position-wise embeddings are summed, passed through
-tanh, and a softmax gives the word's frequency class; within its class a word has its share of the class's counts.
-A document's score is the sum of its words' conditional log-probabilities, and that sum over its words.
-
-Word counts are taken over all documents and only their `VOCABULARY` largest reach the driver. Training runs where the
-data lies: in each of `ROUNDS` rounds every task trains a copy of the network on every `STRIDE`-th word of each of its
-documents, from the round's number on, so that `STRIDE` rounds train on every word, and the copies are averaged in fixed point, slice by slice, by two shuffles whose groups are streamed and
-never held. Only the averaged network, whose size is fixed by the parameters, comes to the driver.
-
-Defined cases: null and empty texts have no words, a log-likelihood of 0 and a null mean; words that are not in the
-vocabulary share `OTHERS` context entries and one class, in which each distinct word is equally likely; repeated rows
-get equal scores; null doc_ids are kept; an empty table gives an empty result; other columns are ignored.
+A network predicts each word from the two words on either side: position-wise embeddings are summed and passed through
+tanh; one softmax over the hidden values gives the word's frequency class, and another, with weights of its own for each
+word, the word in its class. A document's score is the sum of its words' conditional log-probabilities, and that sum over
+its words.
+
+Word counts are taken over all documents. The `VOCABULARY` most frequent words are the network's own; the others, however
+many, lie in a table of hash buckets that grows with the number of distinct words, to `TAIL` buckets. A bucket's level of
+frequency is its class, and in its class a word has its share of the counts.
+
+Training sees every word: the texts are laid out in units by a hash of the row, a number of them that only the length of
+all texts sets; in each of `ROUNDS` rounds every unit trains a copy of the network on every `STRIDE`-th word, from the
+round's number on, and the copies are averaged in fixed point, slice by slice, by two shuffles whose groups are streamed
+and never held. So the network, and every score, is the same however the table is partitioned. Only the averaged network
+and the table of buckets, whose sizes are bounded, come to the driver.
+
+Defined cases: null and empty texts have no words, a log-likelihood of 0 and a null mean; repeated rows get equal scores;
+null doc_ids are kept; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnwell.llm._common import binary, chunks, materialise, table
+from tarnwell.llm._common import binary, chunks, discard, laid_out, materialise, table
+from tarnwell.llm.op3_substring_dedup import word_hashes
 
 NAME = "op10_masked_lm"
 VOCABULARY = 4096
-OTHERS = 64
 CLASSES = 48
+TAIL = 1 << 21  # buckets of other words, at most
+LEVELS = 8  # classes of other words
+OTHERS = 512  # their entries as context
 WIDTH = 16
 ROUNDS = 2
 STRIDE = 2
 RATE = 0.2
-BATCH = 1024
+BATCH = 8192
+UNIT = 32 << 20  # bytes of text
+UNITS = (8, 1 << 17)
 NEAR = (-2, -1, 1, 2)
 SLICE = 8192
 FIXED = 1 << 24
 CHUNK = 1 << 20
 
 
-def counts(docs: DataFrame) -> DataFrame:
-    """w (bytes of a word, A-Z lower-cased), n over all documents."""
+def words_of(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Ranges of texts, 64-bit hashes of their words (A-Z lower-cased) and the words' text numbers in the range."""
+    for a, b in chunks(pc.fill_null(pc.binary_length(texts), 0).to_pylist(), CHUNK):
+        yield a, b, *word_hashes([(t or b"").lower() for t in binary(texts.slice(a, b - a))])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
 
-        def out() -> pa.RecordBatch:
-            rows = pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["w", "n"])
-            held.clear()
-            return rows
+def counts(docs: DataFrame) -> DataFrame:
+    """h (a word's hash), n over all documents."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text in binary(batch.column(0)):
-                held.update((text or b"").lower().split())
-                if len(held) > 200_000:
-                    yield out()
-        yield out()
+            held = [np.zeros(0, np.uint64), *(h for _, _, h, _ in words_of(batch.column(0)))]
+            h, n = np.unique(np.concatenate(held), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "n"])
 
-    return docs.select("text").mapInArrow(run, "w binary, n long").groupBy("w").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
 
-def vocabulary(docs: DataFrame, size: int = VOCABULARY, classes: int = CLASSES) -> dict:
-    """Word numbers, each number's class and its log-probability in the class; the last class holds all other words."""
+def vocabulary(docs: DataFrame, size: int = VOCABULARY, classes: int = CLASSES, tail: int = TAIL) -> dict:
+    """The network's words; for each number its class and its log-share of the class; each class's mass."""
     counted = materialise(counts(docs), "word-counts")
     total, distinct = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    top = counted.orderBy(F.col("n").desc(), "w").limit(size).collect()
+    ranked = counted.orderBy(F.col("n").desc(), "h").limit(size)
+    top = ranked.collect()
+    buckets = min(tail, 1 << max(int(2 * (distinct - len(top))).bit_length(), 4))
+    rest = counted.join(F.broadcast(ranked.select("h")), "h", "left_anti").groupBy(F.col("h").bitwiseAND(F.lit(buckets - 1)).alias("b"))
+    held = rest.agg(F.sum("n").alias("n"), F.count("*").alias("k")).toPandas()  # at most `tail` rows
+    discard(counted)
     n = np.array([r.n for r in top], float)
     of = np.minimum(np.floor((np.cumsum(n) - n) / max(n.sum(), 1) * classes), classes - 1).astype(np.int64)
-    mass = np.bincount(of, n, classes + 1)
-    inside = np.log(n / mass[of]) if len(n) else np.zeros(0)
-    mass[classes] = total - n.sum()
-    return {"number": {bytes(r.w): i for i, r in enumerate(top)}, "class": np.append(of, classes), "inside": np.append(inside, -np.log(max(distinct - len(top), 1))), "mass": mass, "size": len(top)}
+    each, number = np.ones(buckets), held.b.to_numpy(np.int64)
+    each[number] = held.n.to_numpy(float) / held.k.to_numpy(float)
+    level = classes + np.minimum(np.log2(each), LEVELS - 1).astype(np.int64)
+    mass = np.bincount(of, n, classes + LEVELS) + np.bincount(level[number], held.n.to_numpy(float), classes + LEVELS)
+    of, each = np.concatenate([of, level]), np.concatenate([n, each])
+    inside = np.log(each / np.maximum(mass[of], each)).astype(np.float32)
+    known = np.array([r.h for r in top], np.int64).view(np.uint64)
+    rank = np.argsort(known)
+    return {"known": known[rank], "rank": rank, "buckets": buckets, "class": of.astype(np.int8), "inside": inside, "mass": mass, "size": len(top)}
+
+
+def numbered(hashes: np.ndarray, vocab: dict) -> np.ndarray:
+    """Number of each word: its rank in the vocabulary, or behind that its bucket."""
+    other = vocab["size"] + (hashes & np.uint64(vocab["buckets"] - 1)).astype(np.int64)
+    if not vocab["size"]:
+        return other
+    at = np.minimum(np.searchsorted(vocab["known"], hashes), vocab["size"] - 1)
+    return np.where(vocab["known"][at] == hashes, vocab["rank"][at], other)
 
 
-def numbered(text: bytes | None, vocab: dict) -> tuple[np.ndarray, np.ndarray]:
-    """Context numbers and word numbers (all words outside the vocabulary are one) of a text's words."""
-    number, size = vocab["number"], vocab["size"]
-    words = (text or b"").lower().split()
-    ids = np.fromiter((number[w] if w in number else size + zlib.crc32(w) % OTHERS for w in words), np.int64, len(words))
-    return ids, np.minimum(ids, size)
+PARTS = ("e", "w", "b", "u")
 
 
 def start(vocab: dict, seed: int = 3) -> dict[str, np.ndarray]:
-    rng, k = np.random.default_rng(seed), CLASSES + 1
+    """Embeddings e of each place around a word, weights w and b of the classes, u of the words in their class."""
+    rng, k = np.random.default_rng(seed), len(vocab["mass"])
     rows = vocab["size"] + OTHERS + 1  # the last stands for a text's edges
-    return {"e": rng.normal(0, 0.1, (len(NEAR), rows, WIDTH)).astype(np.float32), "w": rng.normal(0, 0.1, (WIDTH, k)).astype(np.float32), "b": np.log((vocab["mass"] + 1) / (vocab["mass"] + 1).sum()).astype(np.float32)}
+    mass = np.log((vocab["mass"] + 1) / (vocab["mass"] + 1).sum())
+    net = {"e": rng.normal(0, 0.1, (len(NEAR), rows, WIDTH)), "w": rng.normal(0, 0.1, (WIDTH, k)), "b": mass, "u": np.zeros((vocab["size"], WIDTH))}
+    return {k: v.astype(np.float32) for k, v in net.items()}
 
 
-def contexts(texts: list[np.ndarray], edge: int) -> np.ndarray:
-    """Numbers around each word [words, 4]; texts are kept apart by edges."""
-    gap = np.full(2, edge)
-    line = np.concatenate([x for t in texts for x in (gap, t)] + [gap])
-    inner = np.concatenate([np.ones(len(t), bool) if k else np.zeros(2, bool) for t in texts for k in (0, 1)] + [np.zeros(2, bool)])
-    at = np.flatnonzero(inner)
+def contexts(ids: np.ndarray, doc: np.ndarray, size: int) -> np.ndarray:
+    """Entries around each word [words, 4] of texts with numbers doc; texts are kept apart by edges."""
+    line = np.full(len(ids) + 2 * (int(doc[-1]) + 2 if len(doc) else 1), size + OTHERS)
+    at = np.arange(len(ids)) + 2 * (doc + 1)
+    line[at] = np.where(ids < size, ids, size + (ids - size) % OTHERS)
     return np.stack([line[at + d] for d in NEAR], 1)
 
 
-def forward(net: dict, around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hidden values and class log-probabilities."""
-    h = np.tanh(sum(net["e"][j][around[:, j]] for j in range(len(NEAR))))
-    z = h @ net["w"] + net["b"]
-    z -= z.max(1, keepdims=True)
-    return h, z - np.log(np.exp(z).sum(1, keepdims=True))
+def _exp(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """exp(z), scaled so that each column's largest is 1, and the logarithm of the column sums of exp(z). Overwrites z."""
+    top = z.max(0)
+    z -= top
+    np.exp(z, out=z)
+    return z, np.log(z.sum(0)) + top
+
+
+def hidden(net: dict, around: np.ndarray) -> np.ndarray:
+    """Hidden values [width, words]."""
+    h = net["e"][0][around[:, 0]]
+    for j in range(1, len(NEAR)):
+        h += net["e"][j][around[:, j]]
+    return np.tanh(np.ascontiguousarray(h.T))
+
+
+def _inner(vocab: dict, goal: np.ndarray) -> Iterator[tuple[np.ndarray, int, int]]:
+    """Places of the words of each class of the network's own words, and where that class begins and ends."""
+    own = np.flatnonzero(goal < vocab["size"])
+    order = own[np.argsort(vocab["class"][goal[own]], kind="stable")]
+    of = vocab["class"][goal[order]]
+    cuts = np.flatnonzero(of[1:] != of[:-1]) + 1
+    first = vocab["class"][: vocab["size"]]
+    for rows in np.split(order, cuts) if len(order) else []:
+        c = vocab["class"][goal[rows[0]]]
+        yield rows, *np.searchsorted(first, [c, c + 1])
+
+
+def log_likelihoods(net: dict, vocab: dict, around: np.ndarray, goal: np.ndarray) -> np.ndarray:
+    """Conditional log-probability of each word."""
+    h, of = hidden(net, around), vocab["class"][goal]
+    z = net["w"].T @ h + net["b"][:, None]
+    out = z[of, np.arange(len(goal))]
+    out -= _exp(z)[1]
+    for rows, a, b in _inner(vocab, goal):
+        z = net["u"][a:b] @ h[:, rows] + vocab["inside"][a:b, None]
+        out[rows] += z[goal[rows] - a, np.arange(len(rows))]
+        out[rows] -= _exp(z)[1]
+    other = goal >= vocab["size"]
+    out[other] += vocab["inside"][goal[other]]
+    return out
 
 
-def learn(net: dict, seen: dict, around: np.ndarray, goal: np.ndarray) -> None:
+def learn(net: dict, seen: dict, vocab: dict, around: np.ndarray, goal: np.ndarray) -> None:
     """One Adagrad step on the mean log-loss of a batch."""
-    h, logp = forward(net, around)
-    g = np.exp(logp)
-    g[np.arange(len(goal)), goal] -= 1
-    back = (g @ net["w"].T) * (1 - h * h)
-    for name, grad in (("w", h.T @ g / len(goal)), ("b", g.mean(0))):
-        seen[name] += grad * grad
-        net[name] -= RATE * grad / np.sqrt(seen[name] + 1e-6)
-    back /= np.sqrt(len(goal))
+    n, root = np.float32(len(goal)), np.float32(np.sqrt(len(goal)))
+
+    def off(z: np.ndarray, at: np.ndarray) -> np.ndarray:
+        z, _ = _exp(z)
+        z /= z.sum(0)
+        z[at, np.arange(len(at))] -= 1
+        return z
+
+    h = hidden(net, around)
+    g = off(net["w"].T @ h + net["b"][:, None], vocab["class"][goal])
+    back, grads = net["w"] @ g, {"w": h @ g.T / n, "b": g.mean(1), "u": np.zeros_like(net["u"])}
+    for rows, a, b in _inner(vocab, goal):
+        own = h[:, rows]
+        g = off(net["u"][a:b] @ own + vocab["inside"][a:b, None], goal[rows] - a)
+        grads["u"][a:b] = g @ own.T / root
+        back[:, rows] += net["u"][a:b].T @ g
+    back *= (1 - h * h) / root
+    grads["e"] = np.empty_like(net["e"])
     for j in range(len(NEAR)):
-        rows, of = np.unique(around[:, j], return_inverse=True)
-        order = np.argsort(of, kind="stable")
-        grad = np.add.reduceat(back[order], np.searchsorted(of[order], np.arange(len(rows))), axis=0)
-        seen["e"][j][rows] += grad * grad
-        net["e"][j][rows] -= RATE * grad / np.sqrt(seen["e"][j][rows] + 1e-6)
+        for k in range(WIDTH):
+            grads["e"][j, :, k] = np.bincount(around[:, j], back[k], net["e"].shape[1])
+    for name, grad in grads.items():
+        seen[name] += grad * grad
+        net[name] -= np.float32(RATE) * grad / np.sqrt(seen[name])
 
 
 def _flat(net: dict) -> np.ndarray:
-    return np.concatenate([net[k].ravel() for k in ("e", "w", "b")])
+    return np.concatenate([net[k].ravel() for k in PARTS])
 
 
 def _shaped(flat: np.ndarray, like: dict) -> dict:
     out, at = {}, 0
-    for k in ("e", "w", "b"):
+    for k in PARTS:
         out[k] = flat[at : at + like[k].size].reshape(like[k].shape).astype(np.float32)
         at += like[k].size
     return out
@@ -155,40 +222,48 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def train_round(docs: DataFrame, net: dict, vocab: dict, turn: int, stride: int = STRIDE) -> dict:
-    """The average of the copies that the tasks train from `net`."""
+def units(docs: DataFrame) -> DataFrame:
+    """text, row, laid out in units and in an order that only the rows set."""
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    rows = docs.select("text", F.xxhash64(F.col("doc_id").cast("long"), "text").alias("row")).filter("text is not null")
+    return laid_out(rows, "row", "units", min(max(size // UNIT, UNITS[0]), UNITS[1]))
+
+
+def train_round(texts: DataFrame, net: dict, vocab: dict, turn: int, stride: int = STRIDE) -> dict:
+    """The average of the copies that the units train from `net`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = {k: v.copy() for k, v in net.items()}
         seen = {k: np.full_like(v, 0.1) for k, v in net.items()}
-        edge, steps = vocab["size"] + OTHERS, 0
-        held_x, held_y, n = [], [], 0
+        steps, held_x, held_y, n = 0, [], [], 0
+
+        def step(x: np.ndarray, y: np.ndarray) -> None:
+            nonlocal steps
+            learn(own, seen, vocab, x, y)
+            steps += 1
+
         for batch in batches:
-            texts = binary(batch.column(0))
-            for a, b in chunks([len(t or b"") for t in texts], CHUNK):
-                pairs = [numbered(t, vocab) for t in texts[a:b]]
-                x, y = contexts([p[0] for p in pairs], edge), vocab["class"][np.concatenate([p[1] for p in pairs])]
-                now = np.concatenate([np.arange(len(p[1])) % stride == turn % stride for p in pairs])
-                held_x.append(x[now])
-                held_y.append(y[now])
+            for _, _, hashes, doc in words_of(batch.column(0)):
+                ids = numbered(hashes, vocab)
+                now = (np.arange(len(ids)) - np.searchsorted(doc, doc)) % stride == turn % stride
+                held_x.append(contexts(ids, doc, vocab["size"])[now])
+                held_y.append(ids[now])
                 n += len(held_y[-1])
                 if n >= BATCH:
                     x, y = np.concatenate(held_x), np.concatenate(held_y)
                     for i in range(0, n - BATCH + 1, BATCH):
-                        learn(own, seen, x[i : i + BATCH], y[i : i + BATCH])
-                        steps += 1
+                        step(x[i : i + BATCH], y[i : i + BATCH])
                     done = n // BATCH * BATCH
                     held_x, held_y, n = [x[done:]], [y[done:]], n - done
         if n:
-            learn(own, seen, np.concatenate(held_x), np.concatenate(held_y))
-            steps += 1
+            step(np.concatenate(held_x), np.concatenate(held_y))
         if steps:
             fixed = np.round(_flat(own).astype(np.float64) * FIXED).astype(np.int64)
             parts = [fixed[i : i + SLICE] for i in range(0, len(fixed), SLICE)]
             yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([1] * len(parts), pa.int64()), pa.array([p.tobytes() for p in parts], pa.binary())], names=["slice", "copies", "v"])
 
     kind = "slice int, copies long, v binary"
-    copies = docs.select("text").mapInArrow(run, kind)
+    copies = texts.select("text").mapInArrow(run, kind)
     for keys in (["slice", "salt"], ["slice"]):
         dealt = copies.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(16))) if len(keys) == 2 else copies
         copies = dealt.repartition(*keys).sortWithinPartitions(*keys).select("slice", "copies", "v").mapInArrow(_summed, kind)
@@ -198,44 +273,32 @@ def train_round(docs: DataFrame, net: dict, vocab: dict, turn: int, stride: int
     return _shaped(np.concatenate([np.frombuffer(r.v, np.int64) / (r.copies * float(FIXED)) for r in rows]), net)
 
 
-def score_words(net: dict, vocab: dict, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Words and summed log-probability of each text."""
-    pairs = [numbered(t, vocab) for t in texts]
-    sizes = np.array([len(p[0]) for p in pairs], np.int64)
-    if not sizes.sum():
-        return sizes, np.zeros(len(texts))
-    around, goal = contexts([p[0] for p in pairs], vocab["size"] + OTHERS), np.concatenate([p[1] for p in pairs])
-    out = np.empty(len(goal))
-    for i in range(0, len(goal), 16384):
-        part = goal[i : i + 16384]
-        _, logp = forward(net, around[i : i + 16384])
-        out[i : i + 16384] = logp[np.arange(len(part)), vocab["class"][part]] + vocab["inside"][part]
-    sums = np.concatenate([[0.0], np.cumsum(out)])
-    ends = np.cumsum(sizes)
-    return sizes, sums[ends] - sums[ends - sizes]
-
-
 def scored(docs: DataFrame, net: dict, vocab: dict) -> DataFrame:
     """doc_id, n_words, log_likelihood, mean_log_likelihood for each row of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column(0), binary(batch.column(1))
-            for a, b in chunks([len(t or b"") for t in texts], CHUNK):
-                n, s = score_words(net, vocab, texts[a:b])
-                s = np.round(s, 4)
-                mean = pa.array(np.round(s / np.maximum(n, 1), 6), mask=n == 0)
-                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(n), pa.array(s), mean], names=["doc_id", "n_words", "log_likelihood", "mean_log_likelihood"])
+            for a, b, hashes, doc in words_of(batch.column(1)):
+                goal = numbered(hashes, vocab)
+                around, each = contexts(goal, doc, vocab["size"]), np.empty(len(goal))
+                for i in range(0, len(goal), 16384):
+                    each[i : i + 16384] = log_likelihoods(net, vocab, around[i : i + 16384], goal[i : i + 16384])
+                n = np.bincount(doc, minlength=b - a)
+                s = np.zeros(b - a)
+                s[n > 0] = np.add.reduceat(each, np.flatnonzero(np.diff(doc, prepend=-1))) if len(doc) else 0
+                mean = pa.array(np.round(s / np.maximum(n, 1), 4), mask=n == 0)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n), pa.array(np.round(s, 2)), mean], names=["doc_id", "n_words", "log_likelihood", "mean_log_likelihood"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_words long, log_likelihood double, mean_log_likelihood double")
 
 
 def fit(docs: DataFrame, rounds: int = ROUNDS, stride: int = STRIDE) -> tuple[dict, dict]:
     """The network and its vocabulary."""
-    vocab = vocabulary(docs)
+    vocab, texts = vocabulary(docs), units(docs)
     net = start(vocab)
     for turn in range(rounds):
-        net = train_round(docs, net, vocab, turn, stride)
+        net = train_round(texts, net, vocab, turn, stride)
+    discard(texts)
     return net, vocab
 
 

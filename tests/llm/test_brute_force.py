@@ -231,25 +231,56 @@ def test_targets(spark):
     assert got == pytest.approx(want)
 
 
-def test_pseudo_likelihood_word_by_word(docs, corpus):
-    net, vocab = op10_masked_lm.fit(docs, rounds=1, stride=1)
+def test_pseudo_likelihood_word_by_word(docs, corpus, monkeypatch):
+    monkeypatch.setattr(op10_masked_lm, "VOCABULARY", 20)
+    vocab = op10_masked_lm.vocabulary(docs, 20)
+    net = op10_masked_lm.train_round(op10_masked_lm.units(docs), op10_masked_lm.start(vocab), vocab, 0, 1)
     got = {r.doc_id: (r.n_words, r.log_likelihood) for r in op10_masked_lm.scored(docs, net, vocab).collect()}
-    edge = vocab["size"] + op10_masked_lm.OTHERS
+    size, counted = vocab["size"], {}
+    number = lambda w: int(op10_masked_lm.numbered(op3_substring_dedup.word_hashes([w])[0], vocab)[0])
+    for _, t in corpus:
+        for w in t.lower().split():
+            counted[w] = counted.get(w, 0) + 1
+    least = sorted(counted.values())[-20]
+    assert all(number(w.encode()) < size for w, n in counted.items() if n > least) and sum(number(w.encode()) < size for w in counted) == 20
+    assert abs(vocab["mass"].sum() - sum(counted.values())) < 1e-6
+    entry = lambda x: x if x < size else size + (x - size) % op10_masked_lm.OTHERS
     for d, t in corpus[::7]:
-        ids, words = op10_masked_lm.numbered(t.encode(), vocab)
+        ids = [number(w) for w in t.lower().encode().split()]
         total = 0.0
-        for i, w in enumerate(words):
-            h = np.tanh(sum(net["e"][j][ids[i + k] if 0 <= i + k < len(ids) else edge] for j, k in enumerate(op10_masked_lm.NEAR)))
+        for i, w in enumerate(ids):
+            h = np.tanh(sum(net["e"][j][entry(ids[i + k]) if 0 <= i + k < len(ids) else size + op10_masked_lm.OTHERS] for j, k in enumerate(op10_masked_lm.NEAR)))
             z = h @ net["w"] + net["b"]
-            total += z[vocab["class"][w]] - np.log(np.exp(z).sum()) + vocab["inside"][w]
-        assert got[d][0] == len(ids) and got[d][1] == pytest.approx(total, abs=0.01)
-
-
-def test_training_helps(docs):
+            total += z[vocab["class"][w]] - np.log(np.exp(z).sum())
+            if w < size:
+                mates = [x for x in range(size) if vocab["class"][x] == vocab["class"][w]]
+                z = [h @ net["u"][x] + vocab["inside"][x] for x in mates]
+                total += z[mates.index(w)] - np.log(np.exp(z).sum())
+            else:
+                total += vocab["inside"][w]
+        assert got[d][0] == len(ids) and got[d][1] == pytest.approx(total, abs=0.02)
+
+
+def test_word_probabilities_sum_to_one(docs, corpus):
+    vocab = op10_masked_lm.vocabulary(docs, 20)
+    distinct = {w for _, t in corpus for w in t.lower().encode().split()}
+    net, ids = op10_masked_lm.start(vocab), op10_masked_lm.numbered(op3_substring_dedup.word_hashes(sorted(distinct))[0], vocab)
+    around = np.repeat(op10_masked_lm.contexts(ids[:5], np.zeros(5, int), vocab["size"])[2:3], len(ids), 0)
+    empty = set(range(len(vocab["mass"]))) - set(vocab["class"][ids].tolist())
+    h = op10_masked_lm.hidden(net, around[:1])
+    z, _ = op10_masked_lm._exp(net["w"].T @ h + net["b"][:, None])
+    z = z[:, 0] / z.sum()
+    assert np.exp(op10_masked_lm.log_likelihoods(net, vocab, around, ids)).sum() == pytest.approx(1 - sum(z[c] for c in empty), abs=1e-3)
+
+
+def test_training_helps_and_partitions_do_not_matter(docs):
     vocab = op10_masked_lm.vocabulary(docs)
     before = op10_masked_lm.scored(docs, op10_masked_lm.start(vocab), vocab).agg({"log_likelihood": "sum"}).first()[0]
-    after = op10_masked_lm.scored(docs, *op10_masked_lm.fit(docs, stride=1)).agg({"log_likelihood": "sum"}).first()[0]
-    assert after > before
+    rows = []
+    for other in (docs, docs.repartition(3, "text")):
+        got = op10_masked_lm.scored(other, *op10_masked_lm.fit(other))
+        rows.append(sorted((r.doc_id, r.log_likelihood) for r in got.collect()))
+    assert rows[0] == rows[1] and sum(x for _, x in rows[0]) > before
 
 
 def test_every_word_is_trained_on(spark):
@@ -259,5 +290,6 @@ def test_every_word_is_trained_on(spark):
     for j, k in enumerate(op10_masked_lm.NEAR):
         moved = np.abs(net["e"][j] - before["e"][j]).max(1) > 1e-6
         for t in texts:
-            ids, _ = op10_masked_lm.numbered(t.encode(), vocab)
+            ids = op10_masked_lm.numbered(op3_substring_dedup.word_hashes([t.encode()])[0], vocab)
+            ids = np.where(ids < vocab["size"], ids, vocab["size"] + (ids - vocab["size"]) % op10_masked_lm.OTHERS)
             assert all(moved[ids[i + k]] for i in range(len(ids)) if 0 <= i + k < len(ids))
