@@ -6,8 +6,9 @@ word, the word in its class. A document's score is the sum of its words' conditi
 its words.
 
 Word counts are taken over all documents. The `VOCABULARY` most frequent words are the network's own; the others, however
-many, lie in a table of hash buckets that grows with the number of distinct words, to `TAIL` buckets. A bucket's level of
-frequency is its class, and in its class a word has its share of the counts.
+many, lie in a table of hash buckets that grows with the number of distinct words, to `TAIL` buckets of a byte each: the
+mean count of the bucket's words in eighths of powers of two. A bucket's level of frequency is its class, and in its
+class a word has the share of such a count.
 
 Training sees every word: the texts are laid out in units by a hash of the row, a number of them that only the length of
 all texts sets; in each of `ROUNDS` rounds every unit trains a copy of the network on every `STRIDE`-th word, from the
@@ -35,7 +36,8 @@ from tarnwell.llm.op3_substring_dedup import word_hashes
 NAME = "op10_masked_lm"
 VOCABULARY = 4096
 CLASSES = 48
-TAIL = 1 << 21  # buckets of other words, at most
+TAIL = 1 << 24  # buckets of other words, at most
+STEPS = 256
 LEVELS = 8  # classes of other words
 OTHERS = 512  # their entries as context
 WIDTH = 16
@@ -76,29 +78,35 @@ def vocabulary(docs: DataFrame, size: int = VOCABULARY, classes: int = CLASSES,
     ranked = counted.orderBy(F.col("n").desc(), "h").limit(size)
     top = ranked.collect()
     buckets = min(tail, 1 << max(int(2 * (distinct - len(top))).bit_length(), 4))
-    rest = counted.join(F.broadcast(ranked.select("h")), "h", "left_anti").groupBy(F.col("h").bitwiseAND(F.lit(buckets - 1)).alias("b"))
-    held = rest.agg(F.sum("n").alias("n"), F.count("*").alias("k")).toPandas()  # at most `tail` rows
-    discard(counted)
-    n = np.array([r.n for r in top], float)
+    rest = counted.join(F.broadcast(ranked.select("h")), "h", "left_anti").groupBy(F.col("h").bitwiseAND(F.lit(buckets - 1)).cast("int").alias("b"))
+    mean = F.least(F.round(F.log2(F.sum("n") / F.count("*")) * 8), F.lit(STEPS - 1))
+    rest = materialise(rest.agg(mean.cast("int").alias("q"), F.count("*").alias("k")), "word-buckets")
+    words = np.zeros(STEPS)
+    for r in rest.groupBy("q").agg(F.sum("k").alias("k")).collect():
+        words[r.q] = r.k
+    held, tail = rest.select("b", "q").toArrow(), np.zeros(buckets, np.uint8)  # at most `tail` rows
+    tail[held["b"].to_numpy()] = held["q"].to_numpy()
+    discard(counted, rest)
+    n, step = np.array([r.n for r in top], float), np.exp2(np.arange(STEPS) / 8)
     of = np.minimum(np.floor((np.cumsum(n) - n) / max(n.sum(), 1) * classes), classes - 1).astype(np.int64)
-    each, number = np.ones(buckets), held.b.to_numpy(np.int64)
-    each[number] = held.n.to_numpy(float) / held.k.to_numpy(float)
-    level = classes + np.minimum(np.log2(each), LEVELS - 1).astype(np.int64)
-    mass = np.bincount(of, n, classes + LEVELS) + np.bincount(level[number], held.n.to_numpy(float), classes + LEVELS)
-    of, each = np.concatenate([of, level]), np.concatenate([n, each])
+    level = classes + np.minimum(np.arange(STEPS) // 8, LEVELS - 1)
+    mass = np.bincount(of, n, classes + LEVELS) + np.bincount(level, words * step, classes + LEVELS)
+    of, each = np.concatenate([of, level]), np.concatenate([n, step])  # of the words, then of the steps
     inside = np.log(each / np.maximum(mass[of], each)).astype(np.float32)
     known = np.array([r.h for r in top], np.int64).view(np.uint64)
     rank = np.argsort(known)
-    return {"known": known[rank], "rank": rank, "buckets": buckets, "class": of.astype(np.int8), "inside": inside, "mass": mass, "size": len(top)}
+    return {"known": known[rank], "rank": rank, "tail": tail, "class": of.astype(np.int8), "inside": inside, "mass": mass, "size": len(top)}
 
 
-def numbered(hashes: np.ndarray, vocab: dict) -> np.ndarray:
-    """Number of each word: its rank in the vocabulary, or behind that its bucket."""
-    other = vocab["size"] + (hashes & np.uint64(vocab["buckets"] - 1)).astype(np.int64)
-    if not vocab["size"]:
-        return other
-    at = np.minimum(np.searchsorted(vocab["known"], hashes), vocab["size"] - 1)
-    return np.where(vocab["known"][at] == hashes, vocab["rank"][at], other)
+def numbered(hashes: np.ndarray, vocab: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Number of each word, its rank in the vocabulary or behind that its bucket's step, and its entry as context."""
+    bucket = (hashes & np.uint64(len(vocab["tail"]) - 1)).astype(np.int64)
+    ids, entry = vocab["size"] + vocab["tail"][bucket].astype(np.int64), vocab["size"] + bucket % OTHERS
+    if vocab["size"]:
+        at = np.minimum(np.searchsorted(vocab["known"], hashes), vocab["size"] - 1)
+        own = vocab["known"][at] == hashes
+        ids, entry = np.where(own, vocab["rank"][at], ids), np.where(own, vocab["rank"][at], entry)
+    return ids, entry
 
 
 PARTS = ("e", "w", "b", "u")
@@ -113,11 +121,11 @@ def start(vocab: dict, seed: int = 3) -> dict[str, np.ndarray]:
     return {k: v.astype(np.float32) for k, v in net.items()}
 
 
-def contexts(ids: np.ndarray, doc: np.ndarray, size: int) -> np.ndarray:
+def contexts(entry: np.ndarray, doc: np.ndarray, size: int) -> np.ndarray:
     """Entries around each word [words, 4] of texts with numbers doc; texts are kept apart by edges."""
-    line = np.full(len(ids) + 2 * (int(doc[-1]) + 2 if len(doc) else 1), size + OTHERS)
-    at = np.arange(len(ids)) + 2 * (doc + 1)
-    line[at] = np.where(ids < size, ids, size + (ids - size) % OTHERS)
+    line = np.full(len(entry) + 2 * (int(doc[-1]) + 2 if len(doc) else 1), size + OTHERS)
+    at = np.arange(len(entry)) + 2 * (doc + 1)
+    line[at] = entry
     return np.stack([line[at + d] for d in NEAR], 1)
 
 
@@ -244,9 +252,9 @@ def train_round(texts: DataFrame, net: dict, vocab: dict, turn: int, stride: int
 
         for batch in batches:
             for _, _, hashes, doc in words_of(batch.column(0)):
-                ids = numbered(hashes, vocab)
+                ids, entry = numbered(hashes, vocab)
                 now = (np.arange(len(ids)) - np.searchsorted(doc, doc)) % stride == turn % stride
-                held_x.append(contexts(ids, doc, vocab["size"])[now])
+                held_x.append(contexts(entry, doc, vocab["size"])[now])
                 held_y.append(ids[now])
                 n += len(held_y[-1])
                 if n >= BATCH:
@@ -279,8 +287,8 @@ def scored(docs: DataFrame, net: dict, vocab: dict) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, hashes, doc in words_of(batch.column(1)):
-                goal = numbered(hashes, vocab)
-                around, each = contexts(goal, doc, vocab["size"]), np.empty(len(goal))
+                goal, entry = numbered(hashes, vocab)
+                around, each = contexts(entry, doc, vocab["size"]), np.empty(len(goal))
                 for i in range(0, len(goal), 16384):
                     each[i : i + 16384] = log_likelihoods(net, vocab, around[i : i + 16384], goal[i : i + 16384])
                 n = np.bincount(doc, minlength=b - a)
