@@ -3,8 +3,9 @@
 The CRF tags tokens (digit runs, letter runs, single signs) with B/I labels of four kinds from their shapes, a few cue
 words and the shapes around them. It is trained by log-likelihood on a small labelled table written out below, and
 decoded by Viterbi over padded numpy batches. Its sequences are the stretches of text around digits, at-signs and
-spelled-out "(at)" or "dot"; elsewhere no token can begin a span, so nothing is decoded there. Stretches of over
-`LONGEST` tokens are cut, at a plain word if one is near. A tagged span counts if it passes its kind's check and
+spelled-out "(at)" or "dot" in any case; elsewhere no token can begin a span, so nothing is decoded there. Stretches of
+over `LONGEST` tokens are decoded in pieces that share `SHARED` tokens on either side; the piece in whose own part a span
+begins gives it. A tagged span counts if it passes its kind's check and
 meets no span of the patterns; the patterns' spans always stay.
 
 Defined cases: null and empty texts have no spans; repeated rows give equal rows; an empty table gives an empty
@@ -31,6 +32,7 @@ NAME = "op2_pii"
 KINDS = ("email", "ip", "card", "phone")
 STATES = ["O", *(f"{b}-{k}" for k in KINDS for b in "BI")]
 LONGEST = 400
+SHARED = 64
 AROUND = 40
 
 _AT = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -39,7 +41,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]+")  # as from any
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-_TRIGGER = re.compile(r"[0-9@]|[\[(] ?(?:at|dot) ?[\])]| dot ")
+_TRIGGER = re.compile(r"[0-9@]|[\[(] ?(?:[aA][tT]|[dD][oO][tT]) ?[\])]| [dD][oO][tT] ")
 _TOKEN = re.compile(r"[0-9]+|[^\W\d_]+|[^\s]")
 _LOCAL_SIGNS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
@@ -286,22 +288,19 @@ def viterbi(emit: np.ndarray, step: np.ndarray, lengths: np.ndarray) -> np.ndarr
     return out
 
 
-def stretches(text: str) -> Iterator[list[tuple[int, int]]]:
-    """Tokens of each stretch that is decoded."""
+def stretches(text: str) -> Iterator[tuple[list[tuple[int, int]], int, int]]:
+    """Tokens of each stretch that is decoded, and the places among them where spans may begin."""
     start = end = -1
 
-    def tokens(s: int, e: int) -> Iterator[list[tuple[int, int]]]:
+    def tokens(s: int, e: int) -> Iterator[tuple[list[tuple[int, int]], int, int]]:
         while s > 0 and not text[s - 1].isspace():
             s -= 1
         while e < len(text) and not text[e].isspace():
             e += 1
         got = [m.span() for m in _TOKEN.finditer(text, s, e)]
-        while len(got) > LONGEST:
-            cut = next((i for i in range(LONGEST, LONGEST // 2, -1) if text[got[i][0]].isalpha() and text[got[i - 1][0]].isalpha()), LONGEST)
-            yield got[:cut]
-            got = got[cut:]
-        if got:
-            yield got
+        for i in range(0, len(got), LONGEST):
+            begin = max(i - SHARED, 0)
+            yield got[begin : i + LONGEST + SHARED], i - begin, i - begin + LONGEST
 
     for m in _TRIGGER.finditer(text):
         s, e = m.start() - AROUND, m.end() + AROUND
@@ -316,7 +315,7 @@ def stretches(text: str) -> Iterator[list[tuple[int, int]]]:
 
 
 def _holds(kind: str, span: str) -> bool:
-    digits = re.sub("[^0-9]", "", span)
+    digits, span = re.sub("[^0-9]", "", span), span.lower()
     if kind == "email":
         return len(span) >= 6 and (bool(re.search(r"@|[\[(] ?at ?[\])]", span)) and bool(re.search(r"\.|\bdot\b", span)) or bool(re.search(r" at .* dot ", span))) and not span.startswith(("@", "at ")) and bool(re.search(r"[A-Za-z]{2,}[\])]?\Z", span))
     if kind == "ip":
@@ -352,13 +351,13 @@ def find(texts: list[str | None], weights: tuple[np.ndarray, np.ndarray]) -> lis
         i = bisect.bisect_left(starts, t) - 1
         return i >= 0 and ends[i] > s
 
-    found = [(n, tokens) for n, t in enumerate(texts) if t for tokens in stretches(t)]
+    found = [(n, *x) for n, t in enumerate(texts) if t for x in stretches(t)]
     found.sort(key=lambda x: len(x[1]))
     for i in range(0, len(found), 128):
         part = found[i : i + 128]
-        x, lengths = _pad([token_features(texts[n], tokens) for n, tokens in part])
+        x, lengths = _pad([token_features(texts[n], tokens) for n, tokens, *_ in part])
         states = viterbi(emission[x].sum(2), step, lengths)
-        for (n, tokens), row in zip(part, states.tolist()):
+        for (n, tokens, low, high), row in zip(part, states.tolist()):
             j, size = 0, len(tokens)
             while j < size:
                 if row[j]:
@@ -367,7 +366,7 @@ def find(texts: list[str | None], weights: tuple[np.ndarray, np.ndarray]) -> lis
                     while e < size and row[e] == inside:
                         e += 1
                     s, t = tokens[j][0], tokens[e - 1][1]
-                    if _alone(texts[n], s, t) and _holds(kind, texts[n][s:t]) and not taken(n, s, t):
+                    if low <= j < high and _alone(texts[n], s, t) and _holds(kind, texts[n][s:t]) and not taken(n, s, t):
                         added[n][kind].append((s, t))
                     j = e
                 else:

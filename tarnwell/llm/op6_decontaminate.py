@@ -5,7 +5,8 @@ typed placeholders. Windows of `WINDOW` canonical words of the benchmark are has
 documents; an item found at one offset in a document with at least `COVER` of its windows is a candidate. For
 candidates the placeholders' values are compared: a re-parameterised copy replaces each value by one other value
 throughout, so pairs whose values do not map consistently (`AGREE`) at any offset are dropped. Windows that are mostly
-placeholders are not used; items that have no others are looked up by windows of their words as they stand, in lower
+placeholders are not used. Items are also looked up with their names as plain words, as in lower-cased copies; items
+that have no other windows are looked up by windows of their words as they stand, in lower
 case.
 
 The benchmark's windows are broadcast if there are at most `BROADCAST` of them, as are the candidates' ids; beyond
@@ -27,7 +28,7 @@ NAME = "op6_decontaminate"
 WINDOW = 8
 SHORTEST = 5
 COVER = 0.5
-AGREE = 0.75
+AGREE = 0.9
 BROADCAST = 1_000_000
 UNITS = "kg g mg lb lbs oz km m cm mm mi mile miles ft feet inch inches l ml litre litres liter liters s sec second seconds min minute minutes h hour hours day days week weeks month months year years percent usd eur dollar dollars euro euros cent cents mph kmh w kw v".split()
 #: between words: all ASCII but letters, digits and the signs that end sentences, and other punctuation and spaces
@@ -48,14 +49,14 @@ def _number(x: Column) -> Column:
     return F.ascii(x).between(48, 57)
 
 
-def canonical(raw: Column, out=lambda x: x) -> Column:
-    """out() of each word, numbers, units and names replaced by #n, #u and #name."""
+def canonical(raw: Column, out=lambda x: x, names: bool = True) -> Column:
+    """out() of each word, numbers, units and, where wanted, names replaced by #n, #u and #name."""
 
     def one(x: Column, i: Column, all_: Column, marked: Column) -> Column:
         plain = F.when(_number(x), out(F.lit("#n"))).when(x.isin(UNITS) & _number(F.coalesce(F.get(all_, i - 1), F.lit(""))), out(F.lit("#u"))).otherwise(out(x))
         before = F.coalesce(F.get(marked, i - 1), F.lit("."))
         begins = F.substring(before, -1, 1).isin("", *ENDS) | ((x == F.upper(x)) & (F.length(x) > 1))
-        return F.when(F.lower(x) == x, plain).when(_number(x), out(F.lit("#n"))).when(begins, out(F.lower(x))).otherwise(out(F.lit("#name")))
+        return F.when(F.lower(x) == x, plain).when(_number(x), out(F.lit("#n"))).when(begins if names else F.lit(True), out(F.lower(x))).otherwise(out(F.lit("#name")))
 
     return let(raw, lambda m: let(words(m), lambda w: F.transform(w, lambda x, i: one(x, i, w, m))))
 
@@ -103,12 +104,15 @@ def candidates(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     raw = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), raw_words(F.col("text")).alias("raw"))
     out = docs.sparkSession.createDataFrame([], "doc_id long, item_id long, shift int, hits long, of long")
     for w, heavy in sorted((r.w, r.heavy) for r in items.select("w", "heavy").distinct().collect()):  # w: SHORTEST to WINDOW
-        form = _literal(F.col("raw")) if heavy else F.col("canon")
-        known = items.filter((F.col("w") == w) & (F.col("heavy") == heavy)).select("item_id", form.alias("form"))
-        known = known.select("item_id", "form", F.posexplode(_windows(F.transform("form", lambda t: F.xxhash64(t)), w)).alias("ipos", "h"))
-        known = (known if heavy else known.filter(_plain(F.slice("form", F.col("ipos") + 1, F.lit(w))) * 2 > w)).drop("form")
-        known = materialise(known, "template-windows")
-        usable = known.groupBy("item_id").agg(F.count("*").alias("of"))
+        forms = [_literal(F.col("raw"))] if heavy else [F.col("canon"), canonical(F.col("raw"), names=False)]
+        these = items.filter((F.col("w") == w) & (F.col("heavy") == heavy))
+        known = None
+        for form in forms:
+            one = these.select("item_id", "canon", _windows(F.transform(form, lambda t: F.xxhash64(t)), w).alias("ws")).select("item_id", "canon", F.posexplode("ws").alias("ipos", "h"))
+            one = (one if heavy else one.filter(_plain(F.slice("canon", F.col("ipos") + 1, F.lit(w))) * 2 > w)).drop("canon")
+            known = one if known is None else known.unionByName(one)
+        known = materialise(known.distinct(), "template-windows")
+        usable = known.groupBy("item_id").agg(F.count_distinct("ipos").alias("of"))
         texts = raw.select("doc_id", (F.transform(_literal(F.col("raw")), lambda t: F.xxhash64(t)) if heavy else _hashed(F.col("raw"))).alias("t"))
         made = texts.select("doc_id", F.posexplode(_windows(F.col("t"), w)).alias("pos", "h"))
         met = made.join(_small(known.join(usable, "item_id")), "h")

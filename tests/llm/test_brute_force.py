@@ -168,6 +168,13 @@ def test_crf_finds_held_out_spans_and_leaves_clean_text():
     assert not any(a[k] for _, a in op2_pii.find(clean, weights) for k in a)
 
 
+@pytest.mark.parametrize("before", [0, 300, 385, 395, 400, 405, 460])
+def test_crf_spans_at_any_place_of_a_long_stretch(before):
+    text = "1 2 " * (before // 2) + "write to stone (AT) river (DOT) com for moon" + " 3 4" * 300
+    [(_, added)] = op2_pii.find([text], op2_pii.model())
+    assert [text[a:b] for a, b in added["email"]] == ["stone (AT) river (DOT) com"]
+
+
 def test_licences(spark):
     texts = ["x Licensed under the Apache License, Version 2.0. y", "CC-BY and cc by", "the GNU General Public License is", "nothing here", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
@@ -196,7 +203,8 @@ def test_reparameterised_questions(spark):
     docs = spark.createDataFrame([(1, same), (2, mixed), (3, prose(80)), (4, item.lower())], "doc_id long, text string")
     bench = spark.createDataFrame([(7, item)], "item_id long, text string")
     got = {r.doc_id: r.agreement for r in op6_decontaminate.leaks(docs, bench, agree=0.0).collect()}
-    assert got[1] == 1.0 and got[2] < 1.0 and 3 not in got
+    assert got[1] == 1.0 and got[2] < 1.0 and 3 not in got and got[4] == 1.0
+    assert {r.doc_id for r in op6_decontaminate.leaks(docs, bench).collect()} == {1, 4}
     assert {r.doc_id for r in op6_decontaminate.leaks(docs, bench, agree=0.9).collect()} >= {1}
     assert 2 not in {r.doc_id for r in op6_decontaminate.leaks(docs, bench, agree=0.9).collect()}
 

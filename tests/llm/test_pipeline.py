@@ -59,7 +59,7 @@ def test_near_duplicates(stages):
     assert ids(after) == sorted(set(low.values()))
 
 
-def canon(text):
+def canon(text, names=True):
     raw = [x for x in re.split(op6_decontaminate.BETWEEN, text) if x.strip(op6_decontaminate.ENDS)]
     plain = [x.strip(op6_decontaminate.ENDS) for x in raw]
     out = []
@@ -69,24 +69,25 @@ def canon(text):
         if number:
             out.append("#n")
         elif x.lower() != x:
-            out.append(x.lower() if begins else "#name")
+            out.append(x.lower() if begins or not names else "#name")
         elif x in op6_decontaminate.UNITS and i and "0" <= plain[i - 1][0] <= "9":
             out.append("#u")
         else:
             out.append(x)
-    return plain, out
+    return (plain, out) if not names else (plain, out, canon(text, False)[1])
 
 
 def leaked(text, items):
-    plain, made = canon(text or "")
-    for iplain, icanon in items:
+    plain, made, _ = canon(text or "")
+    for iplain, icanon, ilow in items:
         w = min(len(icanon), op6_decontaminate.WINDOW)
         at = defaultdict(list)
         for i in range(len(icanon) - w + 1):
             window = tuple(icanon[i : i + w])
             if sum(not t.startswith("#") for t in window) * 2 > w:
                 at[window].append(i)
-        of, shifts = sum(map(len, at.values())), defaultdict(set)
+                at[tuple(ilow[i : i + w])].append(i)
+        of, shifts = len({i for x in at.values() for i in x}), defaultdict(set)
         for p in range(len(made) - w + 1):
             for i in at.get(tuple(made[p : p + w]), []):
                 shifts[p - i].add(i)
