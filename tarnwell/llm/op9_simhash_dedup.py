@@ -40,7 +40,7 @@ WIDE = 5
 SIMILAR = (4, 5)
 COMMON = 200_000
 FEW = 8
-CENTRES = (1, 32, 64)
+CENTRES = (1, 32)
 _FULL = (1 << 64) - 1
 
 
@@ -276,17 +276,41 @@ def shingle_set(text: bytes | None, shingle: int) -> np.ndarray:
     return np.sort(np.fromiter(found, np.uint64, len(found)))
 
 
+def parities(s: np.ndarray) -> bytes:
+    """How often each residue occurs in a set, modulo 2; about as many residues as members, a power of two."""
+    bits = max(64, 1 << max(len(s) - 1, 0).bit_length())
+    return np.packbits((np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def may_be_similar(n: int, m: int, x: bytes, y: bytes) -> bool:
+    """False only if the parities of two sets of n and m members differ in so many places that their similarity is below
+    SIMILAR, as each of them is a member that one set alone has."""
+    a, b = sorted((np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)), key=len)
+    while len(b) > len(a):  # residues modulo half as many
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    p, q = SIMILAR
+    return (n + m - int(np.bitwise_count(a ^ b).sum())) * (p + q) >= (n + m) * 2 * p
+
+
+def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keep = [may_be_similar(*x) for x in zip(*(batch.column(i).to_pylist() for i in range(2, 6)))]
+        yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
+
+
 def _sets(docs: DataFrame, shingle: int, common: np.ndarray | None) -> DataFrame:
     """doc_id, row, sid (a hash of the shingle set), n (its size), s: the whole set or, where `common` is given, as many
-    of it as two sets of similarity SIMILAR must share one of; shingles that are not in `common` (sorted) come first."""
+    of it as two sets of similarity SIMILAR must share one of; shingles that are not in `common` (sorted) come first.
+    With these comes sig, the set's parities."""
 
-    def one(text: bytes | None) -> tuple[int, int, np.ndarray]:
+    def one(text: bytes | None) -> tuple[int, int, np.ndarray, bytes | None]:
         s = shingle_set(text, shingle)
         n, sid = len(s), xxhash.xxh64_intdigest(s.tobytes(), SEED) if len(s) else 0
+        sig = parities(s) if common is not None else None
         if common is not None:
             often = common[np.minimum(np.searchsorted(common, s), len(common) - 1)] == s if len(common) else np.zeros(n, bool)
             s = np.concatenate([s[~often], s[often]])[: n - -(-n * SIMILAR[0] // SIMILAR[1]) + 1]
-        return sid, n, s.view(np.int64)
+        return sid, n, s.view(np.int64), sig
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -294,9 +318,10 @@ def _sets(docs: DataFrame, shingle: int, common: np.ndarray | None) -> DataFrame
             ends = np.cumsum([0] + [len(m[2]) for m in made]).astype(np.int32)
             s = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([m[2] for m in made] or [np.zeros(0, np.int64)])))
             sid = pa.array(np.array([m[0] for m in made], np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), sid, pa.array([m[1] for m in made], pa.int32()), s], names=["doc_id", "row", "sid", "n", "s"])
+            sig = pa.array([m[3] for m in made], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), sid, pa.array([m[1] for m in made], pa.int32()), s, sig], names=["doc_id", "row", "sid", "n", "s", "sig"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _row(docs)).mapInArrow(run, "doc_id long, row long, sid long, n int, s array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _row(docs)).mapInArrow(run, "doc_id long, row long, sid long, n int, s array<long>, sig binary")
 
 
 def _common(docs: DataFrame, shingle: int) -> np.ndarray:
@@ -321,7 +346,8 @@ def _whole(docs: DataFrame, rows: DataFrame, sids: DataFrame, shingle: int) -> D
     named = rows.select("doc_id", "row", "sid").join(sids, "sid", "left_semi").groupBy("sid").agg(F.min(F.struct("doc_id", "row")).alias("m")).select("m.doc_id", "m.row")
     own, row, number = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _row(docs)), F.col("row") == F.col("_row"), F.col("doc_id").eqNullSafe(F.col("_id"))
     texts = own.join(named.select(F.col("doc_id").alias("_id"), F.col("row").alias("_row")), row & number, "left_semi")
-    return materialise(_sets(texts, shingle, None).groupBy("sid").agg(F.first("s").alias("s")), "set-full")
+    made = materialise(_sets(texts, shingle, None).select("sid", "s"), "set-full")
+    return made if made.count() == named.count() else made.groupBy("sid").agg(F.first("s").alias("s"))  # ids and texts repeat
 
 
 def similar(docs: DataFrame, shingle: int = WIDE) -> tuple[DataFrame, DataFrame]:
@@ -337,7 +363,7 @@ def similar(docs: DataFrame, shingle: int = WIDE) -> tuple[DataFrame, DataFrame]
     sets = rows.groupBy("sid", "n").agg(F.first("s").alias("s"))
     met = sets.select("sid", "n", F.posexplode("s").alias("i", "h")).withColumn("few", F.count("*").over(W.partitionBy("h"))).filter("few > 1").withColumn("few", F.col("few") <= FEW)
     met = materialise(met.select("h", "sid", "n", "i", "few"), "set-buckets")
-    full = _whole(docs, rows, met.select("sid").distinct(), shingle)
+    sigs = materialise(rows.join(met.select("sid").distinct(), "sid", "left_semi").groupBy("sid").agg(F.first("n").alias("n"), F.first("sig").alias("sig")), "set-sigs")
     sizes = (F.least("n", "m") * q) >= (F.greatest("n", "m") * p)
     # the first shingle in common is i-th in one and j-th in the other, and all others lie behind it
     behind = F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) * (p + q) >= (F.col("n") + F.col("m")) * p
@@ -348,25 +374,31 @@ def similar(docs: DataFrame, shingle: int = WIDE) -> tuple[DataFrame, DataFrame]
         return at.join(other, "h").filter("r <> z and sid <> b").filter(sizes & behind)
 
     def verified(pairs: DataFrame) -> DataFrame:
-        some = materialise(pairs.select(F.greatest("sid", "b").alias("a"), F.least("sid", "b").alias("b")).distinct(), "set-pairs")
+        some = pairs.select(F.greatest("sid", "b").alias("a"), F.least("sid", "b").alias("b")).distinct()
+        some = some.join(sigs.select(F.col("sid").alias("a"), "n", F.col("sig").alias("x")), "a").join(sigs.select(F.col("sid").alias("b"), F.col("n").alias("m"), F.col("sig").alias("y")), "b")
+        some = materialise(some.select("a", "b", "n", "m", "x", "y").mapInArrow(_likely, "a long, b long"), "set-pairs")
+        full = _whole(docs, rows, some.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), shingle)
         got = materialise(_alike(some, full), "set-edges")
         discard(some)
         return got
 
-    few, many = met.filter("few").withColumn("r", F.col("sid")), met.filter("not few")
-    edges = verified(pairs_of(few, few).filter("sid > b"))
-    for turn, centres in enumerate((*CENTRES, 0)):
+    def drawn(at: DataFrame, centres: int) -> DataFrame:
+        """A set of each bucket, first of all one that can be like a set of its size."""
+        rank = F.struct((F.col("n") - F.col("i")) * (p + q) < F.col("n") * 2 * p, F.xxhash64("sid", F.pmod(F.xxhash64("h"), F.lit(centres)), F.lit(centres)), *[F.col(c) for c in ("sid", "n", "i", "r")])
+        return at.groupBy("h").agg(F.min(rank).alias("c")).select("h", "c.*")
+
+    few, many = (met.filter(c).withColumn("r", F.col("sid")) for c in ("few", "not few"))
+    edges = verified(pairs_of(few, few).filter("sid > b").select("sid", "b").unionByName(pairs_of(many, drawn(many, CENTRES[0])).select("sid", "b")))
+    for centres in (*CENTRES[1:], 0):
         root = components(edges).select(F.col("a").alias("sid"), F.col("b").alias("r"))
-        at = many.join(root, "sid", "left").select("h", "sid", "n", "i", F.coalesce("r", "sid").alias("r"))
+        at = many.drop("r").join(root, "sid", "left").select("h", "sid", "n", "i", F.coalesce("r", "sid").alias("r"))
         split = at.groupBy("h").agg(F.min("r").alias("lo"), F.max("r").alias("hi")).filter("lo < hi").select("h")
         at = materialise(at.join(split, "h"), "set-split")
         if at.isEmpty():
             break
-        # first of all those that can be like a set of their size
-        drawn = F.struct((F.col("n") - F.col("i")) * (p + q) < F.col("n") * 2 * p, F.xxhash64("sid", F.pmod(F.xxhash64("h"), F.lit(max(centres, 1))), F.lit(turn)), *[F.col(c) for c in ("sid", "n", "i", "r")])
-        pairs = pairs_of(at, at.groupBy("h").agg(F.min(drawn).alias("c")).select("h", "c.*")) if centres else pairs_of(at, at).filter("sid > b")
-        edges = edges.unionByName(verified(pairs))
+        edges = edges.unionByName(verified(pairs_of(at, drawn(at, centres)) if centres else pairs_of(at, at).filter("sid > b")))
         discard(at)
+    discard(met, sigs)
     return rows.select("doc_id", "row", "sid"), components(edges).select(F.col("a").alias("sid"), F.col("b").alias("root"))
 
 

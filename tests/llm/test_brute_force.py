@@ -63,6 +63,20 @@ def test_links_and_components(spark, most):
     assert got == {s: find(s) for s in signed if find(s) != s}
 
 
+def test_parities_never_rule_out_a_similar_pair():
+    rng = np.random.default_rng(3)
+    ruled = 0
+    for _ in range(2000):
+        n = int(rng.integers(1, 300))
+        a = np.unique(rng.integers(0, 1 << 63, n, np.uint64))
+        b = np.unique(np.concatenate([a[rng.random(len(a)) > rng.random() * 0.4], rng.integers(0, 1 << 63, int(rng.integers(0, n // 3 + 1)), np.uint64)]))
+        both = len(np.intersect1d(a, b))
+        may = op9_simhash_dedup.may_be_similar(len(a), len(b), op9_simhash_dedup.parities(a), op9_simhash_dedup.parities(b))
+        assert may or 5 * both < 4 * (len(a) + len(b) - both)
+        ruled += not may
+    assert ruled > 500
+
+
 def test_permuted_tables_find_all(spark):
     rng = random.Random(2)
     fps = {rng.getrandbits(64) for _ in range(60)}
