@@ -4,8 +4,8 @@ The templates' words get inverse document frequencies from all documents. Each t
 words of highest frequency weight, words that no document has left out: their places in a file, less their places in
 the template, give possible starts; a start's score is the weight of the rare words found there, `SLACK` words aside,
 over the weight of all. A template labels a file if its best start reaches `REACH` and the file holds the template's
-key phrases. Fixed phrases label a file wherever they stand. Only files with one of the `KEYS`, of which every template
-and phrase has one, are looked at closely; all others just have their words counted.
+key phrases. Fixed phrases label a file wherever they stand. Only files with one of the `KEYS` are looked at closely; as every key phrase and fixed phrase
+has one of them inside a word, the others, whose words are just counted, cannot get a label.
 
 Defined cases: null and empty texts have no words, no labels and score 0; repeated rows give equal rows; null doc_ids
 are kept; an empty table gives an empty result; other columns are ignored.
@@ -26,7 +26,7 @@ PHRASES = [("cc by", "cc-by"), ("general public license", "gpl"), ("all rights r
 RARE = 6
 REACH = 0.6
 SLACK = 2
-KEYS = ["licen", "reserved", "cc", "copyright", "warrant", "redistribut", "permission"]
+KEYS = ["licen", "reserved", "cc", "warrant", "redistribut", "permission", "creative", "bsd"]
 #: label, words of the notice, key phrases
 TEMPLATES = [
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files to deal in the software without restriction", ["permission is hereby granted"]),

@@ -200,6 +200,30 @@ def test_licences(spark):
     assert got[4].labels == "mit" and got[4].score > 0.9
 
 
+def test_every_phrase_passes_the_gate(spark):
+    for phrases in [[p] for p, _ in op4_licenses.PHRASES] + [p for _, _, p in op4_licenses.TEMPLATES]:
+        assert any(k in w for k in op4_licenses.KEYS for p in phrases for w in p.split())
+    texts = ["Creative Commons Attribution 4.0 International", "a licensed Creative Commons Attribution 4.0 International", "BSD 3-Clause"] + ["this work is licensed under the terms of a license"] * 20
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.labels, r.score > 0.5) for r in op4_licenses.scan(docs, op4_licenses.frequencies(docs)).collect()}
+    assert got[0] == got[1] == ("cc-by", True) and got[2] == ("bsd", True)
+
+
+def test_licence_phrases_in_random_texts(spark):
+    rng = random.Random(8)
+    parts = ["cc", "by", "CC-BY", "general", "public", "license", "General Public License", "all", "rights", "reserved", "x\u00e9", "All rights\nreserved", ".", "\u2014", "1"]
+    texts = ["".join(rng.choice(parts) + rng.choice([" ", "-", "\n", ", "]) for _ in range(rng.randrange(0, 40))) for _ in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in op4_licenses.scan(docs, op4_licenses.frequencies(docs)).collect()}
+    for d, t in enumerate(texts):
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if c.isascii() else c for c in t))
+        at = [(i, label) for p, label in op4_licenses.PHRASES for i in range(len(w)) if w[i : i + len(p.split())] == p.split()]
+        first, last = (min(at)[0], max(at)[0]) if at else (None, None)
+        base = {label for _, label in at}
+        assert (got[d].n_words, got[d].n_base, got[d].first_word, got[d].last_word, got[d].base_labels) == (len(w), len(at), first, last, ",".join(sorted(base)))
+        assert base <= set(got[d].labels.split(","))
+
+
 def test_quality_ranks_held_out_pairs():
     good = [prose(80).encode() for _ in range(60)]
     bad = [(" ".join(w.upper() + "!!" for w in prose(80).split())).encode() for _ in range(60)]
