@@ -6,11 +6,12 @@ counts are summed in 32 longs of two counters each, so terms are hashed, explode
 
 The next document in descending doc_id comes from a window inside ranges of doc_id that are cut at quantiles; the
 first rows of a range are also given to the range before it, so no window holds more than a range and texts are
-shuffled once. `near_pairs` finds all pairs within a Hamming radius by tables keyed by permuted blocks of bits.
+shuffled once. `near_pairs` finds all pairs of fingerprints within a Hamming radius by tables keyed by permuted blocks
+of bits, and the query tells each document's class of equal fingerprints and its number of links.
 
 Defined cases: null and empty texts have fingerprint zero and count as empty; rows with a null doc_id come after all
 others, rows that repeat a doc_id in order of text; a single row is followed by itself; an empty table gives an empty
-result; other columns are ignored.
+result; other columns are ignored. Empty texts are one class; a class of rows without doc_id has no class_id.
 """
 
 from __future__ import annotations
@@ -21,13 +22,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tarnwell.llm._common import let, table
+from tarnwell.llm._common import let, materialise, table
 
 NAME = "op1_fingerprints"
 MOST = 16
 RANGES = 4  # for each shuffle partition
 RADIUS = 3
 BLOCKS = 6
+HOT = 256
+SALTS = 8
 
 
 def terms(text: Column) -> Column:
@@ -63,23 +66,56 @@ def fingerprints(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     return df.select(*keys, F.inline(terms(F.coalesce(F.col(text), F.lit(""))))).groupBy(*keys).agg(*_votes()).select(*keys, _bits().alias("fp"))
 
 
-def near_pairs(fps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def block_tables(bits: list[int], radius: int, blocks: int) -> list[int]:
+    """Masks over the given bits, cut into blocks: values within the radius on these bits agree under one of them."""
+    cuts = [len(bits) * k // blocks for k in range(blocks + 1)]
+    parts = [sum(1 << b for b in bits[cuts[k] : cuts[k + 1]]) for k in range(blocks)]
+    return [sum(parts[k] for k in c) for c in combinations(range(blocks), blocks - radius)]
+
+
+def _first(apart: Column, masks: list[int]) -> Column:
+    """Number of the first table under which two values agree; null if none."""
+    return F.coalesce(*[F.when(apart.bitwiseAND(F.lit(_signed(m))) == 0, F.lit(t)) for t, m in enumerate(masks)])
+
+
+def near_pairs(fps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, hot: int = HOT) -> DataFrame:
     """a < b, distance: all pairs of the distinct values of fps.fp within the radius.
 
     Two values within the radius agree on `blocks` - `radius` of the blocks: one table is keyed by each such choice.
-    A pair is given by the first table that holds it, so none comes twice."""
-    cuts = [64 * k // blocks for k in range(blocks + 1)]
-    masks = [((1 << cuts[k + 1]) - (1 << cuts[k])) for k in range(blocks)]
-    tables = [sum(masks[k] for k in c) for c in combinations(range(blocks), blocks - radius)]
-    signed = [m - (1 << 64) if m >> 63 else m for m in tables]
-    one = fps.select("fp").distinct().select("fp", F.posexplode(F.array(*map(F.lit, signed))).alias("t", "m"))
+    Values alone under a key leave at once; a key of more than `hot` values is dealt out again by tables of the bits that
+    it does not fix. A pair is given by the first table, and there the first inner one, that holds it, so none comes twice."""
+    tables = block_tables(list(range(64)), radius, blocks)
+    inner = [block_tables([b for b in range(64) if not m >> b & 1], radius, blocks) for m in tables]
+    one = fps.select("fp").filter("fp is not null").distinct().select("fp", F.posexplode(F.array(*[F.lit(_signed(m)) for m in tables])).alias("t", "m"))
     one = one.select("t", F.col("m").bitwiseAND(F.col("fp")).alias("k"), "fp")
-    met = one.select("t", "k", F.col("fp").alias("a")).join(one.select("t", "k", F.col("fp").alias("b")), ["t", "k"]).filter("a < b")
-    apart = F.col("a").bitwiseXOR(F.col("b"))
-    first = F.lit(len(tables))
-    for t in reversed(range(len(tables))):
-        first = F.when(apart.bitwiseAND(F.lit(signed[t])) == 0, F.lit(t)).otherwise(first)
-    return met.withColumn("distance", F.bit_count(apart)).filter(F.col("distance") <= radius).filter(F.col("t") == first).select("a", "b", "distance")
+    met = materialise(one.withColumn("n", F.count("*").over(W.partitionBy("t", "k"))).filter("n > 1"), "block-tables")
+    deal = F.element_at(F.array(*[F.array(*[F.lit(_signed(m)) for m in ms]) for ms in inner]), F.col("t") + 1)
+    cool = met.filter(F.col("n") <= hot).select("t", "k", F.lit(-1).alias("t2"), F.lit(0).cast("long").alias("k2"), "fp")
+    dealt = met.filter(F.col("n") > hot).select("t", "k", "fp", F.posexplode(deal).alias("t2", "m")).select("t", "k", "t2", F.col("m").bitwiseAND(F.col("fp")).alias("k2"), "fp")
+    keyed = cool.unionByName(dealt)
+    keys = ["t", "k", "t2", "k2"]
+    both = keyed.withColumnRenamed("fp", "a").join(keyed.withColumnRenamed("fp", "b"), keys).filter("a < b").withColumn("apart", F.col("a").bitwiseXOR(F.col("b")))
+    both = both.withColumn("distance", F.bit_count("apart")).filter((F.col("distance") <= radius) & (F.col("t") == _first(F.col("apart"), tables)))
+    again = F.coalesce(*[F.when(F.col("t") == t, _first(F.col("apart"), ms)) for t, ms in enumerate(inner)])
+    return both.filter((F.col("t2") < 0) | (F.col("t2") == again)).select("a", "b", "distance")
+
+
+def linked(rows: DataFrame) -> DataFrame:
+    """rows (doc_id, edited_sha256, fp, ...) with class_id, the smallest doc_id with that fingerprint, and n_near, the number of other
+    rows whose fingerprint lies within the radius, equal ones included. Pairs are between fingerprints, never between
+    copies; what is known of a fingerprint meets its rows in `SALTS` parts."""
+    classes = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n")), "classes")
+    pairs = near_pairs(classes)
+    ends = pairs.select(F.inline(F.array(F.struct(F.col("a").alias("fp"), F.col("b").alias("other")), F.struct(F.col("b").alias("fp"), F.col("a").alias("other")))))
+    links = ends.join(classes.select(F.col("fp").alias("other"), "n"), "other").groupBy("fp").agg(F.sum("n").alias("around"))
+    of = classes.join(links, "fp", "left").withColumn("n_near", F.col("n") - 1 + F.coalesce("around", F.lit(0))).filter("n_near > 0")
+    of = of.select("fp", "class_id", "n_near", F.explode(F.array(*map(F.lit, range(SALTS)))).alias("salt"))
+    met = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "edited_sha256"), F.lit(SALTS)).cast("int")).join(of, ["fp", "salt"], "left").drop("salt")
+    return met.withColumn("class_id", F.coalesce("class_id", "doc_id")).withColumn("n_near", F.coalesce("n_near", F.lit(0)).cast("long"))
 
 
 def edited(docs: DataFrame) -> DataFrame:
@@ -125,6 +161,6 @@ def likeness(a: str, b: str) -> Column:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = compared(table(spark, sf_dir, "documents"))
+    got = linked(materialise(compared(table(spark, sf_dir, "documents")), "compared"))
     text = lambda c: F.lower(F.lpad(F.hex(c), 16, "0"))
-    return got.select("doc_id", "n_chars", "edited_sha256", text("fp").alias("fingerprint"), text("edited_fp").alias("edited_fingerprint"), likeness("fp", "edited_fp").alias("near_edited"), likeness("fp", "next_fp").alias("near_next"))
+    return got.select("doc_id", "n_chars", "edited_sha256", text("fp").alias("fingerprint"), text("edited_fp").alias("edited_fingerprint"), likeness("fp", "edited_fp").alias("near_edited"), likeness("fp", "next_fp").alias("near_next"), "class_id", "n_near")
