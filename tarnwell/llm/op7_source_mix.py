@@ -4,8 +4,8 @@ Each source's target is its weight's share of the mix, cut at `CAP` times its si
 weight until no target is above its cut. Capping in order of size over weight gives that fixed point in one pass over
 the table of sources. A source is taken in whole epochs first; the rest of its target goes to the documents with the
 smallest Efraimidis-Spirakis keys -ln(u) / weight, u drawn from a hash of doc_id, up to the document whose middle
-passes the rest. The prefix sums run in two levels, over ranges of the key and then inside the one range where the
-rest ends, so that a source with a third of all rows is never sorted in one task.
+passes the rest. The prefix sums run in three levels, over groups of ranges of the key, over a group's ranges, and
+inside the one range where the rest ends, so that a source with a third of all rows is never sorted in one task.
 
 Defined cases: null texts have size 0; the null source is a source of its own, last; a document without a weight has
 weight 1; null doc_ids share one key, repeated rows too, and are ordered by size; an empty table gives an empty
@@ -26,6 +26,7 @@ CAP = 2
 CYCLE = (3, 1, 2)
 SEED = "mix"
 RANGES = 8192  # of keys per unit
+GROUP = 256  # ranges summed together first
 
 
 def sized(docs: DataFrame, weights: DataFrame | None = None, seed: str = SEED) -> DataFrame:
@@ -63,8 +64,12 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, share: float = SHARE,
     goal = targets(by_source, share, cap, cycle)
     goal = goal.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
     goal = goal.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
-    run = F.sum("part_size").over(W.partitionBy("source").orderBy("part")) - F.col("part_size")
-    placed = parts.withColumn("ahead", run).withColumnRenamed("source", "_source").withColumnRenamed("part", "_part")
+    parts = parts.withColumn("group", F.floor(F.col("part") / GROUP))
+    groups = parts.groupBy("source", "group").agg(F.sum("part_size").alias("group_size"))
+    groups = groups.select(F.col("source").alias("_of"), F.col("group").alias("_group"), (F.sum("group_size").over(W.partitionBy("source").orderBy("group")) - F.col("group_size")).alias("before"))
+    run = F.sum("part_size").over(W.partitionBy("source", "group").orderBy("part")) - F.col("part_size")
+    placed = parts.withColumn("run", run).join(groups, F.col("source").eqNullSafe(F.col("_of")) & (F.col("group") == F.col("_group")))
+    placed = placed.select(F.col("source").alias("_source"), F.col("part").alias("_part"), "part_size", (F.col("before") + F.col("run")).alias("ahead"))
     placed = placed.join(goal, F.col("_source").eqNullSafe(F.col("source"))).drop("source")
     got = rows.join(placed, F.col("source").eqNullSafe(F.col("_source")) & (F.col("part") == F.col("_part")))
     whole = F.col("ahead") + F.col("part_size") <= F.col("rest")
