@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,6 +77,13 @@ def binary(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
 
 
+def slices(batch: pa.RecordBatch, column: int | str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in pieces whose column holds about `most` bytes, so that what is made of a piece stays small."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
+    for s, e in chunks([n + 64 for n in sizes], most):
+        yield batch.slice(s, e - s)
+
+
 def chunks(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
     """Ranges of consecutive items whose sizes sum to about `most`; a larger item stands alone."""
     start, total = 0, 0

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tarnwell.llm._common import binary, discard, materialise, table
+from tarnwell.llm._common import binary, discard, materialise, slices, table
 
 NAME = "op9_simhash_dedup"
 SHINGLE = 3
@@ -293,7 +293,7 @@ def may_be_similar(n: int, m: int, x: bytes, y: bytes) -> bool:
 
 
 def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (piece for whole in batches for piece in slices(whole, 4, 1 << 18)):
         keep = [may_be_similar(*x) for x in zip(*(batch.column(i).to_pylist() for i in range(2, 6)))]
         yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
@@ -313,7 +313,7 @@ def _sets(docs: DataFrame, shingle: int, common: np.ndarray | None) -> DataFrame
         return sid, n, s.view(np.int64), sig
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in slices(whole, 1)):
             made = [one(t) for t in binary(batch.column(1))]
             ends = np.cumsum([0] + [len(m[2]) for m in made]).astype(np.int32)
             s = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([m[2] for m in made] or [np.zeros(0, np.int64)])))
