@@ -140,7 +140,7 @@ def data_detector(s, d):
 
 @query("select doc_id, substr(text, 1, list_filter(generate_series(0, 100), lambda k: octet_length(encode(substr(text, 1, k))) <= 100)[-1]) as cut from documents")
 def utf8_truncate(s, d):
-    return texts(s, d).select("doc_id", T.truncate_utf8(F.left("text", F.lit(101)), 100).alias("cut"))
+    return texts(s, d).select("doc_id", T.truncate_utf8(F.col("text"), 100).alias("cut"))
 
 
 @query("select p_partkey, len(list_distinct(w))::int as words, len(w) - len(list_distinct(w)) = 0 as ok, not contains(p_name, 'a') or contains(p_name, 'e') as implied from (select p_partkey, p_name, string_split(p_name, ' ') as w from part)")

@@ -111,10 +111,10 @@ def semi_anti(s, d):
     return with_.join(o.filter("o_orderstatus = 'O'"), F.col("c_custkey") == F.col("o_custkey"), "left_anti")
 
 
-@query("(select user_id from events where event_type = 'click' intersect select user_id from events where event_type = 'purchase') except select user_id from events where event_type = 'signup' and value > 19.9")
+@query("(select user_id, event_id % 20 as slot from events where event_type = 'click' intersect select user_id, event_id % 20 from events where event_type = 'purchase') except select user_id, event_id % 20 from events where event_type = 'signup' and value > 19.9")
 def set_operations(s, d):
     e = table(s, d, "events")
-    of = lambda c: e.filter(c).select("user_id")
+    of = lambda c: e.filter(c).select("user_id", (F.col("event_id") % 20).alias("slot"))
     return of("event_type = 'click'").intersect(of("event_type = 'purchase'")).exceptAll(of("event_type = 'signup' and value > 19.9").distinct())
 
 
