@@ -337,3 +337,57 @@ def test_every_word_is_trained_on(spark):
         for t in texts:
             _, ids = op10_masked_lm.numbered(op3_substring_dedup.word_hashes([t.encode()])[0], vocab)
             assert all(moved[ids[i + k]] for i in range(len(ids)) if 0 <= i + k < len(ids))
+
+
+@pytest.mark.parametrize("most", [5, 4096])
+def test_shard_trees_give_the_nearest(most):
+    import pyarrow as pa
+
+    rng = random.Random(8)
+    seeds = [rng.getrandbits(64) for _ in range(4)]
+    rows = [(c, 100 * c + i, seeds[rng.randrange(4)] ^ sum(1 << rng.randrange(64) for _ in range(rng.randrange(5))) & (1 << 64) - 1) for c in range(3) for i in range(40)]
+    cols = [pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows]), pa.array([r[2] - (r[2] >> 63 << 64) for r in rows])]
+    batch = pa.RecordBatch.from_arrays(cols, names=["c", "sid", "fp"])
+    got = [x for b in op9_simhash_dedup._nearest(11, most)(iter([batch.slice(0, 50), batch.slice(50)])) for x in zip(*(c.to_pylist() for c in b.columns))]
+    fp = {sid: (c, x) for c, sid, x in rows}
+    assert got and all(a > b and fp[a][0] == fp[b][0] and (fp[a][1] ^ fp[b][1]).bit_count() <= 11 for a, b in got)
+    if most > len(rows):
+        for c, sid, x in rows:
+            want = min(((x ^ y).bit_count() for s, (d, y) in fp.items() if d == c and s < sid), default=64)
+            assert [(x ^ fp[b][1]).bit_count() for a, b in got if a == sid] == ([want] if want <= 11 else [])
+
+
+def test_near_copies_without_all_pairs(spark, monkeypatch):
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(300)]
+    texts = []
+    for n, copies in ((150, 300), (90, 60), (20, 40)):  # no unedited text is among the copies
+        base = [rng.choice(words) for _ in range(n)]
+        for _ in range(copies):
+            t = list(base)
+            for i in rng.sample(range(n), rng.randrange(1, 6)):
+                t[i] = rng.choice(words) if rng.random() < 0.3 else f"x{rng.random()}"
+            texts.append(" ".join(t[: rng.randrange(n - 8, n + 1)]) if rng.random() < 0.3 else " ".join(t + [f"y{rng.random()}"] * rng.randrange(3)))
+    sets = [{tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} for t in texts for w in [t.split()]]
+    low = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if low[a] != low[b] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                x, y = max(low[a], low[b]), min(low[a], low[b])
+                low = [y if v == x else v for v in low]
+    made, plain = [], op9_simhash_dedup.materialise
+
+    def counted(df, label):
+        out = plain(df, label)
+        made.append(out.count() if label == "set-pairs" else 0)
+        return out
+
+    monkeypatch.setattr(op9_simhash_dedup, "materialise", counted)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    rows, label = op9_simhash_dedup.similar(df)
+    of = {r.doc_id: r.root for r in rows.join(label, "sid", "left").selectExpr("doc_id", "coalesce(root, sid) as root").collect()}
+    first = {}
+    for d in sorted(of):
+        first.setdefault(of[d], d)
+    assert [first[of[d]] for d in range(len(texts))] == low and 50 < len(set(low)) < len(texts)
+    assert sum(made) < 3 * len(texts)
