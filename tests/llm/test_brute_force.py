@@ -391,3 +391,43 @@ def test_near_copies_without_all_pairs(spark, monkeypatch):
         first.setdefault(of[d], d)
     assert [first[of[d]] for d in range(len(texts))] == low and 50 < len(set(low)) < len(texts)
     assert sum(made) < 3 * len(texts)
+
+
+def test_alike_sizes_share_a_cell(spark):
+    rows = [(h, n, n, 0, n) for h in (1, 2) for n in (*range(1, 300), *(5 * 4**k for k in range(4, 9)), *(4 * 4**k for k in range(4, 9))) if h == 1 or n > 30]
+    got = {}
+    for r in op9_simhash_dedup._cells(spark.createDataFrame(rows, "h long, sid long, n int, i int, r long").repartition(3)).collect():
+        got.setdefault((r.h, r.sid), set()).add(r.g)
+    met = {(x, y) for x in got for y in got if x < y and got[x] & got[y]}
+    assert {((h, n), (g, m)) for h, n, *_ in rows for g, m, *_ in rows if h == g and n < m <= 1.25 * n} <= {(x, y) for x, y in met if x[0] == y[0]}
+    assert not any(y[1] > 1.6 * x[1] for x, y in met if x[0] == y[0])
+
+
+@pytest.mark.parametrize("near", [11, -1])  # -1: trees find nothing
+def test_one_passage_in_texts_of_many_sizes(spark, monkeypatch, near):
+    rng = random.Random(9)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    passage = [word() for _ in range(30)]
+    texts = [passage + [word() for _ in range(int(40 * 1.1**k))] for k in range(36)]
+    for k in (3, 9, 17, 25):
+        texts += [texts[k][: -len(texts[k]) // 6], [w if rng.random() < 0.985 else word() for w in texts[k]], texts[k][: -len(texts[k]) // 3]]
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    low = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if low[a] != low[b] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                x, y = max(low[a], low[b]), min(low[a], low[b])
+                low = [y if v == x else v for v in low]
+    made, plain = {}, op9_simhash_dedup.materialise
+
+    def counted(df, label):
+        out = plain(df, label)
+        made[label] = made.get(label, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(op9_simhash_dedup, "materialise", counted)
+    monkeypatch.setattr(op9_simhash_dedup, "NEAR", near)
+    monkeypatch.setattr(op9_simhash_dedup, "COMMON", 0)  # the passage counts as rare
+    df = spark.createDataFrame(list(enumerate(map(" ".join, texts))), "doc_id long, text string").repartition(4)
+    assert sorted(r.doc_id for r in op9_simhash_dedup.keep_dissimilar(df).collect()) == sorted(set(low)) and len(set(low)) < len(texts) - 4
+    assert 2 * made.get("set-centres", 0) < len(texts) and made["set-full"] < len(texts)  # few are made again whole
